@@ -56,3 +56,10 @@ def columns_of(batches: Iterator[pa.RecordBatch]) -> Iterator[list[list]]:
 def batch(schema: pa.Schema, columns: list) -> pa.RecordBatch:
     """An Arrow batch of Python lists or arrays in the order of ``schema``."""
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, type=f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+
+def tokenizer(name: str) -> str:
+    """The place of a public tokenizer's file, installed alike on every machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)

@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from numerion.llm import minhash, mixing, quality, suffix_dedup
-from numerion.llm.common import documents
+from numerion.llm import bpe_chunks, chat_quotes, langid, license_scan, minhash, mixing, quality, suffix_dedup, token_counts, topk
+from numerion.llm.common import documents, tokenizer
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,6 +16,30 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.report(documents(spark, sf_dir))
 
 
+def op2_chat_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_quotes.link_quotes(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.counts(documents(spark, sf_dir), tokenizer("piece_bpe_32k.model"))
+
+
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(documents(spark, sf_dir))
+
+
+def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op6_bpe_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_chunks.digests(documents(spark, sf_dir), tokenizer("byte_bpe_50k.json"))
+
+
+def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(documents(spark, sf_dir), tokenizer("piece_bpe_32k.model"))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir))
 
@@ -31,6 +55,12 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {
         "op1_suffix_dedup": op1_suffix_dedup,
+        "op2_chat_quotes": op2_chat_quotes,
+        "op3_token_counts": op3_token_counts,
+        "op4_license_scan": op4_license_scan,
+        "op5_topk": op5_topk,
+        "op6_bpe_chunks": op6_bpe_chunks,
+        "op7_langid": op7_langid,
         "op8_mixing": op8_mixing,
         "op9_quality_rules": op9_quality_rules,
         "op10_minhash": op10_minhash,
@@ -39,6 +69,7 @@ def queries() -> dict[str, Query]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op5_topk": topk.ORACLE,
         "op8_mixing": mixing.ORACLE,
         "op9_quality_rules": quality.ORACLE,
     }
