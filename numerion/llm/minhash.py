@@ -238,7 +238,8 @@ def links(sig: DataFrame, docs: DataFrame, ngram: int, percent: int) -> tuple[Da
 
     ids = chosen.select(F.col("ra").alias("rep")).union(chosen.select("rh")).distinct()
     texts = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text_or_empty().cast("binary").alias("text"))
-    texts = texts.join(ids, F.col("doc_id").eqNullSafe(F.col("rep")), "left_semi").select("text")
+    # The ids are as many as the pairs: a merge join at every size, so that the plan grows with the data.
+    texts = texts.join(ids.hint("merge"), F.col("doc_id").eqNullSafe(F.col("rep")), "left_semi").select("text")
     sets = texts.mapInArrow(_sets(ngram), "cls binary, shingles array<long>")
     sets = shared_table(sets.groupBy("cls").agg(F.first("shingles").alias("shingles")), "sets")
     sides = chosen.join(sets.withColumnRenamed("shingles", "a"), "cls").join(sets.select(F.col("cls").alias("hub"), F.col("shingles").alias("h")), "hub")
