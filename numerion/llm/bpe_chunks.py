@@ -215,16 +215,17 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
-TOKENS = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))])
+TOKENS = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.list_(pa.int32()))])
 
 
 def encoded(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id and the ids themselves."""
+    """doc_id, n_tokens and the ids themselves."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(path)
         for ids, texts in columns_of(batches):
-            yield batch(TOKENS, [ids, [[int(x) for p in e.parts(t) if p.n for x in p.ids.split(",")] for t in texts]])
+            found = [[int(x) for p in e.parts(t) if p.n for x in p.ids.split(",")] for t in texts]
+            yield batch(TOKENS, [ids, [len(x) for x in found], found])
 
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    return rows.mapInArrow(run, "doc_id long, ids array<int>")
+    return rows.mapInArrow(run, "doc_id long, n_tokens long, ids array<int>")
