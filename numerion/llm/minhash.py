@@ -110,7 +110,7 @@ def band_keys(least: np.ndarray) -> np.ndarray:
 def packed(least: np.ndarray) -> np.ndarray:
     """The low BITS of all minima, packed in 64-bit words."""
     per = 64 // BITS
-    low = (least & np.uint64(2**BITS - 1)).reshape(len(least), -1, per)
+    low = (least & np.uint64(2**BITS - 1)).reshape(len(least), PERMUTATIONS // per, per)
     return np.bitwise_or.reduce(low << (np.arange(per, dtype=np.uint64) * np.uint64(BITS)), axis=2).view(np.int64)
 
 
