@@ -289,6 +289,8 @@ def removed_spans(docs: DataFrame, keep: tuple[str, ...] = (), length: int = LEN
     keys = [F.coalesce(docs["doc_id"].cast("long"), F.lit(FIRST_ID)).alias("ord"), F.xxhash64(text_or_empty()).alias("rk"), text_or_empty().cast("binary").alias("data")]
     narrow = docs.select(*keys)
     found = narrow.mapInArrow(_runs_of(length), "copy boolean, own boolean, g long, c long, ord long, rk long, start int, n int")
+    # Dealt once, by minimizer: both windows below find their groups whole.
+    found = found.repartition("g")
     of_g, of_run = Window.partitionBy("g"), Window.partitionBy("g", "c")
     place = F.struct("ord", "rk", "start")
     lead = found.withColumn("first", F.min(place).over(of_run) == place)
