@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from numerion.plans import pages
+
+MODULES = (pages,)
+
 
 def queries() -> dict:
-    return {}
+    return {name: f for m in MODULES for name, (f, _) in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for m in MODULES for name, (_, sql) in m.QUERIES.items() if sql}
