@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from numerion.plans import pages
+from numerion.plans import pages, pixels
 
-MODULES = (pages,)
+MODULES = (pages, pixels)
 
 
 def queries() -> dict:
