@@ -26,7 +26,7 @@ import json
 import re
 from collections import OrderedDict
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 from typing import NamedTuple
 
 import numpy as np
@@ -40,8 +40,11 @@ from numerion.llm.common import batch, columns_of, text_or_empty
 SPAN = 32
 MASK = (1 << 9) - 1
 LEAST, MOST = 128, 4096
-#: Characters of chunks that a worker keeps.
-STORED = 24_000_000
+#: Characters of chunks, and joins, that a worker keeps.
+STORED = 16_000_000
+JOINS = 100_000
+#: Characters whose ids are sent on together.
+SENT = 1_000_000
 
 # The pre-tokenizer of the vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -97,11 +100,8 @@ class ChunkEncoder:
 
     def __init__(self, path: str) -> None:
         import tiktoken
-        from tokenizers import Tokenizer
 
-        self.library = Tokenizer.from_file(path)
-        self.library.no_padding()
-        self.library.no_truncation()
+        self.path = path
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
@@ -117,6 +117,16 @@ class ChunkEncoder:
         self.size = 0
         self.seen = self.reused = 0
 
+    @cached_property
+    def library(self):
+        """The tokenizers library's own encoder, loaded only where a text needs it."""
+        from tokenizers import Tokenizer
+
+        library = Tokenizer.from_file(self.path)
+        library.no_padding()
+        library.no_truncation()
+        return library
+
     def encode(self, text: str) -> Part:
         """A text on its own, without special tokens, and its decoding."""
         if BEYOND.search(text):
@@ -153,7 +163,7 @@ class ChunkEncoder:
             return Part("", 0, b"")
         found = self.joins.get(text)
         if found is None:
-            if len(self.joins) >= 200_000:
+            if len(self.joins) >= JOINS:
                 self.joins.clear()
             found = self.encode(text)
             if len(text) < 128:
@@ -221,11 +231,21 @@ TOKENS = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa
 def encoded(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, n_tokens and the ids themselves."""
 
+    def pack(ids: list, found: list[np.ndarray]) -> pa.RecordBatch:
+        sizes = [len(x) for x in found]
+        offsets = pa.array(np.cumsum([0, *sizes]), pa.int32())
+        return batch(TOKENS, [ids, sizes, pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(found)))])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(path)
         for ids, texts in columns_of(batches):
-            found = [[int(x) for p in e.parts(t) if p.n for x in p.ids.split(",")] for t in texts]
-            yield batch(TOKENS, [ids, [len(x) for x in found], found])
+            held, at, size = [], 0, 0
+            for k, text in enumerate(texts):
+                held.append(np.fromstring(",".join(p.ids for p in e.parts(text) if p.n), np.int32, sep=","))
+                size += len(text)
+                if size >= SENT or k + 1 == len(texts):
+                    yield pack(ids[at : k + 1], held)
+                    held, at, size = [], k + 1, 0
 
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text_or_empty().alias("text"))
     return rows.mapInArrow(run, "doc_id long, n_tokens long, ids array<int>")
