@@ -22,6 +22,7 @@ table gives an empty result; texts of any length are read whole.
 from __future__ import annotations
 
 import re
+import uuid
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
@@ -180,6 +181,10 @@ class Scorer:
         return langs, scores
 
 
+#: The model that a worker last scored with; its known words serve later tasks.
+SCORERS: dict[str, Scorer] = {}
+
+
 def train(docs: DataFrame, path: str) -> tuple[list[str], dict[int, list[float]], list[float]]:
     """Languages, the probability of each counted piece in each, and that of a piece never counted.
 
@@ -205,9 +210,13 @@ def identify(docs: DataFrame, path: str) -> DataFrame:
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), held, docs["lang"].alias("lang"), text_or_empty().alias("text"))
     model = train(rows.where(~F.col("held_out")), path)
     sent = docs.sparkSession.sparkContext.broadcast(model)  # at most vocabulary x MOST_LANGUAGES numbers
+    name = uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(path, *sent.value)
+        if name not in SCORERS:
+            SCORERS.clear()
+            SCORERS[name] = Scorer(path, *sent.value)
+        scorer = SCORERS[name]
         for ids, marks, texts in columns_of(batches):
             langs, scores = scorer.predict(texts)
             yield batch(PREDICTED, [ids, marks, langs, scores])
