@@ -53,8 +53,8 @@ def with_reference_height(boxes: DataFrame) -> DataFrame:
 
 
 def prefilter(boxes: DataFrame, page: tuple[int, int], p: Reading = DEFAULT) -> DataFrame:
-    """Adds ``reason`` of the first stage (null: kept)."""
-    return boxes.withColumn("reason", first_reason(F.lit(page[0]), F.lit(page[1]), p))
+    """Adds ``reason`` of the first stage (null: kept). ``page`` holds numbers or columns."""
+    return boxes.withColumn("reason", first_reason(*(v if isinstance(v, Column) else F.lit(v) for v in page), p))
 
 
 def line_policy(boxes: DataFrame, page: tuple[int, int], p: Reading = DEFAULT) -> DataFrame:
@@ -123,8 +123,11 @@ def merge(kept: DataFrame, groups: DataFrame) -> DataFrame:
     """Boxes with fragments united: image_id, comp_id, x, y, w, h, ink, n_parts."""
     rooted = kept.join(groups, ["image_id", "comp_id"], "left").withColumn("root", F.coalesce("root", "comp_id"))
     x, y = F.min("x"), F.min("y")
+    # Column profiles matter for boxes of one part only: those alone are ever split.
+    more = [F.first(c).alias(c) for c in ("profile", "tops", "bottoms") if c in kept.columns]
+    more += [F.array_sort(F.collect_list("comp_id")).alias("parts")] if more else []
     united = rooted.groupBy("image_id", "root").agg(
-        x.alias("x"), y.alias("y"), (F.max(F.col("x") + F.col("w")) - x).alias("w"), (F.max(F.col("y") + F.col("h")) - y).alias("h"), F.sum("ink").alias("ink"), F.count("*").alias("n_parts")
+        x.alias("x"), y.alias("y"), (F.max(F.col("x") + F.col("w")) - x).alias("w"), (F.max(F.col("y") + F.col("h")) - y).alias("h"), F.sum("ink").alias("ink"), F.count("*").alias("n_parts"), *more
     )
     return united.withColumnRenamed("root", "comp_id")
 
@@ -173,8 +176,20 @@ def split(boxes: DataFrame, p: Reading = DEFAULT) -> DataFrame:
         chosen = F.filter(F.transform("spans", lambda s: s["lo"]), lambda c: ~F.col("needs_neck"))
     cut = planned.withColumn("cuts_", F.array_sort(F.array_distinct(chosen)))
     starts, ends = F.concat(F.array(F.lit(0).cast("long")), "cuts_"), F.concat("cuts_", F.array("w"))
-    pieces = cut.select("image_id", "comp_id", "x", "y", "h", "href", F.posexplode(F.arrays_zip(starts.alias("a"), ends.alias("b"))).alias("piece", "s"))
-    return pieces.select("image_id", "comp_id", F.col("piece").cast("long").alias("piece"), (F.col("x") + F.col("s.a")).alias("x"), "y", (F.col("s.b") - F.col("s.a")).alias("w"), "h", "href")
+    spans = F.arrays_zip(starts.alias("a"), ends.alias("b"))
+    if "tops" not in boxes.columns:
+        pieces = cut.select("image_id", "comp_id", "x", "y", "h", "href", F.posexplode(spans).alias("piece", "s"))
+        return pieces.select("image_id", "comp_id", F.col("piece").cast("long").alias("piece"), (F.col("x") + F.col("s.a")).alias("x"), "y", (F.col("s.b") - F.col("s.a")).alias("w"), "h", "href")
+    # With the ink's first row and the row behind its last per column, pieces shrink to their ink.
+    part = lambda c, s: F.slice(c, (s["a"] + 1).cast("int"), (s["b"] - s["a"]).cast("int"))
+    on = lambda s: F.filter(F.sequence(s["a"], s["b"] - 1), lambda c: F.get("bottoms", c.cast("int")) > 0)
+    boxed = F.transform(spans, lambda s: F.struct(F.array_min(on(s)).alias("x0"), (F.array_max(on(s)) + 1).alias("x1"), F.array_min(F.filter(part("tops", s), lambda v: v >= 0)).alias("y0"), F.array_max(part("bottoms", s)).alias("y1")))
+    told = cut.withColumn("boxed_", F.when(F.size("cuts_") > 0, boxed).otherwise(F.array(F.struct(F.lit(0).cast("long").alias("x0"), F.col("w").alias("x1"), F.lit(0).cast("long").alias("y0"), F.col("h").alias("y1")))))
+    pieces = told.select("image_id", "comp_id", "x", "y", "href", F.posexplode(F.filter("boxed_", lambda b: b["x0"].isNotNull())).alias("piece", "b"))
+    return pieces.select(
+        "image_id", "comp_id", F.col("piece").cast("long").alias("piece"), (F.col("x") + F.col("b.x0")).alias("x"), (F.col("y") + F.col("b.y0")).alias("y"),
+        (F.col("b.x1") - F.col("b.x0")).alias("w"), (F.col("b.y1") - F.col("b.y0")).alias("h"), "href",
+    )
 
 
 def reading_order(boxes: DataFrame, p: Reading = DEFAULT) -> DataFrame:

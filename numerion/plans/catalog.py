@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from numerion.plans import pages, pixels
+from numerion.plans import pages, pixels, readings
 
-MODULES = (pages, pixels)
+MODULES = (pages, pixels, readings)
 
 
 def queries() -> dict:
