@@ -29,6 +29,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -181,8 +182,15 @@ class Scorer:
         return langs, scores
 
 
-#: The model that a worker last scored with; its known words serve later tasks.
-SCORERS: dict[str, Scorer] = {}
+_scorers: dict[str, Scorer] = {}
+
+
+def scorer_of(name: str, path: str, sent: Broadcast) -> Scorer:
+    """The worker's scorer of a model; the last one is kept, so that its known words serve later tasks."""
+    if name not in _scorers:
+        _scorers.clear()
+        _scorers[name] = Scorer(path, *sent.value)
+    return _scorers[name]
 
 
 def train(docs: DataFrame, path: str) -> tuple[list[str], dict[int, list[float]], list[float]]:
@@ -213,10 +221,7 @@ def identify(docs: DataFrame, path: str) -> DataFrame:
     name = uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if name not in SCORERS:
-            SCORERS.clear()
-            SCORERS[name] = Scorer(path, *sent.value)
-        scorer = SCORERS[name]
+        scorer = scorer_of(name, path, sent)
         for ids, marks, texts in columns_of(batches):
             langs, scores = scorer.predict(texts)
             yield batch(PREDICTED, [ids, marks, langs, scores])
