@@ -12,12 +12,15 @@ from pyspark.sql import functions as F
 
 from numerion.params import Reading
 
-IMAGE = Window.partitionBy("image_id")
 DEFAULT = Reading()
 #: A reference height is at least this many pixels.
 FLOOR = 12
 
 
+def image_window():
+    return Window.partitionBy("image_id")
+
+
 def speck(p: Reading = DEFAULT) -> Column:
     return (F.col("h") < p.min_height_px) | (F.col("w") * F.col("h") < p.min_area_px)
 
@@ -43,13 +46,13 @@ def small_reason(p: Reading = DEFAULT) -> Column:
 def with_reference_height(boxes: DataFrame) -> DataFrame:
     """Adds ``href``: the lower ink-weighted median height of the digit-shaped boxes (of all, if none is), at least FLOOR."""
     shaped = F.when(2 * F.col("w") <= 3 * F.col("h"), F.greatest(F.lit(1), F.col("ink")))
-    any_shaped = F.max(shaped.isNotNull()).over(IMAGE)
+    any_shaped = F.max(shaped.isNotNull()).over(image_window())
     weight = F.when(any_shaped, shaped).otherwise(F.greatest(F.lit(1), F.col("ink")))
     weighed = boxes.withColumn("weight_", weight)
-    upto = F.sum("weight_").over(IMAGE.orderBy("h").rangeBetween(Window.unboundedPreceding, Window.currentRow))
-    total = F.sum("weight_").over(IMAGE)
+    upto = F.sum("weight_").over(image_window().orderBy("h").rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    total = F.sum("weight_").over(image_window())
     reached = weighed.withColumn("reached_", F.when(F.col("weight_").isNotNull() & (2 * upto >= total), F.col("h")))
-    return reached.withColumn("href", F.greatest(F.lit(FLOOR), F.min("reached_").over(IMAGE)).cast("long")).drop("weight_", "reached_")
+    return reached.withColumn("href", F.greatest(F.lit(FLOOR), F.min("reached_").over(image_window())).cast("long")).drop("weight_", "reached_")
 
 
 def prefilter(boxes: DataFrame, page: tuple[int, int], p: Reading = DEFAULT) -> DataFrame:
@@ -215,7 +218,7 @@ def reading_order(boxes: DataFrame, p: Reading = DEFAULT) -> DataFrame:
     rank = F.expr("transform(st.ls, (l, n) -> cast(size(filter(transform(st.ls, (o, m) -> o.y0 < l.y0 or (o.y0 = l.y0 and m < n)), v -> v)) as bigint))")
     rows = folded.withColumn("rank", rank).select("image_id", F.posexplode("bs").alias("k", "b"), F.expr("rank[cast(st.at[k] as int)]").alias("line"), "k")
     rows = rows.select("image_id", "b.comp_id", "b.piece", "b.x", "b.y", "b.w", "b.h", "line", F.col("k").alias("k_"))
-    pos = F.row_number().over(IMAGE.orderBy("line", "x", "k_")).cast("long")
+    pos = F.row_number().over(image_window().orderBy("line", "x", "k_")).cast("long")
     return rows.withColumn("pos", pos).drop("k_")
 
 
