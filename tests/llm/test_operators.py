@@ -525,3 +525,22 @@ def test_components_of_a_chain(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 101), (7, 7)]
     got = {r["node"]: r["root"] for r in graph.components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert got == {**dict.fromkeys(range(1, 41), 0), 101: 100}
+
+
+def test_windows_that_go_are_those_whose_factor_reaches_the_length():
+    """The neighbours in suffix order say what previous and next smaller positions say."""
+    r = random.Random(15)
+    text = bytes(r.choices(b"ab", k=400)) * 2 + bytes(r.choices(b"abc", k=300))
+    n, length = len(text), 20
+    order = sorted(range(n), key=lambda i: text[i:])
+
+    def share(a, b):
+        k = 0
+        while a + k < n and b + k < n and text[a + k] == text[b + k]:
+            k += 1
+        return k
+
+    common = [0] + [share(a, b) for a, b in zip(order, order[1:], strict=False)]
+    factor = suffix_dedup.previous_factor(np.array(order), np.array(common), np.arange(n))
+    rows, offsets = suffix_dedup.later_windows([(0, 0, 0, text)], length)
+    assert sorted(offsets.tolist()) == [i for i in range(n) if factor[i] >= length]
