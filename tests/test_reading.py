@@ -126,7 +126,7 @@ def test_images_are_read_to_text(spark, folder, model):
     assert {k: r["text"] for k, r in got.items()} == {"one.png": "123\n4567", "two.png": "80", "blank.png": "", "dark.png": "2905", "bad.png": ""}
     assert got["bad.png"]["status"] == "not an image" and got["blank.png"]["digit_count"] == 0
     first = got["one.png"]["digits"][0]
-    assert abs(first["x"] - 20) <= 2 and abs(first["y"] - 40) <= 2 and first["line"] == 0
+    assert abs(first["x"] - 48) <= 2 and abs(first["y"] - 40) <= 2 and first["line"] == 0
     low = D.detect(D.images(spark, folder), model, min_conf=1.01).where("image_id like '%two.png'").first()
     assert low["text"] == "??" and low["digit_count"] == 2
 
