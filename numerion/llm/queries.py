@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from numerion.llm import bpe_chunks, chat_quotes, langid, license_scan, minhash, mixing, quality, suffix_dedup, token_counts, topk
+from numerion.llm import bpe_chunks, chat_quotes, langid, license_scan, minhash, mixing, oracles, quality, suffix_dedup, token_counts, topk
 from numerion.llm.common import documents, tokenizer
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -69,7 +69,9 @@ def queries() -> dict[str, Query]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_suffix_dedup": oracles.SUFFIX_DEDUP,
         "op5_topk": topk.ORACLE,
         "op8_mixing": mixing.ORACLE,
         "op9_quality_rules": quality.ORACLE,
+        "op10_minhash": oracles.NEAR_DUPLICATES,
     }
