@@ -86,6 +86,20 @@ class Convolutional(Model):
         return softmax(np.maximum(0, x @ w["d1"] + w["e1"]) @ w["d2"] + w["e2"])
 
 
+class Templates(Model):
+    """The nearest of ten drawn digits: what needs no training."""
+
+    def __init__(self, heights: tuple[int, ...] = (36, 44, 52, 60, 70), strokes: tuple[int, ...] = (6, 8, 10)) -> None:
+        p = Reading()
+        drawn = np.array([[K.normalised(K.glyph(d, h, s) * 255.0, p).ravel() for h in heights for s in strokes] for d in range(10)])
+        self.t = drawn / np.linalg.norm(drawn, axis=2, keepdims=True)
+
+    def _run(self, x: np.ndarray) -> np.ndarray:
+        flat = x.reshape(len(x), -1)
+        flat = flat / np.maximum(np.linalg.norm(flat, axis=1, keepdims=True), 1e-9)
+        return softmax(80 * np.einsum("nk,dvk->ndv", flat, self.t).max(axis=2))
+
+
 class Linear(Model):
     """Softmax regression; trained with Spark's own distributed solver."""
 

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from numerion.plans import pages, pixels, readings
+from numerion.plans import images, pages, pixels, readings
 
-MODULES = (pages, pixels, readings)
+MODULES = (pages, pixels, readings, images)
 
 
 def queries() -> dict:

@@ -52,3 +52,12 @@ def counters(frames: DataFrame) -> DataFrame:
 def event_time(frames: DataFrame, column: str = "ts", delay: str = "10 minutes") -> DataFrame:
     """A stream with a watermark; times without zone are taken in the session's zone."""
     return frames.withColumn(column, F.col(column).cast("timestamp")).withWatermark(column, delay)
+
+
+def snapshot_sink(path: str):
+    """For ``foreachBatch``: each micro-batch's results as JSON lines in a folder of its own; a batch that is repeated replaces its folder."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.drop("ts").write.mode("overwrite").json(f"{path}/batch={number}")
+
+    return write
