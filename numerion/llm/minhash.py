@@ -44,7 +44,7 @@ BITS = 4
 #: Below this estimate two sets of similarity 0.8 are six standard deviations off.
 LEAST_ESTIMATE = 0.5
 #: Members and seekers of a hub that meet in one task.
-BLOCK = 4096
+BLOCK = 2048
 #: Shingles that are hashed at once.
 STEP = 1 << 17
 
@@ -262,7 +262,9 @@ def links(sig: DataFrame, docs: DataFrame, ngram: int, percent: int) -> tuple[Da
     columns = ["hub", "cls", "n", "nh", "minus", "plus", "linked"]
     members = open_.select(*columns, F.lit(False).alias("seeker"), place("mb", 1).alias("i"), every("sb").alias("j"))
     seekers = open_.where("not linked").select(*columns, F.lit(True).alias("seeker"), place("sb", 2).alias("j"), every("mb").alias("i"))
-    found = members.unionByName(seekers).groupBy("hub", "i", "j").applyInPandas(_seek(percent), "u binary, v binary")
+    # Dealt by block: else the blocks of a hub would stay in the task of the hub.
+    blocks = members.unionByName(seekers).repartition("hub", "i", "j")
+    found = blocks.groupBy("hub", "i", "j").applyInPandas(_seek(percent), "u binary, v binary")
     return classes, direct.unionByName(found)
 
 
