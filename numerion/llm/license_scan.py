@@ -110,9 +110,10 @@ def base_places(joined: str) -> list[tuple[int, str]]:
     padded = f" {joined} "
     out = []
     for phrase, label in PHRASES.items():
-        at = padded.find(f" {phrase} ")
+        at, seen, words = padded.find(f" {phrase} "), 0, 0
         while at >= 0:
-            out.append((padded.count(" ", 0, at), label))
+            words, seen = words + padded.count(" ", seen, at), at
+            out.append((words, label))
             at = padded.find(f" {phrase} ", at + 1)
     return out
 
