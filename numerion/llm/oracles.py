@@ -34,3 +34,31 @@ least AS (SELECT u AS doc_id, min(least(u, v)) AS m FROM reach GROUP BY u)
 SELECT d.doc_id, coalesce(n, 0) AS n_shingles, coalesce(m, d.doc_id) AS component_id, coalesce(m, d.doc_id) = d.doc_id AS kept
 FROM (SELECT doc_id FROM documents) d LEFT JOIN size USING (doc_id) LEFT JOIN least USING (doc_id)
 """
+
+#: Lines with their quote levels, passages as islands of one level, and the newest earlier holder of each quoted text.
+CHAT_QUOTES = r"""
+WITH RECURSIVE split AS (
+  SELECT conv_id, turn, role, generate_subscripts(ls, 1) AS n, unnest(ls) AS x FROM (SELECT conv_id, turn, role, string_split(coalesce(text, ''), chr(10)) AS ls FROM conversations) q),
+marked AS (SELECT *, regexp_extract(x, '^[ \t]*((?:>[ \t]?)+)', 1) AS m, regexp_matches(x, '^(On .+ wrote|Am .+ schrieb.*|Le .+ a écrit ?|El .+ escribió):[ \t\r]*$') AS told FROM split),
+levelled AS (SELECT *, CASE WHEN told THEN -1 ELSE length(m) - length(replace(m, '>', '')) END AS level FROM marked),
+lines AS (SELECT conv_id, turn, n, level, CASE WHEN level > 0 THEN regexp_replace(x, '^[ \t]*((?:>[ \t]?)+)', '') ELSE x END AS body,
+  n - row_number() OVER (PARTITION BY conv_id, turn, level ORDER BY n) AS g FROM levelled),
+passages AS (SELECT conv_id, turn, level, min(n) AS q, string_agg(body, chr(10) ORDER BY n) AS t FROM lines GROUP BY conv_id, turn, level, g),
+parts AS (SELECT conv_id, turn, level, q, true AS whole, t FROM passages UNION ALL
+  SELECT conv_id, turn, level, q, false, unnest(string_split(t, chr(10))) FROM passages),
+texts AS (SELECT conv_id, turn, level, q, whole, s FROM (
+  SELECT *, trim(regexp_replace(lower(t), '\s+', ' ', 'g')) AS s FROM parts) r WHERE s <> '' AND conv_id IS NOT NULL AND turn IS NOT NULL),
+found AS (SELECT a.conv_id, a.turn, a.q, a.level, a.whole, max(b.turn) AS found FROM texts a JOIN texts b ON a.conv_id = b.conv_id AND a.s = b.s AND b.turn < a.turn
+  WHERE a.level > 0 AND b.level = 0 GROUP BY ALL),
+best AS (SELECT conv_id, turn, q, found, level, whole, row_number() OVER (PARTITION BY conv_id, turn ORDER BY level, whole DESC, found DESC) AS k FROM found),
+reply AS (SELECT conv_id, turn, found AS reply_to FROM best WHERE k = 1),
+linked AS (SELECT conv_id, turn, count(DISTINCT q) AS n_linked FROM found GROUP BY conv_id, turn),
+up(conv_id, turn, root, depth) AS (SELECT conv_id, turn, reply_to, 1::BIGINT FROM reply
+  UNION ALL SELECT u.conv_id, u.turn, r.reply_to, depth + 1 FROM up u JOIN reply r ON r.conv_id = u.conv_id AND r.turn = u.root),
+roots AS (SELECT conv_id, turn, max_by(root, depth) AS root, max(depth) AS depth FROM up GROUP BY conv_id, turn),
+bodies AS (SELECT conv_id, turn, count(*) FILTER (level > 0) AS n_quotes,
+  regexp_replace(coalesce(string_agg(t, chr(10) ORDER BY q) FILTER (level = 0), ''), '^\s+|\s+$', '', 'g') AS body FROM passages GROUP BY conv_id, turn)
+SELECT c.conv_id, c.turn, c.role, reply_to, coalesce(root, c.turn) AS root, coalesce(depth, 0) AS depth, n_quotes, coalesce(n_linked, 0) AS n_linked, body
+FROM conversations c JOIN bodies b ON b.conv_id IS NOT DISTINCT FROM c.conv_id AND b.turn IS NOT DISTINCT FROM c.turn
+LEFT JOIN reply r ON r.conv_id = c.conv_id AND r.turn = c.turn LEFT JOIN roots o ON o.conv_id = c.conv_id AND o.turn = c.turn LEFT JOIN linked l ON l.conv_id = c.conv_id AND l.turn = c.turn
+"""

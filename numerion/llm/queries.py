@@ -70,6 +70,7 @@ def queries() -> dict[str, Query]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_suffix_dedup": oracles.SUFFIX_DEDUP,
+        "op2_chat_quotes": oracles.CHAT_QUOTES,
         "op5_topk": topk.ORACLE,
         "op8_mixing": mixing.ORACLE,
         "op9_quality_rules": quality.ORACLE,

@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from numerion.llm import bpe_chunks, chat_quotes, graph, langid, license_scan, minhash, mixing, quality, suffix_dedup, token_counts, topk
+from numerion.llm import bpe_chunks, chat_quotes, graph, langid, license_scan, minhash, mixing, oracles, quality, suffix_dedup, token_counts, topk
 from numerion.llm.common import tokenizer
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, in_text string, cls string, ord long, span string"
@@ -197,6 +197,11 @@ def test_quotes_link_to_the_newest_earlier_message(spark, monkeypatch):
         assert (x["root"], x["depth"]) == (at, steps)
         assert not re.search(r"^\s*>", x["body"] or "", re.M)
     assert chat_quotes.formatted(df).count() == len(messages)
+    con = duckdb.connect()
+    con.register("conversations", df.select("conv_id", "turn", "role", "text").toPandas().astype({"conv_id": "Int64", "turn": "Int64"}))
+    columns = chat_quotes.link_quotes(df).columns
+    plain = lambda rows: sorted(repr([None if v != v else int(v) if isinstance(v, float) else v for v in r]) for r in rows)
+    assert plain(con.sql(f"SELECT {', '.join(columns)} FROM ({oracles.CHAT_QUOTES})").fetchall()) == plain(map(tuple, got.values()))
 
 
 def test_quotes_of_nothing(spark):
