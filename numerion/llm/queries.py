@@ -44,6 +44,10 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir))
 
 
+def op8_whole_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.whole_mix(documents(spark, sf_dir))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(documents(spark, sf_dir)).drop("clean_text")
 
@@ -62,6 +66,7 @@ def queries() -> dict[str, Query]:
         "op6_bpe_chunks": op6_bpe_chunks,
         "op7_langid": op7_langid,
         "op8_mixing": op8_mixing,
+        "op8_whole_mix": op8_whole_mix,
         "op9_quality_rules": op9_quality_rules,
         "op10_minhash": op10_minhash,
     }
@@ -73,6 +78,7 @@ def oracle_sql() -> dict[str, str]:
         "op2_chat_quotes": oracles.CHAT_QUOTES,
         "op5_topk": topk.ORACLE,
         "op8_mixing": mixing.ORACLE,
+        "op8_whole_mix": mixing.WHOLE_ORACLE,
         "op9_quality_rules": quality.ORACLE,
         "op10_minhash": oracles.NEAR_DUPLICATES,
     }

@@ -12,6 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from numerion.llm import bpe_chunks, chat_quotes, graph, langid, license_scan, minhash, mixing, oracles, quality, suffix_dedup, token_counts, topk
 from numerion.llm.common import tokenizer
 
@@ -427,6 +428,28 @@ def test_given_weights(spark):
     assert abs(inside["a"] - 3 * inside["b"]) <= 3 and inside["a"] == 200 and len(got) == 401
 
 
+def test_a_source_of_one_row_ends_no_mix(spark):
+    """All rows of sources within their targets stay in; of one source over its target, the rest goes."""
+    source = "CASE WHEN id = 0 THEN 'one' WHEN id = 1 THEN NULL WHEN id < 25 THEN 'few' WHEN id < 12000 THEN 'big' ELSE concat('s', id % 4) END"
+    docs = spark.range(24000).selectExpr("id AS doc_id", "'t' AS text", "'en' AS lang", f"{source} AS source", "1L AS n_chars").repartition(4)
+    sizes = Counter(r["source"] for r in docs.collect())
+    got = mixing.whole_mix(docs).toPandas()
+    want = {s: min(n, 6000) for s, n in sizes.items()}
+    inside = got[got["in_mix"]].sort_values("position")
+    assert len(got) == 24000 and Counter(x if isinstance(x, str) else None for x in inside["source"]) == want
+    assert inside["position"].tolist() == list(range(len(inside))) and got[~got["in_mix"]]["position"].isna().all()
+    for s, n in want.items():
+        mine = np.cumsum([(x if isinstance(x, str) else None) == s for x in inside["source"]])
+        ideal = np.arange(1, len(inside) + 1) * n / len(inside)
+        assert (mine - ideal > -1).all() and (mine - ideal <= 1 + len(want) * n / len(inside)).all()
+    con = duckdb.connect()
+    con.register("documents", docs.select("doc_id", "source").toPandas().replace({np.nan: None}))
+    rows = con.sql(mixing.WHOLE_ORACLE).df()[list(got.columns)]
+    plain = lambda df: sorted(map(repr, df.astype({"deadline": float, "position": float}).values.tolist()))
+    assert plain(got.replace({None: np.nan})) == plain(rows.replace({None: np.nan}))
+    assert Counter(r["source"] for r in corpus_pipeline.mixing_stage(spark, docs, "").collect()) == want
+
+
 # 9 ----------------------------------------------------------------------------------------------
 
 
