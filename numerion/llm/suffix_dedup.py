@@ -15,7 +15,8 @@ window that is removed. Over a corpus:
    Within equal prefixes, ties are in text order, so the previous smaller
    position of each suffix but the first is its neighbour, and its factor
    reaches ``length``. Minimizers with very many different runs are dealt further by
-   the minimizers of longer grams.
+   the minimizers of longer grams, and where that leaves a group of over MANY runs, by the
+   128-bit hashes of single windows: a task reports the first window of each hash among its own.
 4. Removed windows are joined to the documents and cut out.
 
 Defined results: a null text is empty and keeps the hash of no bytes; rows
@@ -45,6 +46,8 @@ GRAM = 32
 #: The longer gram that deals out minimizers with over HOT different runs.
 LONG_GRAM = 80
 HOT = 1000
+#: Groups of more runs than this are compared by hashes of their windows.
+MANY = 4000
 #: Bytes that a task looks at together.
 CHUNK = 1 << 22
 FIRST_ID = -(2**63)
@@ -149,7 +152,7 @@ def _runs_of(length: int):
     return run
 
 
-CONTENTS = pa.schema([("sk", pa.int64()), ("ord", pa.int64()), ("rk", pa.int64()), ("start", pa.int32()), ("data", pa.binary())])
+CONTENTS = pa.schema([("deep", pa.bool_()), ("sk", pa.int64()), ("ord", pa.int64()), ("rk", pa.int64()), ("start", pa.int32()), ("data", pa.binary())])
 
 
 def _contents(length: int):
@@ -162,11 +165,11 @@ def _contents(length: int):
                 for a in asks:
                     data = t[a["start"] : a["start"] + a["n"] + length - 1]
                     if not a["hot"]:
-                        out.append((a["g"], i, k, a["start"], data))
+                        out.append((False, a["g"], i, k, a["start"], data))
                         continue
                     least, x, y, _ = runs(np.frombuffer(data, np.uint8), LONG_GRAM, length)
                     deal = ((least * GOLD) ^ np.uint64(a["g"] % 2**64)).view(np.int64).tolist()
-                    out += [(s, i, k, a["start"] + b, data[b : e + length - 1]) for s, b, e in zip(deal, x.tolist(), y.tolist(), strict=True)]
+                    out += [(True, s, i, k, a["start"] + b, data[b : e + length - 1]) for s, b, e in zip(deal, x.tolist(), y.tolist(), strict=True)]
             for at in range(0, len(out), 10_000):
                 yield batch(CONTENTS, list(zip(*out[at : at + 10_000], strict=True)))
 
@@ -264,6 +267,63 @@ def _later_spans(length: int):
     return run
 
 
+FIRSTS = pa.schema([("hi", pa.int64()), ("lo", pa.int64()), ("ord", pa.int64()), ("rk", pa.int64()), ("start", pa.int32()), ("span", pa.int64())])
+
+
+def _first_windows(length: int):
+    """Windows of runs by hash: the first of a chunk's equal ones, and spans of the later ones (whose hash is null)."""
+
+    def emit(rows: list[tuple[int, int, int, bytes]]) -> pa.RecordBatch:
+        firsts: dict[int, tuple[int, int, int]] = {}
+        spans: list[list[int]] = []
+        for i, k, start, data in sorted(rows, key=lambda r: r[:3]):
+            view, last = memoryview(data), None
+            for at in range(len(data) - length + 1):
+                place = (i, k, start + at)
+                if firsts.setdefault(xxhash.xxh3_128_intdigest(view[at : at + length]), place) == place:
+                    continue
+                if last == at - 1:
+                    spans[-1][3] = start + at + length
+                else:
+                    spans.append([i, k, start + at, start + at + length])
+                last = at
+        hashes = np.frombuffer(b"".join(h.to_bytes(16, "little") for h in firsts), np.int64).reshape(-1, 2)
+        ones, cuts = (np.array(x, np.int64).reshape(-1, n) for x, n in ((list(firsts.values()), 3), (spans, 4)))
+        none = lambda n: pa.nulls(n, pa.int64())
+        joined = lambda a, b: pa.concat_arrays([pa.array(a) if isinstance(a, np.ndarray) else a, pa.array(b) if isinstance(b, np.ndarray) else b])
+        return batch(FIRSTS, [
+            joined(hashes[:, 0].copy(), none(len(cuts))), joined(hashes[:, 1].copy(), none(len(cuts))),
+            joined(ones[:, 0].copy(), cuts[:, 0].copy()), joined(ones[:, 1].copy(), cuts[:, 1].copy()),
+            joined(ones[:, 2].astype(np.int32), cuts[:, 2].astype(np.int32)), joined(none(len(ones)), (cuts[:, 2] << 32) | cuts[:, 3]),
+        ])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for columns in columns_of(batches):
+            for row in zip(*columns, strict=True):
+                held.append(row)
+                size += len(row[3])
+                if size >= CHUNK // 4:
+                    yield emit(held)
+                    held, size = [], 0
+        if held:
+            yield emit(held)
+
+    return run
+
+
+def _spans_by_hash(contents: DataFrame, length: int) -> DataFrame:
+    """Spans to remove, from runs of any number that share windows: all windows but the first of each hash."""
+    found = contents.select("ord", "rk", "start", "data").mapInArrow(_first_windows(length), "hi long, lo long, ord long, rk long, start int, span long")
+    # Once dealt by hash, equal windows are as many as chunks had them; the spans that tasks know already go by any key.
+    found = found.repartition(F.coalesce("hi", F.xxhash64("ord", "start")), "lo")
+    place = F.struct("ord", "rk", "start")
+    first = F.min(F.when(F.col("span").isNull(), place)).over(Window.partitionBy(F.coalesce("hi", F.xxhash64("ord", "start")), "lo"))
+    own = F.shiftleft(F.col("start").cast("long"), 32).bitwiseOR(F.col("start").cast("long") + length)
+    marked = found.withColumn("first", first)
+    return marked.where(F.col("span").isNotNull() | (place != F.col("first"))).select("ord", "rk", F.coalesce("span", own).alias("span"))
+
+
 def merged(spans: list[int] | None) -> list[tuple[int, int]]:
     """Maximal spans from sorted ones, each coded as start * 2^32 + end."""
     out: list[tuple[int, int]] = []
@@ -302,9 +362,14 @@ def removed_spans(docs: DataFrame, keep: tuple[str, ...] = (), length: int = LEN
     events = shared_table(told.groupBy("ord", "rk").agg(F.collect_list("span").alias("spans"), F.collect_list("ask").alias("asks")), "runs")
 
     asked = narrow.join(events.where(F.size("asks") > 0).select("ord", "rk", "asks"), ["ord", "rk"]).select("ord", "rk", "data", "asks")
-    contents = asked.mapInArrow(_contents(length), "sk long, ord long, rk long, start int, data binary")
-    later = contents.repartition("sk").sortWithinPartitions("sk").mapInArrow(_later_spans(length), "ord long, rk long, span long")
-    every = events.select("ord", "rk", F.explode("spans").alias("span")).unionByName(later)
+    found = asked.mapInArrow(_contents(length), "deep boolean, sk long, ord long, rk long, start int, data binary")
+    contents = shared_table(found, "contents")
+    # A minimizer that was not dealt further has HOT runs at most.
+    many = shared_table(contents.where("deep").groupBy("sk").count().where(F.col("count") > MANY).select("sk"), "many")
+    by_hash = _spans_by_hash(contents.where("deep").join(F.broadcast(many), "sk", "left_semi"), length)
+    few = contents.drop("deep").join(F.broadcast(many), "sk", "left_anti")
+    later = few.repartition("sk").sortWithinPartitions("sk").mapInArrow(_later_spans(length), "ord long, rk long, span long")
+    every = events.select("ord", "rk", F.explode("spans").alias("span")).unionByName(later).unionByName(by_hash)
     spans = shared_table(every.groupBy("ord", "rk").agg(F.array_sort(F.collect_list("span")).alias("spans")), "spans")
     wide = docs.select(docs["doc_id"].alias("doc_id"), *(docs[c].alias(f"in_{c}") for c in keep), *keys)
     return wide.join(spans, ["ord", "rk"], "left").select("doc_id", *(f"in_{c}" for c in keep), "data", "spans")

@@ -101,6 +101,21 @@ def test_suffix_dedup_deals_hot_minimizers_and_segments(docs, rows, monkeypatch)
     assert got == want
 
 
+def test_suffix_dedup_bounds_what_a_task_compares(spark, monkeypatch):
+    """A passage in every text, with other words on both sides: its edges share minimizers, and no task holds them all."""
+    r = random.Random(8)
+    letters = lambda k: "".join(r.choices("abcdefgh ", k=k))
+    passage = letters(400)
+    rows = [(i, letters(150) + passage[: 400 - i % 3] + letters(150)) for i in range(300)]
+    monkeypatch.setattr(suffix_dedup, "HOT", 10)
+    monkeypatch.setattr(suffix_dedup, "MANY", 40)
+    many = []
+    by_hash = suffix_dedup._spans_by_hash
+    monkeypatch.setattr(suffix_dedup, "_spans_by_hash", lambda contents, length: many.append(contents.count()) or by_hash(contents, length))
+    got = {d: (x["n_bytes"], x["n_removed"], x["n_spans"], x["kept_sha256"]) for d, x in collected(suffix_dedup.report(frame(spark, rows).repartition(5))).items()}
+    assert got == removed_by_hand(rows) and many[0] > 40
+
+
 def test_segments_of_a_long_text_cover_every_window():
     data = bytes(random.Random(1).choices(b"ab", k=1000))
     seen = set()
