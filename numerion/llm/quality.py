@@ -3,7 +3,8 @@
 Each line is judged by itself (punctuation, navigation, boilerplate, symbols,
 shouting); lines that fail are removed, and a document that loses too much of
 its text that way is rejected. Repetition and length rules on the whole text
-come before. All of it stays in one projection over the scan: no shuffle, no
+come before. By default a phrase of page furniture or two bars fail a line of any length;
+``by_share`` lets them fail only a line that is short or that they make up a large part of. All of it stays in one projection over the scan: no shuffle, no
 Python.
 
 Defined results: a null or empty text has no words, fails the length rule and
@@ -22,6 +23,11 @@ MAX_REPEAT_PERCENT = 20
 MAX_LOSS_PERCENT = 50
 #: A line of fewer words than this needs an end mark.
 FRAGMENT_WORDS = 5
+#: By share, furniture and bars fail a line of fewer words than this, or of which phrases are a third
+#: or bars one character in BAR_EVERY.
+SHORT_WORDS = 10
+PHRASE_PART = 3
+BAR_EVERY = 25
 
 # Symbols counted, end marks, and phrases of page furniture.
 SYMBOLS = "#*$%&|<>"
@@ -96,8 +102,8 @@ def repeated_words(words: Column, width: int = 5) -> Column:
     return let(words, lambda w: F.when(F.size(w) > width, covered(w)).otherwise(0))
 
 
-def bad_line(line: Column) -> Column:
-    """Whether a line fails a rule of its own."""
+def bad_line(line: Column, by_share: bool = False) -> Column:
+    """Whether a line fails a rule of its own; ``by_share``: furniture and bars count only where they are much of the line."""
     small = F.lower(line)
     words = F.size(words_of(line))
     navigation = count_of(line, "|") >= 2
@@ -107,13 +113,18 @@ def bad_line(line: Column) -> Column:
     furniture = F.lit(False)
     for phrase in BOILERPLATE:
         furniture = furniture | small.contains(phrase)
+    if by_share:
+        short = words < SHORT_WORDS
+        held = sum(((F.length(small) - F.length(F.replace(small, F.lit(p), F.lit("")))) for p in BOILERPLATE), F.lit(0))
+        furniture = furniture & (short | (PHRASE_PART * held >= F.length(small)))
+        navigation = navigation & (short | (BAR_EVERY * count_of(line, "|") >= F.length(line)))
     return navigation | symbols | shouting | fragment | furniture
 
 
-def judge(docs: DataFrame, max_loss_percent: int = MAX_LOSS_PERCENT, keep: tuple[str, ...] = ()) -> DataFrame:
+def judge(docs: DataFrame, max_loss_percent: int = MAX_LOSS_PERCENT, keep: tuple[str, ...] = (), by_share: bool = False) -> DataFrame:
     """One row per document: statistics, ``base_failed``, ``kept`` and the cleaned text.
 
-    ``keep`` names input columns to carry along. Columns: doc_id, n_words,
+    ``keep`` names input columns to carry along; ``by_share`` goes to the line rules. Columns: doc_id, n_words,
     word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept,
     n_lines, n_bad_lines, lost_chars, line_chars, clean_text.
     """
@@ -126,7 +137,7 @@ def judge(docs: DataFrame, max_loss_percent: int = MAX_LOSS_PERCENT, keep: tuple
         "n_symbols": count_of(F.col("t"), SYMBOLS).cast("long"),
         "n_dup_lines": (F.size("ls") - F.size(F.array_distinct("ls"))).cast("long"),
         "n_repeat_words": repeated_words(F.col("ws")).cast("long"),
-        "judged": F.transform("ls", lambda x: F.struct(x.alias("x"), bad_line(x).alias("bad"))),
+        "judged": F.transform("ls", lambda x: F.struct(x.alias("x"), bad_line(x, by_share).alias("bad"))),
     })
     total = lambda rows: F.aggregate(rows, F.lit(0).cast("long"), lambda a, r: a + F.length(r["x"]))
     good = F.filter("judged", lambda r: ~r["bad"])
@@ -191,3 +202,19 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
   n_lines, n_bad_lines, lost_chars, line_chars
 FROM counted
 """
+
+
+def _shared(phrases: tuple[str, ...]) -> str:
+    held = " + ".join(f"length(lower(x)) - length(replace(lower(x), '{p}', ''))" for p in phrases)
+    return f"({_sql(phrases)}) AND (short OR {PHRASE_PART} * ({held}) >= length(lower(x)))"
+
+
+_BARS = "length(x) - length(replace(x, '|', ''))"
+_WORDS = r"len(list_filter(regexp_split_to_array(x, '[\x20\x09-\x0D]+'), lambda w: w <> ''))"
+#: The same with furniture and bars by their share of the line.
+SHARE_ORACLE = (
+    ORACLE.replace("unnest(ls) AS x FROM lists)", f"unnest(ls) AS x FROM lists),\nsized AS (SELECT *, {_WORDS} < {SHORT_WORDS} AS short FROM lined)")
+    .replace("AS bad FROM lined)", "AS bad FROM sized)")
+    .replace(f"{_BARS} >= 2", f"({_BARS} >= 2 AND (short OR {BAR_EVERY} * ({_BARS}) >= length(x)))")
+    .replace(_sql(BOILERPLATE), _shared(BOILERPLATE))
+)

@@ -52,6 +52,10 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(documents(spark, sf_dir)).drop("clean_text")
 
 
+def op9_quality_by_share(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(documents(spark, sf_dir), by_share=True).drop("clean_text")
+
+
 def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(documents(spark, sf_dir), ngram=2)
 
@@ -68,6 +72,7 @@ def queries() -> dict[str, Query]:
         "op8_mixing": op8_mixing,
         "op8_whole_mix": op8_whole_mix,
         "op9_quality_rules": op9_quality_rules,
+        "op9_quality_by_share": op9_quality_by_share,
         "op10_minhash": op10_minhash,
     }
 
@@ -80,5 +85,6 @@ def oracle_sql() -> dict[str, str]:
         "op8_mixing": mixing.ORACLE,
         "op8_whole_mix": mixing.WHOLE_ORACLE,
         "op9_quality_rules": quality.ORACLE,
+        "op9_quality_by_share": quality.SHARE_ORACLE,
         "op10_minhash": oracles.NEAR_DUPLICATES,
     }

@@ -477,6 +477,26 @@ def test_quality_equals_its_sql(spark, docs, rows, nothing):
     assert quality.judge(nothing).count() == 0
 
 
+def test_long_clean_lines_may_hold_furniture(spark):
+    """A phrase or two bars in a long line fail nothing; short lines and lines made of them fail."""
+    r = random.Random(9)
+    words = lambda k: " ".join("".join(r.choices("abcdefgh", k=r.randint(2, 8))) for _ in range(k))
+    long = [f"{words(40)} {p} {words(40)}." for p in (*quality.BOILERPLATE, "|x|")]
+    bad = ["Home | About | Contact", "Click here to read more.", " | ".join(["Home page", "Our news", "Contact us"] * 5)]
+    bad.append(" ".join(["Sign up for news, read more, click here, accept cookies."] * 2))
+    docs = spark.createDataFrame(list(enumerate(long + bad)), "doc_id long, text string")
+    got = collected(quality.judge(docs, by_share=True))
+    assert all(got[i]["kept"] and got[i]["n_bad_lines"] == 0 and got[i]["clean_text"] == t for i, t in enumerate(long))
+    assert all(got[len(long) + i]["n_bad_lines"] == 1 for i in range(len(bad)))
+    con = duckdb.connect()
+    con.register("documents", docs.toPandas())
+    columns = [c for c in quality.judge(docs, by_share=True).columns if c != "clean_text"]
+    want = con.sql(quality.SHARE_ORACLE).df().set_index("doc_id", drop=False)[columns]
+    assert all([got[i][c] for c in columns] == want.loc[i].tolist() for i in got)
+    staged = {x["doc_id"]: x["text"] for x in corpus_pipeline.quality_stage(spark, docs.selectExpr("doc_id", "text", "'en' AS lang", "'a' AS source", "1L AS n_chars"), "").collect()}
+    assert all(staged[i] == t for i, t in enumerate(long))
+
+
 def test_repeated_words_by_hand(docs, rows):
     got = collected(quality.judge(docs))
     for d, t in rows:
