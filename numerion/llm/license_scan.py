@@ -3,7 +3,7 @@
 A notice within ``e`` edits of a place in the text, cut into ``e + 1`` pieces,
 keeps one piece unchanged there (pigeonhole). One automaton finds
 all pieces of all notices in one pass; around each hit, the regex library's
-bounded-error matching verifies the notice and reports its span.
+bounded-error matching verifies the notice and reports the spans of all its places.
 Exact places of the base phrases are counted on the words themselves.
 
 Defined results: a null or empty text has no words, no places, empty label
@@ -81,11 +81,29 @@ def _matchers():
     for piece, places in pieces.items():
         automaton.add_word(piece, (len(piece), places))
     automaton.make_automaton()
-    return automaton, [regex.compile(f"(?b)(?:{regex.escape(notice, special_only=True)}){{e<={edits}}}") for notice, _, edits in NOTICES]
+    fuzzy = [f"(?:{regex.escape(notice, special_only=True)}){{e<={edits}}}" for notice, _, edits in NOTICES]
+    return automaton, [(regex.compile(f), regex.compile("(?b)" + f)) for f in fuzzy]
+
+
+def places_in(joined: str, lo: int, hi: int, patterns: tuple, reach: int) -> Iterator[regex.Match]:
+    """The places of one notice from ``lo`` to ``hi`` that do not overlap, from left to right.
+
+    ``patterns`` find the leftmost place and the one with fewest edits. Of the places that overlap the
+    leftmost one (a place has ``reach`` characters at most), the best is taken, or a better one that overlaps that;
+    what lies before and behind it is searched again.
+    """
+    first, best = patterns
+    while m := first.search(joined, lo, hi):
+        b = m
+        while (c := best.search(joined, m.start(), min(hi, b.end() + reach))) and sum(c.fuzzy_counts) < sum(b.fuzzy_counts):
+            b = c
+        yield from places_in(joined, m.start(), b.start(), patterns, reach)
+        yield b
+        lo = b.end()
 
 
 def notices_in(joined: str) -> list[Found]:
-    """The notices in words joined by single blanks; at most one per merged candidate area, the one with fewest edits."""
+    """All notices in words joined by single blanks; places of one notice do not overlap."""
     automaton, patterns = _matchers()
     areas: list[list[tuple[int, int]]] = [[] for _ in NOTICES]
     for end, (size, places) in automaton.iter(joined):
@@ -98,9 +116,9 @@ def notices_in(joined: str) -> list[Found]:
             else:
                 areas[i].append((lo, hi))
     out = []
-    for (notice, label, _), pattern, where in zip(NOTICES, patterns, areas, strict=True):
+    for (notice, label, edits), pattern, where in zip(NOTICES, patterns, areas, strict=True):
         for lo, hi in where:
-            if m := pattern.search(joined, lo, hi):
+            for m in places_in(joined, lo, hi, pattern, len(notice) + edits):
                 out.append(Found(label, sum(m.fuzzy_counts), len(notice), m.start(), m.end()))
     return out
 

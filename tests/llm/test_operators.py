@@ -291,6 +291,31 @@ def test_license_scan(spark, nothing):
     assert license_scan.scan(nothing).count() == 0
 
 
+def test_every_place_of_a_notice_is_reported(spark):
+    text = "GNU General Public License and gnu general public license"
+    got = collected(license_scan.scan(frame(spark, [(1, text), (2, "All rights reserved. " * 1000)])))
+    assert got[1]["spans"] == ["gpl:0-26:0", "gpl:31-57:0"]
+    assert got[2]["spans"] == [f"reserved:{20 * i}-{20 * i + 19}:0" for i in range(1000)]
+
+
+def test_spans_equal_planted_notices():
+    """Notices with edits, close to each other and far: as many spans as a search of the whole text gives, each over its notice."""
+    r = random.Random(12)
+    for notice, label, edits in license_scan.NOTICES:
+        parts, places, at = [], [], 0
+        for _ in range(60):
+            x = list(notice)
+            for _ in range(r.randint(0, edits // 2)):
+                x[r.randrange(len(x))] = "q"
+            gap = " " + "zz " * r.randint(0 if r.random() < 0.5 else 5, 9)
+            places.append((at, at + len(x), sum(a != b for a, b in zip(x, notice, strict=True))))
+            parts += ["".join(x), gap]
+            at += len(x) + len(gap)
+        found = [f for f in license_scan.notices_in("".join(parts)) if f.label == label and f.size == len(notice)]
+        assert len(found) == len(places), notice
+        assert all(f.edits == e and f.start < b and a < f.end for f, (a, b, e) in zip(found, places, strict=True)), notice
+
+
 def test_seeds_miss_no_notice_within_its_edits():
     r = random.Random(6)
     for notice, label, edits in license_scan.NOTICES:
