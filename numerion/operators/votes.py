@@ -41,6 +41,29 @@ def smoothed(frames: DataFrame, value: str, keep: float = 0.9, depth: int = 64)
     return held.select("camera", "k", fold.alias("smooth"))
 
 
+def smoothed_whole(frames: DataFrame, value: str, keep: float = 0.9, rows: int = 1024) -> DataFrame:
+    """camera, k, smooth: an exponential mean over all earlier rows of a camera; ``k`` counts its rows from 1.
+
+    Rows are folded in blocks of ``rows``, each from 0; what a block carries over is folded from the ends of the blocks
+    before, so a camera of any length is dealt over many tasks. The first row counts in full; a null makes all that follows null.
+    """
+    part = F.when(F.col("k") == 1, F.col(value).cast("double")).otherwise(F.lit(1.0 - keep) * F.col(value))
+    rowed = frames.select("camera", "k", F.expr(f"(k - 1) div {rows}").alias("block"), part.alias("x"))
+    held = rowed.groupBy("camera", "block").agg(F.array_sort(F.collect_list(F.struct("k", "x"))).alias("xs"))
+    fold = lambda xs, start: F.aggregate(xs, start, lambda a, v: F.lit(keep) * a + v["x"])
+    ends = held.select("camera", "block", F.size("xs").alias("n"), fold(F.col("xs"), F.lit(0.0)).alias("end"))
+    lists = ends.groupBy("camera").agg(F.array_sort(F.collect_list(F.struct("block", "n", "end"))).alias("bs"))
+    carried = F.aggregate(
+        "bs", F.array(F.lit(0.0)), lambda a, b: F.array_append(a, F.pow(F.lit(keep), b["n"]) * F.element_at(a, -1) + b["end"])
+    )
+    starts = lists.select("camera", F.posexplode(carried).alias("block", "carry")).withColumn("block", F.col("block").cast("long"))
+    sums = F.aggregate(
+        "xs", F.array(F.col("carry")), lambda a, v: F.array_append(a, F.lit(keep) * F.element_at(a, -1) + v["x"])
+    )
+    pairs = F.arrays_zip(F.col("xs.k").alias("k"), F.slice(sums, 2, rows).alias("smooth"))
+    return held.join(starts, ["camera", "block"]).select("camera", F.explode(pairs).alias("p")).select("camera", "p.k", "p.smooth")
+
+
 def newest(frames: DataFrame, slots) -> DataFrame:
     """The newest frame of each camera in each slot of time; older ones in the slot are dropped by design."""
     return frames.groupBy("camera", slots.alias("slot")).agg(F.max(F.struct("k", "event_id", "reading")).alias("f"), F.count("*").alias("n")).select("camera", "slot", "f.event_id", "f.reading", (F.col("n") - 1).alias("dropped"))

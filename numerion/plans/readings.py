@@ -81,6 +81,10 @@ def smoothed_rate(spark, sf_dir):
     return V.smoothed(S.frames(spark, sf_dir), "value", 0.9, 8).select("camera", "k", F.round("smooth", 6).alias("smooth"))
 
 
+def smoothed_rate_whole(spark, sf_dir):
+    return V.smoothed_whole(S.frames(spark, sf_dir), "value", 0.9).select("camera", "k", F.round("smooth", 6).alias("smooth"))
+
+
 def newest_frame(spark, sf_dir):
     return V.newest(S.frames(spark, sf_dir), F.date_trunc("hour", F.col("ts").cast("timestamp")).cast("string"))
 
@@ -179,6 +183,12 @@ QUERIES = {
         f"""WITH {S.FRAMES}, l AS (SELECT camera, k, list(value) OVER (PARTITION BY camera ORDER BY k ROWS BETWEEN 7 PRECEDING AND CURRENT ROW) AS v FROM frames)
         SELECT camera, k, round(list_reduce(v, lambda a, x: 0.9::DOUBLE * a + (1.0::DOUBLE - 0.9::DOUBLE) * x), 6) AS smooth FROM l""",
     ),
+    "smoothed_rate_whole": (
+        smoothed_rate_whole,
+        f"""WITH RECURSIVE {S.FRAMES}, s AS (SELECT camera, k, CAST(value AS DOUBLE) AS smooth FROM frames WHERE k = 1
+          UNION ALL SELECT f.camera, f.k, 0.9::DOUBLE * s.smooth + (1.0::DOUBLE - 0.9::DOUBLE) * f.value FROM s JOIN frames f ON f.camera = s.camera AND f.k = s.k + 1)
+        SELECT camera, k, round(smooth, 6) AS smooth FROM s""",
+    ),
     "newest_frame": (newest_frame, f"WITH {S.FRAMES} SELECT camera, strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS slot, max_by(event_id, k) AS event_id, max_by(reading, k) AS reading, count(*) - 1 AS dropped FROM frames GROUP BY 1, 2"),
     "service_counters": (service_counters, f"WITH {S.FRAMES} SELECT camera, count(*) AS requests, CAST(sum(length(reading)) AS BIGINT) AS characters, count(DISTINCT reading) AS kinds FROM frames GROUP BY camera"),
     "upload_statuses": (

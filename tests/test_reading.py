@@ -236,3 +236,17 @@ def test_truth_and_dataset_files(spark, tmp_path):
     np.savez(tmp_path / "d.npz", x_train=np.zeros((3, 28, 28), np.uint8), y_train=np.arange(3), x_test=np.ones((2, 28, 28), np.uint8), y_test=np.arange(2))
     rows = files.dataset(spark, str(tmp_path / "d.npz"))
     assert rows.count() == 5 and rows.where("split = 'test'").count() == 2 and len(rows.first()["pixels"]) == 784
+
+
+def test_smoothed_counts_every_earlier_row(spark):
+    """The mean over all rows of a camera, across blocks; values of the start still count after many rows."""
+    r = np.random.default_rng(5)
+    values = {c: [1000.0, *r.random(n - 1).tolist()] for c, n in ((1, 1), (2, 7), (3, 30), (4, 31))}
+    rows = column(spark, [(c, k + 1, v) for c, vs in values.items() for k, v in enumerate(vs)], "camera long, k long, value double").repartition(3)
+    want = {}
+    for c, vs in values.items():
+        for k, v in enumerate(vs):
+            want[c, k + 1] = v if k == 0 else 0.9 * want[c, k] + (1.0 - 0.9) * v
+    for size in (1, 5, 1024):
+        got = {(x["camera"], x["k"]): x["smooth"] for x in V.smoothed_whole(rows, "value", 0.9, size).collect()}
+        assert got == pytest.approx(want, rel=1e-12)
