@@ -9,6 +9,7 @@ from collections import Counter
 
 import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -439,27 +440,50 @@ def test_languages_of_held_out_texts(spark, nothing):
 # 8 ----------------------------------------------------------------------------------------------
 
 
-def test_mix_stays_within_a_block_of_the_weights(spark, nothing):
+def plain_rows(df, columns):
+    return sorted(repr([None if pd.isna(v) else int(v) if isinstance(v, float) else v for v in r]) for r in df[columns].astype(object).values.tolist())
+
+
+@pytest.mark.parametrize("block_rows", [1, 3])
+def test_mix_stays_within_a_block_of_the_weights(spark, nothing, block_rows):
+    """Sources of all sizes, down to one row: in each segment and at its borders, all rows up to the targets, as its SQL has it."""
     r = random.Random(12)
     rows = [(i, "t", "en", r.choice(["big"] * 6 + ["b", "c", "d", None]), 1, "", "", 1, "") for i in range(3000)]
-    rows += [(None, None, None, "b", None, "", "", 1, ""), (7, "t", "en", "c", 1, "", "", 1, "")]
-    got = mixing.mix(spark.createDataFrame(rows, SCHEMA), keep=("in_text",), period=97, block_rows=1).collect()
-    assert len(got) == len(rows)
-    sizes = Counter(x["source"] for x in got)
-    cut = {s: min(n, -(-len(rows) // mixing.CAP)) for s, n in sizes.items()}
-    share = {s: max(1, 97 * c // sum(cut.values())) for s, c in cut.items()}
-    m = sum(share.values())
-    inside = sorted((x for x in got if x["in_mix"]), key=lambda x: x["slot"])
-    assert [x["slot"] for x in inside] == list(range(len(inside))) and len(inside) > 1000
-    done = Counter()
-    for t, x in enumerate(inside):
-        done[x["source"]] += 1
-        assert x["release"] <= x["slot"] < x["deadline"]
-        for s, a in share.items():
-            assert abs(done[s] * m - (t + 1) * a) < m
+    rows += [(None, None, None, "b", None, "", "", 1, ""), (7, "t", "en", "c", 1, "", "", 1, "")] + [(9000 + i, "t", "en", f"tiny{i}", 1, "", "", 1, "") for i in range(5)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    df = mixing.mix(docs, keep=("in_text",), period=97, block_rows=block_rows).toPandas().replace({np.nan: None})
+    assert len(df) == len(rows)
+    cut = {s: min(n, -(-len(rows) // mixing.CAP)) for s, n in Counter(df["source"]).items()}
+    inside = df[df["in_mix"]]
+    assert Counter(inside["source"]) == cut
+    blocks = inside.drop_duplicates(["source", "block"]).sort_values("slot").to_dict("records")
+    assert [x["slot"] for x in blocks] == list(range(len(blocks)))
+    size = Counter(x["source"] for x in blocks)
+    assert size == {s: -(-c // block_rows) for s, c in cut.items()}
+    k = max(1, len(blocks) // 97)
+    before = Counter()
+    for seg in range(k):
+        mine = [x for x in blocks if x["segment"] == seg]
+        q, m, done = Counter(x["source"] for x in mine), len(mine), Counter()
+        for t, x in enumerate(mine):
+            done[x["source"]] += 1
+            assert x["release"] <= x["slot"] < x["deadline"] and x["block"] == before[x["source"]] + done[x["source"]] - 1
+            for s, a in q.items():
+                assert abs(done[s] * m - (t + 1) * a) < m
+        before += q
+        assert all(abs(before[s] - (seg + 1) * b / k) < 1 for s, b in size.items())
+    con = duckdb.connect()
+    con.register("documents", docs.select("doc_id", "source").toPandas().astype({"doc_id": "Int64"}))
+    columns = [c for c in df.columns if c != "in_in_text"]
+    assert plain_rows(df, columns) == plain_rows(con.sql(mixing.oracle(97, block_rows)).df(), columns)
     assert mixing.mix(nothing).count() == 0
 
 
+def test_one_rare_source_keeps_the_mix(spark):
+    docs = spark.range(200_001).selectExpr("id AS doc_id", "if(id = 200000, 'rare', concat('s', id % 4)) AS source")
+    assert mixing.mix(docs).where("in_mix").count() >= 199_000
+
+
 def test_given_weights(spark):
     rows = [(i, "t", "en", "ab"[i % 2], 1, "", "", 1, "") for i in range(400)] + [(900, "t", "en", "zz", 1, "", "", 1, "")]
     weights = spark.createDataFrame([("a", 3), ("b", 1)], "source string, share long")
