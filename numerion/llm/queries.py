@@ -28,6 +28,10 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(documents(spark, sf_dir))
 
 
+def op4_license_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.base(documents(spark, sf_dir))
+
+
 def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
@@ -66,6 +70,7 @@ def queries() -> dict[str, Query]:
         "op2_chat_quotes": op2_chat_quotes,
         "op3_token_counts": op3_token_counts,
         "op4_license_scan": op4_license_scan,
+        "op4_license_base": op4_license_base,
         "op5_topk": op5_topk,
         "op6_bpe_chunks": op6_bpe_chunks,
         "op7_langid": op7_langid,
@@ -81,6 +86,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op1_suffix_dedup": oracles.SUFFIX_DEDUP,
         "op2_chat_quotes": oracles.CHAT_QUOTES,
+        "op4_license_base": license_scan.BASE_ORACLE,
         "op5_topk": topk.ORACLE,
         "op8_mixing": mixing.ORACLE,
         "op8_whole_mix": mixing.WHOLE_ORACLE,

@@ -71,6 +71,10 @@ def collected(df):
     return {r["doc_id"]: r.asDict() for r in df.collect()}
 
 
+def plain_rows(df, columns):
+    return sorted(repr([None if pd.isna(v) else int(v) if isinstance(v, float) else v for v in r]) for r in df[columns].astype(object).values.tolist())
+
+
 # 1 ----------------------------------------------------------------------------------------------
 
 
@@ -302,12 +306,14 @@ def test_every_place_of_a_notice_is_reported(spark):
 def test_spans_equal_planted_notices():
     """Notices with edits, close to each other and far: as many spans as a search of the whole text gives, each over its notice."""
     r = random.Random(12)
-    for notice, label, edits in license_scan.NOTICES:
+    for notice, label, edits, word in license_scan.NOTICES:
         parts, places, at = [], [], 0
         for _ in range(60):
             x = list(notice)
+            own = range(notice.index(word) - 1, notice.index(word) + len(word) + 1)
             for _ in range(r.randint(0, edits // 2)):
-                x[r.randrange(len(x))] = "q"
+                k = r.randrange(len(x))
+                x[k] = x[k] if k in own or x[k] == " " else "q"
             gap = " " + "zz " * r.randint(0 if r.random() < 0.5 else 5, 9)
             places.append((at, at + len(x), sum(a != b for a, b in zip(x, notice, strict=True))))
             parts += ["".join(x), gap]
@@ -317,16 +323,64 @@ def test_spans_equal_planted_notices():
         assert all(f.edits == e and f.start < b and a < f.end for f, (a, b, e) in zip(found, places, strict=True)), notice
 
 
-def test_seeds_miss_no_notice_within_its_edits():
+def distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def places_by_hand(joined, notice, edits, word):
+    """(start, end, edits) of all places from word to word within the edits that hold the notice's own word."""
+    starts = [i for i in range(len(joined)) if joined[i] != " " and (i == 0 or joined[i - 1] == " ")]
+    ends = [i + 1 for i in range(len(joined)) if joined[i] != " " and (i + 1 == len(joined) or joined[i + 1] == " ")]
+
+    def within(a, b, phrase, most):
+        return [(i, j, d) for i in starts if a <= i for j in ends if i < j <= b and abs(j - i - len(phrase)) <= most and (d := distance(joined[i:j], phrase)) <= most]
+
+    return [(i, j, d) for i, j, d in within(0, len(joined), notice, edits) if within(i, j, word, len(word) // license_scan.LETTERS)]
+
+
+def test_places_equal_brute_force():
+    """Every place that edit distances give is found, or overlaps one that is at least as good; nothing else is."""
     r = random.Random(6)
-    for notice, label, edits in license_scan.NOTICES:
-        for _ in range(40):
+    for notice, label, edits, word in license_scan.NOTICES:
+        for _ in range(25):
             x = list(notice)
-            for _ in range(r.randint(0, edits)):
+            for _ in range(r.randint(0, edits + 1)):
                 k, at = r.randrange(3), r.randrange(len(x))
                 x[at : at + (k > 0)] = [r.choice("abcdef ")] if k < 2 else []
-            joined = " ".join(["qq zz", "".join(x), "vv"])
-            assert label in {f.label for f in license_scan.notices_in(joined)}, (notice, joined)
+            joined = " ".join(" ".join(["qq zz", "".join(x), "vv", r.choice(["the general public license", "mit", "", notice])]).split())
+            want = places_by_hand(joined, notice, edits, word)
+            got = [(f.start, f.end, f.edits) for f in license_scan.every_notice(joined) if (f.label, f.size) == (label, len(notice))]
+            assert set(got) <= set(want), (notice, joined)
+            assert all(any(a < j and i < b and e <= d for a, b, e in got) for i, j, d in want), (notice, joined, want, got)
+
+
+def test_notices_are_told_apart():
+    labels = lambda t: sorted({f.label for f in license_scan.notices_in(t)})
+    assert labels("gnu lesser general public license") == ["lgpl"] and labels("gnu affero general public license") == ["agpl"]
+    assert labels("the general public license") == labels("released under the new license") == []
+    assert labels("gnu general publik license") == ["gpl"] and labels("gnu lesser general publik licence") == ["lgpl"]
+    for k in (1, 2, 3):
+        assert len(license_scan.notices_in(" ".join(["released under the mit license"] * k))) == k
+
+
+def test_long_texts_of_common_seeds():
+    text = "general public " * 40_000 + "gnu general public license " + "all rights reserved " * 5_000
+    found = license_scan.notices_in(text.strip())
+    assert Counter(f.label for f in found) == {"gpl": 1, "reserved": 5_000}
+
+
+def test_base_columns_equal_their_sql(spark, docs):
+    texts = ["CC BY cc by-nc, the MIT License.", "gnu general public license, Apache-License!", None, "", "É MIT licenses mit  license\n", "cc by mit license apache license cc by"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").union(docs.selectExpr("doc_id + 1000", "text"))
+    con = duckdb.connect()
+    con.register("documents", df.toPandas())
+    got = license_scan.base(df).toPandas()
+    assert plain_rows(got, list(got.columns)) == plain_rows(con.sql(license_scan.BASE_ORACLE).df(), list(got.columns))
 
 
 # 5 ----------------------------------------------------------------------------------------------
@@ -440,10 +494,6 @@ def test_languages_of_held_out_texts(spark, nothing):
 # 8 ----------------------------------------------------------------------------------------------
 
 
-def plain_rows(df, columns):
-    return sorted(repr([None if pd.isna(v) else int(v) if isinstance(v, float) else v for v in r]) for r in df[columns].astype(object).values.tolist())
-
-
 @pytest.mark.parametrize("block_rows", [1, 3])
 def test_mix_stays_within_a_block_of_the_weights(spark, nothing, block_rows):
     """Sources of all sizes, down to one row: in each segment and at its borders, all rows up to the targets, as its SQL has it."""
