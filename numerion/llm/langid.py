@@ -6,11 +6,16 @@ forward algorithm: the mass of a prefix is the sum, over pieces that end there,
 mass before the piece times the piece's probability). A text's score in a language
 is the sum over its words.
 
+A word is a run of letters (Unicode category L) of any length, with the mark that the vocabulary puts before words,
+in training as in scoring. The mass is scaled every few characters and the logarithm
+of the scale carried, so long words do not vanish.
+
 Training counts are over all labelled training documents: a task counts its
 words per language, cuts each distinct word once, and reports at most one row per
-language and piece, so no source or language, however large, meets in one task. The
-model has at most vocabulary x languages entries; languages beyond MOST_LANGUAGES are refused, which
-bounds what is sent to the tasks.
+language and piece, so no source or language, however large, meets in one task.
+Languages are scored TOGETHER at a time, each group with a model of its own that is sent to the tasks (at
+most vocabulary x TOGETHER numbers); a text's best language and the sum of its likelihoods pass
+from group to group, so there may be any number of languages.
 
 Defined results: a null text, or one without letters, is ``und`` with score
 0; without any training document every text is; rows that repeat are
@@ -26,6 +31,8 @@ import uuid
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -35,38 +42,61 @@ from pyspark.sql import functions as F
 
 from numerion.llm.common import batch, columns_of, shared_table, text_or_empty
 
+#: Letters, and the numbers that are written like letters (which are none).
 LETTERS = re.compile(r"[^\W\d_]+")
 BLANK = "▁"
-#: Longer words are scored in pieces of this many characters.
-LONGEST = 32
+#: Characters between two scalings of the mass.
+SCALED = 8
+#: Longer words are scored one by one.
+LONG = 64
+#: Characters, and numbers of masses, of words that are scored together.
+CHARACTERS = 200_000
+MASSES = 4_000_000
+#: Words of texts that are looked up together.
+LOOKED_UP = 200_000
 #: Added to each piece's count, per language.
 SMOOTH = 0.1
 #: A character outside the vocabulary.
 UNKNOWN = 1e-7
-MOST_LANGUAGES = 512
+#: Languages of one model.
+TOGETHER = 256
 REMEMBERED = 500_000
 #: Words counted before a training task reports.
 WORDS_HELD = 300_000
 
 
+class Vocabulary(NamedTuple):
+    """The model file's library object, its ordinary pieces with their numbers, and these as a trie in arrays.
+
+    keys (sorted): a node's number * 2^21 + a character; child: the node that this leads to; piece: a node's piece, or -1.
+    """
+
+    model: object
+    pieces: dict[str, int]
+    keys: np.ndarray
+    child: np.ndarray
+    piece: np.ndarray
+    longest: int
+
+
 @lru_cache(maxsize=2)
-def vocabulary(path: str):
-    """The model file's library object and its ordinary pieces with their numbers."""
+def vocabulary(path: str) -> Vocabulary:
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     pieces = {model.id_to_piece(i): i for i in range(model.get_piece_size()) if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i))}
-    return model, pieces, {p[:i] for p in pieces for i in range(1, len(p) + 1)}
+    nodes = {h: k for k, h in enumerate(["", *sorted({p[:i] for p in pieces for i in range(1, len(p) + 1)})])}
+    links = sorted((nodes[h[:-1]] << 21 | ord(h[-1]), k) for h, k in nodes.items() if h)
+    keys, child = (np.array(x, np.int64) for x in zip(*links, strict=True))
+    return Vocabulary(model, pieces, keys, child, np.array([pieces.get(h, -1) for h in nodes], np.int64), max(map(len, pieces)))
 
 
 def words_of(text: str) -> list[str]:
-    return LETTERS.findall(text.lower())
-
-
-def blocks(word: str) -> list[str]:
-    """A word with its leading mark, in blocks of bounded length."""
-    marked = BLANK + word
-    return [marked] if len(marked) <= LONGEST else [marked[i : i + LONGEST] for i in range(0, len(marked), LONGEST)]
+    """The runs of letters of a text in lower case."""
+    found = LETTERS.findall(text.lower())
+    if all(map(str.isalpha, found)):
+        return found
+    return [w for x in found for w in ([x] if x.isalpha() else "".join(c if c.isalpha() else " " for c in x).split())]
 
 
 COUNTED = pa.schema([("lang", pa.string()), ("piece", pa.int32()), ("n", pa.int64())])
@@ -76,24 +106,17 @@ def piece_counts(docs: DataFrame, path: str) -> DataFrame:
     """lang, piece, n over all rows of ``docs`` (lang, text)."""
 
     def report(words: dict[str, Counter]) -> Iterator[pa.RecordBatch]:
-        model, pieces, _ = vocabulary(path)
+        known = vocabulary(path)
+        ordinary = set(known.pieces.values())
         for lang, counter in words.items():
-            parts = [(b, n) for w, n in counter.items() for b in blocks(w)]
             total: Counter = Counter()
-            # The library puts a mark before each text; blocks inside a word have none to take off.
-            for (b, n), ids in zip(parts, model.encode([b.removeprefix(BLANK) for b, _ in parts], num_threads=1), strict=True):
+            # The library puts the mark before each word by itself.
+            for n, ids in zip(counter.values(), known.model.encode(list(counter), num_threads=1), strict=True):
                 for i in ids:
                     total[i] += n
-            kept = [(i, n) for i, n in total.items() if i in used(pieces)]
+            kept = [(i, n) for i, n in total.items() if i in ordinary]
             yield batch(COUNTED, [[lang] * len(kept), [i for i, _ in kept], [n for _, n in kept]])
 
-    def used(pieces: dict[str, int]) -> set[int]:
-        nonlocal ids_used
-        ids_used = ids_used or set(pieces.values())
-        return ids_used
-
-    ids_used: set[int] | None = None
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words: dict[str, Counter] = defaultdict(Counter)
         for langs, texts in columns_of(batches):
@@ -108,78 +131,123 @@ def piece_counts(docs: DataFrame, path: str) -> DataFrame:
     return rows.mapInArrow(run, "lang string, piece int, n long").groupBy("lang", "piece").agg(F.sum("n").alias("n"))
 
 
-class Scorer:
-    """Log-probabilities of words under every language, summed over all segmentations."""
+class Model(NamedTuple):
+    """Languages, pieces that were counted, the probability of each in each language, and that of a piece never counted."""
 
-    def __init__(self, path: str, langs: list[str], table: dict[int, list[float]], floor: list[float]) -> None:
-        _, self.pieces, self.heads = vocabulary(path)
-        self.langs = langs
-        self.place = {i: k + 1 for k, i in enumerate(table)}
-        self.p = np.array([floor, *table.values()], float)
+    langs: list[str]
+    pieces: np.ndarray
+    p: np.ndarray
+    floor: np.ndarray
+
+
+class Scorer:
+    """Log-probabilities of words under every language of a model, summed over all segmentations."""
+
+    def __init__(self, path: str, model: Model) -> None:
+        self.known = vocabulary(path)
+        self.langs = model.langs
+        #: The row of each piece in ``p``: row 0 is of pieces never counted, the last one of characters outside the vocabulary.
+        self.row = np.zeros(self.known.model.get_piece_size(), np.int64)
+        self.row[model.pieces] = np.arange(1, len(model.pieces) + 1)
+        self.p = np.vstack([model.floor, model.p, np.full(len(model.langs), UNKNOWN)])
         self.rows: dict[str, int] = {}
-        self.scores = np.empty((0, len(langs)))
+        self.scores = np.empty((0, len(self.langs)))
+
+    def cuts(self, parts: list[str]) -> tuple[np.ndarray, ...]:
+        """Every piece in every part: part, end, length, row of its probability; sorted by end and length."""
+        keys, child, piece, longest = self.known.keys, self.known.child, self.known.piece, self.known.longest
+        size = np.fromiter(map(len, parts), np.int64, len(parts))
+        first = np.cumsum(size) - size
+        letters = np.frombuffer("".join(parts).encode("utf-32-le"), np.uint32).astype(np.int64)
+        at = np.arange(len(letters))  # where a piece starts, over all parts
+        who, node = np.repeat(np.arange(len(parts)), size), np.zeros(len(letters), np.int64)
+        ends = first + size
+        out = []
+        for length in range(1, longest + 1):
+            inside = at + length <= ends[who]
+            at, who, node = at[inside], who[inside], node[inside]
+            key = node << 21 | letters[at + length - 1]
+            found = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+            there = keys[found] == key
+            if length == 1:
+                single = np.where(there, piece[child[found]], -1)
+                out.append((who, at + 1 - first[who], np.ones(len(at), np.int64), np.where(single >= 0, self.row[single], len(self.p) - 1)))
+            at, who, node = at[there], who[there], child[found[there]]
+            if length > 1:
+                whole = piece[node] >= 0
+                some = who[whole]
+                out.append((some, at[whole] + length - first[some], np.full(len(some), length), self.row[piece[node[whole]]]))
+            if not len(at):
+                break
+        who, end, length, row = (np.concatenate(x) for x in zip(*out, strict=True))
+        order = np.argsort(end * (longest + 1) + length, kind="stable")
+        return who[order], end[order], length[order], row[order]
 
     def forward(self, parts: list[str]) -> np.ndarray:
-        """log P(part | language) for each part (at most LONGEST characters)."""
-        ends: dict[tuple[int, int], tuple[list[int], list[int]]] = defaultdict(lambda: ([], []))
-        for w, part in enumerate(parts):
-            for a in range(len(part)):
-                for b in range(a + 1, len(part) + 1):
-                    token = part[a:b]
-                    if token not in self.heads:
-                        if b == a + 1:
-                            ends[b, a][0].append(w)
-                            ends[b, a][1].append(-1)
-                        break
-                    i = self.pieces.get(token)
-                    if i is not None or b == a + 1:
-                        ends[b, a][0].append(w)
-                        ends[b, a][1].append(self.place.get(i, 0) if i is not None else -1)
-        p = np.vstack([self.p, np.full(len(self.langs), UNKNOWN)])  # the last row, -1, is of characters outside the vocabulary
-        mass = np.zeros((LONGEST + 1, len(parts), len(self.langs)))
+        """log P(part | language) of each part, with its mark."""
+        who, end, length, row = self.cuts(parts)
+        ring = self.known.longest + 1
+        mass = np.zeros((ring, len(parts), len(self.langs)))
         mass[0] = 1
-        for (b, a), (who, which) in sorted(ends.items()):
-            mass[b, who] += mass[a, who] * p[which]
-        size = np.array([len(x) for x in parts], int)
-        return np.log(mass[size, np.arange(len(parts))])
+        scale, out = np.zeros(mass.shape[1:]), np.zeros(mass.shape[1:])
+        borders = np.flatnonzero((end[1:] != end[:-1]) | (length[1:] != length[:-1])) + 1
+        size = np.fromiter(map(len, parts), np.int64, len(parts))
+        last = np.argsort(size, kind="stable")
+        over = np.searchsorted(size[last], np.arange(size.max() + 2)) if len(parts) else []
+        for a, b in zip([0, *borders.tolist()], [*borders.tolist(), len(end)], strict=True):
+            e, n, some = int(end[a]), int(length[a]), who[a:b]
+            if n == 1:  # the shortest piece comes first: a new place
+                mass[e % ring] = 0
+            mass[e % ring, some] += mass[(e - n) % ring, some] * self.p[row[a:b]]
+            if b == len(end) or end[b] != e:
+                done = last[over[e] : over[e + 1]]
+                out[done] = np.log(mass[e % ring, done]) + scale[done]
+                if e % SCALED == 0:
+                    most = mass.max(axis=0)
+                    most[most == 0] = 1
+                    mass /= most
+                    scale += np.log(most)
+        return out
 
     def learn(self, words: set[str]) -> None:
         """Make the scores of ``words`` known."""
         if len(self.rows) + len(words) > REMEMBERED:
             self.rows, self.scores = {}, self.scores[:0]
         new = [w for w in words if w not in self.rows]
-        fresh = [np.zeros((0, len(self.langs)))]
-        for at in range(0, len(new), 20_000):
-            some = new[at : at + 20_000]
-            parts = [blocks(w) for w in some]
-            score = self.forward([b for p in parts for b in p])
-            first = np.cumsum([0] + [len(p) for p in parts[:-1]])
-            fresh.append(np.add.reduceat(score, first))
+        fresh, held, size = [], [], 0
+        most = max(1, MASSES // ((self.known.longest + 1) * max(1, len(self.langs))))
+        long = [w for w in new if len(w) > LONG]
+        new = [w for w in new if len(w) <= LONG]
+        for k, w in enumerate(new):
+            held.append(BLANK + w)
+            size += len(w)
+            if size >= CHARACTERS or len(held) >= most or k + 1 == len(new):
+                fresh.append(self.forward(held))
+                held, size = [], 0
+        fresh += [self.forward([BLANK + w]) for w in long]
         base = len(self.scores)
         self.scores = np.concatenate([self.scores, *fresh])
-        self.rows.update((w, base + k) for k, w in enumerate(new))
+        self.rows.update((w, base + k) for k, w in enumerate(chain(new, long)))
 
-    def predict(self, texts: list[str]) -> tuple[list[str], list[float]]:
-        """Language and posterior probability (equal priors) of each text."""
-        langs, scores = [], []
-        words = [words_of(t) for t in texts]
+    def totals(self, texts: list[list[str]]) -> Iterator[tuple[int, np.ndarray]]:
+        """Place and log-probabilities of each text of words that has any."""
         step, held = 0, 0
-        for k, ws in enumerate(words):  # a batch of texts may hold more words than are remembered
+        for k, ws in enumerate(texts):  # a batch may hold more words than are looked up together
             held += len(ws)
-            if k + 1 == len(words) or held > REMEMBERED // 4:
-                some = words[step : k + 1]
-                self.learn({w for ws in some for w in ws})
-                for ws in some:
-                    if not ws or not self.langs:
-                        langs.append("und")
-                        scores.append(0.0)
-                        continue
-                    total = self.scores[np.fromiter(map(self.rows.__getitem__, ws), int, len(ws))].sum(axis=0)
-                    best = int(np.argmax(total))
-                    langs.append(self.langs[best])
-                    scores.append(float(1 / np.exp(np.minimum(total - total[best], 0)).sum()))
-                step, held = k + 1, 0
-        return langs, scores
+            if k + 1 < len(texts) and held < LOOKED_UP:
+                continue
+            some = [j for j in range(step, k + 1) if texts[j]]
+            for j in some if held > REMEMBERED // 2 else ():  # one very long text: a slice at a time
+                yield j, sum((self.sums([texts[j][a : a + LOOKED_UP]])[0] for a in range(0, len(texts[j]), LOOKED_UP)), np.zeros(len(self.langs)))
+            if held <= REMEMBERED // 2 and some:
+                yield from zip(some, self.sums([texts[j] for j in some]), strict=True)
+            step, held = k + 1, 0
+
+    def sums(self, texts: list[list[str]]) -> np.ndarray:
+        self.learn(set(chain.from_iterable(texts)))
+        sizes = [len(ws) for ws in texts]
+        which = np.fromiter(map(self.rows.__getitem__, chain.from_iterable(texts)), np.int64, sum(sizes))
+        return np.add.reduceat(self.scores[which], np.cumsum([0, *sizes[:-1]]))
 
 
 _scorers: dict[str, Scorer] = {}
@@ -189,41 +257,54 @@ def scorer_of(name: str, path: str, sent: Broadcast) -> Scorer:
     """The worker's scorer of a model; the last one is kept, so that its known words serve later tasks."""
     if name not in _scorers:
         _scorers.clear()
-        _scorers[name] = Scorer(path, *sent.value)
+        _scorers[name] = Scorer(path, Model(*sent.value))
     return _scorers[name]
 
 
-def train(docs: DataFrame, path: str) -> tuple[list[str], dict[int, list[float]], list[float]]:
-    """Languages, the probability of each counted piece in each, and that of a piece never counted.
-
-    What reaches the driver is bounded by vocabulary x MOST_LANGUAGES.
-    """
+def train(docs: DataFrame, path: str) -> Iterator[Model]:
+    """A model for each TOGETHER languages in order of their names; each has at most vocabulary x TOGETHER numbers."""
     counts = shared_table(piece_counts(docs, path), "pieces")
-    rows = counts.groupBy("piece").agg(F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by"))
-    langs = [r[0] for r in counts.select("lang").distinct().orderBy("lang").limit(MOST_LANGUAGES + 1).collect()]
-    if len(langs) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
-    found = {r["piece"]: [float(r["by"].get(x, 0)) for x in langs] for r in rows.collect()}
-    size = len(vocabulary(path)[1])
-    total = np.array(list(found.values())).sum(axis=0) + SMOOTH * size if found else np.ones(len(langs))
-    return langs, {i: ((np.array(n) + SMOOTH) / total).tolist() for i, n in sorted(found.items())}, (SMOOTH / total).tolist()
+    size = len(vocabulary(path).pieces)
+    names = [r[0] for r in counts.select("lang").distinct().orderBy("lang").collect()]
+    for at in range(0, len(names), TOGETHER):
+        langs = names[at : at + TOGETHER]
+        rows = counts.where(F.col("lang").isin(langs)).toPandas()
+        pieces, place = np.unique(rows["piece"].to_numpy(np.int64), return_inverse=True)
+        n = np.zeros((len(pieces), len(langs)))
+        n[place, np.searchsorted(np.array(langs), rows["lang"].to_numpy(str))] = rows["n"]
+        total = n.sum(axis=0) + SMOOTH * size
+        yield Model(langs, pieces, (n + SMOOTH) / total, SMOOTH / total)
 
 
-PREDICTED = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("lang_pred", pa.string()), ("score", pa.float64())])
+STATE = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("text", pa.string()), ("lang_pred", pa.string()), ("top", pa.float64()), ("all", pa.float64())])
 
 
-def identify(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id, held_out (crc32 of the id modulo 3 is 1), lang_pred and score; learns from the rows not held out."""
-    held = (F.crc32(F.coalesce(docs["doc_id"].cast("string"), F.lit("")).cast("binary")) % 3 == 1).alias("held_out")
-    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), held, docs["lang"].alias("lang"), text_or_empty().alias("text"))
-    model = train(rows.where(~F.col("held_out")), path)
-    sent = docs.sparkSession.sparkContext.broadcast(model)  # at most vocabulary x MOST_LANGUAGES numbers
-    name = uuid.uuid4().hex
+def _scored(name: str, path: str, sent: Broadcast):
+    """One model's turn: keeps each text's best language (``top`` its log-probability) and the sum of all so far (``all``, a logarithm)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = scorer_of(name, path, sent)
-        for ids, marks, texts in columns_of(batches):
-            langs, scores = scorer.predict(texts)
-            yield batch(PREDICTED, [ids, marks, langs, scores])
+        for ids, marks, texts, langs, tops, alls in columns_of(batches):
+            for k, total in scorer.totals([words_of(t) for t in texts]):
+                best = int(np.argmax(total))
+                if langs[k] == UNDECIDED or total[best] > tops[k]:
+                    langs[k], tops[k] = scorer.langs[best], float(total[best])
+                alls[k] = float(np.logaddexp.reduce(total, initial=alls[k]))
+            yield batch(STATE, [ids, marks, texts, langs, tops, alls])
+
+    return run
 
-    return rows.select("doc_id", "held_out", "text").mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
+
+UNDECIDED = "und"
+
+
+def identify(docs: DataFrame, path: str) -> DataFrame:
+    """doc_id, held_out (crc32 of the id modulo 3 is 1), lang_pred and score; learns from the rows not held out."""
+    held = (F.crc32(F.coalesce(docs["doc_id"].cast("string"), F.lit("")).cast("binary")) % 3 == 1).alias("held_out")
+    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), held, docs["lang"].alias("lang"), text_or_empty().alias("text"))
+    least = F.lit(float("-inf"))
+    found = rows.select("doc_id", "held_out", "text", F.lit(UNDECIDED).alias("lang_pred"), least.alias("top"), least.alias("all"))
+    for model in train(rows.where(~F.col("held_out")), path):
+        sent = docs.sparkSession.sparkContext.broadcast(tuple(model))  # at most vocabulary x TOGETHER numbers
+        found = found.mapInArrow(_scored(uuid.uuid4().hex, path, sent), "doc_id long, held_out boolean, text string, lang_pred string, top double, all double")
+    return found.select("doc_id", "held_out", "lang_pred", F.when(F.col("lang_pred") == UNDECIDED, 0.0).otherwise(F.exp(F.col("top") - F.col("all"))).alias("score"))

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 import re
 from collections import Counter
+from fractions import Fraction
 
 import duckdb
 import numpy as np
@@ -452,33 +454,46 @@ def test_joins_agree_on_odd_texts(monkeypatch):
 # 7 ----------------------------------------------------------------------------------------------
 
 
-def test_forward_sums_all_segmentations():
+@pytest.mark.parametrize("tiny", [1.0, 1e-12])
+def test_forward_sums_all_segmentations(tiny):
+    """Short words by recursion over all segmentations, words of any length by exact fractions over prefixes."""
     path = tokenizer("piece_bpe_32k.model")
-    _, numbers, _ = langid.vocabulary(path)
+    numbers = langid.vocabulary(path).pieces
     r = random.Random(10)
-    table = {i: [r.random() / 10, r.random() / 10] for i in numbers.values()}
-    scorer = langid.Scorer(path, ["a", "b"], table, [0.001, 0.002])
+    counted = sorted(set(numbers.values()) - set(r.sample(sorted(numbers.values()), 5000)))
+    table = {i: [tiny * r.random() / 10, tiny * r.random() / 10] for i in counted}
+    floor = [tiny * 0.001, tiny * 0.002]
+    scorer = langid.Scorer(path, langid.Model(["a", "b"], np.array(counted), np.array(list(table.values())), np.array(floor)))
+    p = lambda x, k: table[numbers[x]][k] if numbers.get(x) in table else floor[k] if x in numbers else langid.UNKNOWN if len(x) == 1 else 0.0
 
     def mass(text, k):
-        if not text:
-            return 1.0
-        total = 0.0
+        return sum(p(text[:end], k) * mass(text[end:], k) for end in range(1, len(text) + 1)) if text else 1.0
+
+    def long_mass(text, k):
+        done = [Fraction(1)]
         for end in range(1, len(text) + 1):
-            i = numbers.get(text[:end])
-            if i is not None or end == 1:
-                total += (table[i][k] if i is not None else langid.UNKNOWN) * mass(text[end:], k)
-        return total
+            done.append(sum(done[a] * Fraction(p(text[a:end], k)) for a in range(max(0, end - 16), end)))
+        return math.log(done[-1].numerator) - math.log(done[-1].denominator)
+
+    words = ["▁the", "▁that", "▁日x", "ing", "▁"]
+    assert np.allclose(scorer.forward(words), [[math.log(mass(w, k)) for k in (0, 1)] for w in words])
+    words += ["▁" + "".join(r.choice(["the", "tion", "日", "q", "ing"]) for _ in range(n)) for n in (20, 60, 200)]
+    assert np.allclose(scorer.forward(words), [[long_mass(w, k) for k in (0, 1)] for w in words])
+    scorer.learn({w[1:] for w in words})
+    assert np.allclose(scorer.scores[scorer.rows[words[-1][1:]]], scorer.forward(words[-1:])[0])
+
 
-    words = ["▁the", "▁that", "▁日x", "ing"]
-    got = np.exp(scorer.forward(words))
-    assert np.allclose(got, [[mass(w, k) for k in (0, 1)] for w in words])
+def test_words_are_runs_of_letters():
+    assert langid.words_of("½ ² 5 Ⅷ ① _") == []
+    assert langid.words_of("Año2x² İs, d'été ⅷa日本") == ["año", "x", "i", "s", "d", "été", "a日本"]
+    assert langid.words_of("x" * 500) == ["x" * 500]
 
 
-def test_languages_of_held_out_texts(spark, nothing):
+def test_languages_of_held_out_texts(spark, nothing, monkeypatch):
     r = random.Random(11)
     sounds = {"aa": ["the", "ing", "tion", "and", "er"], "bb": ["ung", "sch", "keit", "der", "ein"], "cc": ["eau", "oui", "ment", "les", "que"]}
     rows = [(i, " ".join("".join(r.choice(sounds[k]) for _ in range(r.randint(1, 3))) for _ in range(12)), k, "s", 1, "", "", 1, "") for i, k in enumerate(r.choices(list(sounds), k=300))]
-    rows += [(1000, None, "aa", None, None, "", "", 1, ""), (1001, "12 !", None, None, None, "", "", 1, ""), (1002, "x" * 500, None, "s", 1, "", "", 1, ""), (None, "the thing", None, "s", 1, "", "", 1, "")]
+    rows += [(1000, None, "aa", None, None, "", "", 1, ""), (1001, "½ ² 5 Ⅷ!", None, None, None, "", "", 1, ""), (1002, "x" * 500, None, "s", 1, "", "", 1, ""), (None, "the thing", None, "s", 1, "", "", 1, "")]
     df = spark.createDataFrame(rows, SCHEMA)
     path = tokenizer("piece_bpe_32k.model")
     got = {x["doc_id"]: x for x in langid.identify(df, path).collect()}
@@ -487,6 +502,9 @@ def test_languages_of_held_out_texts(spark, nothing):
     assert (got[1000]["lang_pred"], got[1000]["score"]) == ("und", 0.0) and got[1001]["lang_pred"] == "und"
     assert got[1002]["lang_pred"] in sounds and got[None]["lang_pred"] == "aa"
     assert langid.identify(nothing, path).count() == 0
+    monkeypatch.setattr(langid, "TOGETHER", 2)  # the same by groups of languages
+    again = {x["doc_id"]: x for x in langid.identify(df, path).collect()}
+    assert all(again[k]["lang_pred"] == x["lang_pred"] and abs(again[k]["score"] - x["score"]) < 1e-9 for k, x in got.items())
     only = df.withColumn("lang", F.lit(None).cast("string"))
     assert {x["lang_pred"] for x in langid.identify(only, path).collect()} == {"und"}
 
