@@ -11,10 +11,9 @@ window that is removed. Over a corpus:
    A task reports only the first of its own copies, so a passage shared
    by a third of all documents gives each task one row.
 3. Runs that share a minimizer and differ (where a repeat begins or ends) are
-   fetched as bytes and their windows put in suffix order (prefix doubling).
-   Within equal prefixes, ties are in text order, so the previous smaller
-   position of each suffix but the first is its neighbour, and its factor
-   reaches ``length``. Minimizers with very many different runs are dealt further by
+   fetched as bytes and their windows put in suffix order (prefix doubling). The previous and the next
+   smaller text position in that order give each suffix its longest previous factor, and
+   those of ``length`` bytes or more mark the windows that go. Minimizers with very many different runs are dealt further by
    the minimizers of longer grams, and where that leaves a group of over MANY runs, by the
    128-bit hashes of single windows: a task reports the first window of each hash among its own.
 4. Removed windows are joined to the documents and cut out.
@@ -47,7 +46,7 @@ GRAM = 32
 LONG_GRAM = 80
 HOT = 1000
 #: Groups of more runs than this are compared by hashes of their windows.
-MANY = 4000
+MANY = 1000
 #: Bytes that a task looks at together.
 CHUNK = 1 << 22
 FIRST_ID = -(2**63)
@@ -191,24 +190,34 @@ def suffix_ranks(data: np.ndarray, length: int) -> np.ndarray:
     return rank
 
 
-def previous_factor(order: np.ndarray, common: np.ndarray, position: np.ndarray) -> np.ndarray:
-    """Longest previous factors from a suffix order.
+def previous_factor(order: np.ndarray, common: np.ndarray, position: np.ndarray, least: int = 1) -> np.ndarray:
+    """Longest previous factors from a suffix order; those under ``least`` count as 0.
 
     order: suffixes in suffix order. common[i]: bytes that order[i] shares with order[i-1].
     position: text order of each suffix. For each suffix, the nearest ones before and after it in suffix
-    order with a smaller position share most with it among all earlier ones; both are found with one stack.
+    order with a smaller position share most with it among all earlier ones. Both are found by pointers that start at the
+    neighbours: what a pointer has passed is not smaller, so from a suffix that is not
+    smaller either it goes on to where that one's pointer stands, and keeps the least number of bytes shared on the way.
     """
-    factor = np.zeros(len(order), np.int64)
-    stack: list[tuple[int, int]] = []  # (place, bytes shared with the entry below)
-    for i in range(len(order)):
-        shared = int(common[i]) if i else 0
-        while stack and position[order[stack[-1][0]]] > position[order[i]]:
-            place, below = stack.pop()
-            factor[order[place]] = max(factor[order[place]], shared)  # order[i] is its next smaller position
-            shared = min(shared, below)
-        if stack:
-            factor[order[i]] = max(factor[order[i]], shared)  # the entry below is its previous smaller position
-        stack.append((i, shared))
+    n, at = len(order), position[order]
+    best = np.zeros(n, np.int64)
+    for step in (-1, 1):
+        # One place past each end that nothing shares bytes with.
+        to = np.append(np.arange(n) + step, n)
+        to[to < 0] = n
+        shared = np.zeros(n + 1, np.int64)
+        shared[:n] = common if step < 0 else np.append(common[1:], 0)
+        shared[:n][to[:n] == n] = 0
+        left = np.flatnonzero(shared[:n] >= least)
+        while len(left):
+            found = at[to[left]] < at[left]
+            best[left[found]] = np.maximum(best[left[found]], shared[left[found]])
+            left = left[~found]
+            over, reach = to[to[left]], np.minimum(shared[left], shared[to[left]])
+            to[left], shared[left] = over, reach
+            left = left[reach >= least]
+    factor = np.zeros(n, np.int64)
+    factor[order] = best
     return factor
 
 
@@ -223,14 +232,18 @@ def later_windows(rows: list[tuple[int, int, int, bytes]], length: int) -> tuple
     offset = np.arange(len(who)) - np.repeat(np.cumsum(windows) - windows, windows)
     ids, keys, starts = (np.array([r[j] for r in rows], np.int64)[who] for j in range(3))
     place = starts + offset
+    # Text order; rows that are one document have places in common.
+    text = np.lexsort((place, keys, ids))
+    new = np.ones(len(text), bool)
+    new[1:] = (np.diff(place[text]) != 0) | (np.diff(keys[text]) != 0) | (np.diff(ids[text]) != 0)
+    position = np.empty(len(text), np.int64)
+    position[text] = np.cumsum(new)
+    # Suffix order by the first ``length`` bytes; more need not be told apart, so equal ones stand in text order.
     same = rank[first[who] + offset]
-    order = np.lexsort((place, keys, ids, same))
-    who, offset, ids, keys, place, same = (x[order] for x in (who, offset, ids, keys, place, same))
-    # Equal suffixes are neighbours in text order: the previous smaller position of each is before it, at full length.
-    head = np.ones(len(who), bool)
-    head[1:] = same[1:] != same[:-1]
-    least = np.maximum.accumulate(np.where(head, np.arange(len(who)), 0))
-    later = (place != place[least]) | (ids != ids[least]) | (keys != keys[least])
+    order = text[np.argsort(same[text], kind="stable")]
+    common = np.zeros(len(order), np.int64)
+    common[1:] = np.where(same[order][1:] == same[order][:-1], length, 0)
+    later = np.flatnonzero(previous_factor(order, common, position, length) >= length)
     return who[later], offset[later]
 
 
@@ -366,8 +379,8 @@ def removed_spans(docs: DataFrame, keep: tuple[str, ...] = (), length: int = LEN
     contents = shared_table(found, "contents")
     # A minimizer that was not dealt further has HOT runs at most.
     many = shared_table(contents.where("deep").groupBy("sk").count().where(F.col("count") > MANY).select("sk"), "many")
-    by_hash = _spans_by_hash(contents.where("deep").join(F.broadcast(many), "sk", "left_semi"), length)
-    few = contents.drop("deep").join(F.broadcast(many), "sk", "left_anti")
+    by_hash = _spans_by_hash(contents.where("deep").join(many, "sk", "left_semi"), length)
+    few = contents.drop("deep").join(many, "sk", "left_anti")
     later = few.repartition("sk").sortWithinPartitions("sk").mapInArrow(_later_spans(length), "ord long, rk long, span long")
     every = events.select("ord", "rk", F.explode("spans").alias("span")).unionByName(later).unionByName(by_hash)
     spans = shared_table(every.groupBy("ord", "rk").agg(F.array_sort(F.collect_list("span")).alias("spans")), "spans")

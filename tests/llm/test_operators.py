@@ -6,6 +6,7 @@ import hashlib
 import math
 import random
 import re
+import tracemalloc
 from collections import Counter
 from fractions import Fraction
 
@@ -134,13 +135,27 @@ def test_segments_of_a_long_text_cover_every_window():
     assert seen == set(range(901))
 
 
-def test_previous_factor_by_hand():
-    text = b"abaababaab"
+@pytest.mark.parametrize("text", [b"abaababaab", b"a" * 70, bytes(random.Random(3).choices(b"ab", k=300)), b"abc" * 40 + b"ab" * 30])
+def test_previous_factor_by_hand(text):
     order = sorted(range(len(text)), key=lambda i: text[i:])
     share = lambda a, b: next((k for k, (x, y) in enumerate(zip(text[a:], text[b:], strict=False)) if x != y), min(len(text) - a, len(text) - b))
     common = [0] + [share(a, b) for a, b in zip(order, order[1:], strict=False)]
-    got = suffix_dedup.previous_factor(np.array(order), np.array(common), np.arange(len(text)))
-    assert got.tolist() == [max((share(i, j) for j in range(i)), default=0) for i in range(len(text))]
+    want = [max((share(i, j) for j in range(i)), default=0) for i in range(len(text))]
+    for least in (1, 5, 30):
+        got = suffix_dedup.previous_factor(np.array(order), np.array(common), np.arange(len(text)), least)
+        assert got.tolist() == [w if w >= least else 0 for w in want]
+
+
+def test_many_surroundings_of_one_string_stay_in_bounds():
+    """20,000 runs around one string: no round of the pointers, and no sort, goes over more than the windows themselves."""
+    r = random.Random(5)
+    middle = bytes(r.choices(b"abcdefgh", k=80))
+    rows = [(i, 0, 0, r.randbytes(15) + middle + r.randbytes(15)) for i in range(20_000)]
+    tracemalloc.start()
+    who, offset = suffix_dedup.later_windows([*rows, (30_000, 0, 0, rows[7][3])], 100)
+    _, most = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert set(who.tolist()) == {20_000} and sorted(offset.tolist()) == list(range(11)) and most < 600e6
 
 
 def test_suffix_dedup_with_null_ids_and_repeated_rows(spark, nothing):
