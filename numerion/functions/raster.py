@@ -103,7 +103,7 @@ def otsu(t: Column) -> Column:
 
 def light_background(t: Column, threshold: Column) -> Column:
     """Whether at least half of the pixels are brighter than the threshold."""
-    return 2 * F.size(F.filter(t, lambda x: x > threshold)) >= F.size(t)
+    return let(threshold, lambda level: 2 * F.size(F.filter(t, lambda x: x > level)) >= F.size(t))
 
 
 def median2(t: Column) -> Column:
@@ -113,6 +113,17 @@ def median2(t: Column) -> Column:
     return let(s, lambda o: F.get(o, F.floor((n - 1) / 2).cast("int")) + F.get(o, F.floor(n / 2).cast("int")))
 
 
+def quantile(t: Column, tenths: int) -> Column:
+    """Ten times the value that ``tenths`` of ten values lie under, by linear interpolation between neighbours; an integer."""
+
+    def between(o: Column) -> Column:
+        place = tenths * (F.size(o) - 1)
+        low = F.floor(place / 10).cast("int")
+        return 10 * F.get(o, low) + (place % 10) * (F.get(o, F.least(low + 1, F.size(o) - 1)) - F.get(o, low))
+
+    return F.when(F.size(t) > 0, let(F.array_sort(t), between)).cast("long")
+
+
 def total(t: Column) -> Column:
     return F.aggregate(t, F.lit(0).cast("long"), lambda a, x: a + x)
 
@@ -147,20 +158,24 @@ def moments(t: Column, w: int, h: int) -> Column:
 def labelled(t: Column, w: int, h: int) -> Column:
     """The 8-connected component of each ink pixel: its least pixel number + 1; 0 for paper.
 
-    A label travels one pixel a round; no path in the raster is longer than half of it.
+    A label travels one pixel a round, and rounds end where none has moved; no path in the raster is longer than half of it.
     """
     start = F.transform(t, lambda v, i: F.when(v > 0, (i + 1).cast("long")).otherwise(F.lit(0).cast("long")))
     big = w * h + 1
 
-    def round_(labels: Column, _: Column) -> Column:
-        def one(i: Column) -> Column:
+    def moved(labels: Column) -> Column:
+        def one(v: Column, i: Column) -> Column:
             near = [inside(labels, i, dr, dc, w, h, 0) for dr, dc in SQUARE3]
-            least = F.least(*(F.when(n > 0, n).otherwise(big) for n in near))
-            return F.when(F.get(labels, i) > 0, least).otherwise(F.lit(0).cast("long"))
+            return F.when(v > 0, F.least(*(F.when(n > 0, n).otherwise(big) for n in near))).otherwise(v)
+
+        return F.transform(labels, one)
 
-        return F.transform(pixels(w, h), one)
+    def round_(state: Column, _: Column) -> Column:
+        after = lambda new: F.struct(new.alias("labels"), (new == state["labels"]).alias("still"))
+        return F.when(state["still"], state).otherwise(let(moved(state["labels"]), after))
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(w * h // 2)), start, round_)
+    first = F.struct(start.alias("labels"), F.lit(False).alias("still"))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(w * h // 2)), first, round_, lambda state: state["labels"])
 
 
 def horizontal_runs(t: Column, w: int, h: int, length: int) -> Column:

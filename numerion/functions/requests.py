@@ -20,11 +20,15 @@ def range_status(value: Column, low: float, high: float) -> Column:
     return F.when(value.isNull() | value.between(low, high), 200).otherwise(422)
 
 
-def output_name(name: Column, suffix: str = "_annotated", kind: str = ".png") -> Column:
-    """The name of the annotated copy: the stem, a suffix, and an image kind."""
-    stem = F.regexp_replace(name, r"\.[^.]*$", "")
-    found = F.regexp_extract(name, r"(\.(?:png|jpg|jpeg|bmp))$", 1)
-    return F.concat(stem, F.lit(suffix), F.when(found == "", kind).otherwise(found))
+def output_name(path: Column, given: Column | None = None, debug: Column | None = None) -> Column:
+    """Where the annotated copy of ``path`` goes: the given place, else ``<stem>_detected.png`` in the debug folder, else beside it."""
+    beside = F.concat(F.regexp_replace(path, r"(?<=[^/])\.[^./]*$", ""), F.lit("_detected.png"))
+    choices = [beside]
+    if debug is not None:
+        choices.insert(0, F.concat(debug, F.lit("/"), F.substring_index(beside, "/", -1)))
+    if given is not None:
+        choices.insert(0, given)
+    return F.coalesce(*choices)
 
 
 def first_model(names: Column, order: tuple[str, ...] = (".onnx", ".keras", ".tflite")) -> Column:

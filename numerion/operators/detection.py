@@ -92,7 +92,7 @@ def crops_of(row, p: Reading) -> np.ndarray:
     for k, b in enumerate(row.boxes):
         at = np.s_[b["y"] : b["y"] + b["h"], b["x"] : b["x"] + b["w"]]
         mask = np.isin(labels[at], np.asarray(b["parts"], np.int32))
-        out[k] = K.normalised(K.soft_ink(soft[at], mask, on_light, paper) if p.soft_crops else mask * 255.0, p)
+        out[k] = K.normalised(K.soft_ink(soft[at], mask, on_light, paper, p) if p.soft_crops else mask * 255.0, p)
     return out
 
 
@@ -123,7 +123,7 @@ def read(packed: DataFrame, model, p: Reading | None = None, min_conf: float = 0
     pages = pages.withColumn("boxes", F.coalesce("boxes", F.expr(empty))).withColumn("rejects", F.coalesce("rejects", F.expr(no)))
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model.warm_up()
+        model.predict(np.zeros((1, p.out_size, p.out_size)))  # sets itself up once, before the first page
         for part in parts:
             rows = []
             for row in part.itertuples():

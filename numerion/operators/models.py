@@ -32,19 +32,13 @@ def softmax(z: np.ndarray) -> np.ndarray:
 
 
 class Model:
-    def _run(self, x: np.ndarray) -> np.ndarray:
-        raise NotImplementedError
+    """A classifier is its ``scores``: a function of prepared images, one row of ten for each."""
 
-    def predict(self, x: np.ndarray) -> np.ndarray:
-        x = prepared(x)
-        return self._run(x) if len(x) else np.zeros((0, 10), np.float32)
+    scores = staticmethod(lambda images: np.zeros((len(images), 10), np.float32))
 
-    def warm_up(self) -> None:
-        self.predict(np.zeros((1, SIZE, SIZE)))
-
-    def labels(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        scores = self.predict(x)
-        return scores.argmax(axis=1), scores.max(axis=1, initial=0)
+    def predict(self, images: np.ndarray) -> np.ndarray:
+        batch = prepared(images)
+        return self.scores(batch) if len(batch) else Model.scores(batch)
 
 
 class Convolutional(Model):
@@ -79,7 +73,7 @@ class Convolutional(Model):
         n, h, w, c = x.shape
         return x[:, : h // 2 * 2, : w // 2 * 2].reshape(n, h // 2, 2, w // 2, 2, c).max(axis=(2, 4))
 
-    def _run(self, x: np.ndarray) -> np.ndarray:
+    def scores(self, x: np.ndarray) -> np.ndarray:
         w = self.w
         x = self.pool(self.conv(x[..., None], w["c1"], w["b1"]))
         x = self.pool(self.conv(self.conv(x, w["c2"], w["b2"]), w["c3"], w["b3"])).reshape(len(x), -1)
@@ -94,7 +88,7 @@ class Templates(Model):
         drawn = np.array([[K.normalised(K.glyph(d, h, s) * 255.0, p).ravel() for h in heights for s in strokes] for d in range(10)])
         self.t = drawn / np.linalg.norm(drawn, axis=2, keepdims=True)
 
-    def _run(self, x: np.ndarray) -> np.ndarray:
+    def scores(self, x: np.ndarray) -> np.ndarray:
         flat = x.reshape(len(x), -1)
         flat = flat / np.maximum(np.linalg.norm(flat, axis=1, keepdims=True), 1e-9)
         return softmax(80 * np.einsum("nk,dvk->ndv", flat, self.t).max(axis=2))
@@ -106,7 +100,7 @@ class Linear(Model):
     def __init__(self, coefficients: np.ndarray, intercepts: np.ndarray) -> None:
         self.c, self.i = coefficients, intercepts
 
-    def _run(self, x: np.ndarray) -> np.ndarray:
+    def scores(self, x: np.ndarray) -> np.ndarray:
         return softmax(x.reshape(len(x), -1) @ self.c.T + self.i)
 
     @classmethod
@@ -131,7 +125,7 @@ class Onnx(Model):
     def __getstate__(self) -> dict:
         return {"path": self.path, "_session": None}
 
-    def _run(self, x: np.ndarray) -> np.ndarray:
+    def scores(self, x: np.ndarray) -> np.ndarray:
         if self._session is None:
             import onnxruntime
 

@@ -39,10 +39,20 @@ def header_text(text: Column) -> Column:
     return F.replace(text, F.lit("\n"), F.lit("|"))
 
 
-def page_json(pages: DataFrame) -> DataFrame:
-    """image_id, payload (JSON), header and exit_code (0: digits found, 1: none)."""
-    payload = F.to_json(F.struct("image_id", "text", "digit_count"))
-    return pages.select("image_id", payload.alias("payload"), header_text(F.col("text")).alias("header"), F.when(F.col("digit_count") > 0, 0).otherwise(1).alias("exit_code"))
+def page_json(pages: DataFrame, digits: DataFrame, rejected: DataFrame) -> DataFrame:
+    """image_id, payload (JSON: text, lines of digits with their boxes, rejected boxes), header and exit_code (0: digits found, 2: none).
+
+    A confidence is written with four places. ``digits`` has line, pos, x, y, w, h, shown, label, confidence and accepted; ``rejected`` x, y, w, h, reason.
+    """
+    place = ("x", "y", "w", "h")
+    one = F.struct(*place, "label", F.col("confidence").cast("decimal(5,4)").alias("confidence"), "accepted")
+    by_place = lambda key, value: F.transform(F.array_sort(F.collect_list(F.struct(*key, value.alias("v")))), lambda s: s["v"])
+    lines = digits.groupBy("image_id", "line").agg(ordered_text(F.col("shown"), F.col("pos"), "").alias("text"), by_place(["pos"], one).alias("digits"))
+    listed = lines.groupBy("image_id").agg(by_place(["line"], F.struct("line", "text", "digits")).alias("lines"))
+    left = rejected.groupBy("image_id").agg(F.array_sort(F.collect_list(F.struct(*place, "reason"))).alias("rejected"))
+    whole = pages.join(listed, "image_id", "left").join(left, "image_id", "left")
+    payload = F.to_json(F.struct("image_id", "text", "digit_count", "lines", "rejected"))
+    return whole.select("image_id", payload.alias("payload"), header_text(F.col("text")).alias("header"), F.when(F.col("digit_count") > 0, 0).otherwise(2).alias("exit_code"))
 
 
 def drawing(digits: DataFrame, rejected: DataFrame) -> DataFrame:

@@ -18,32 +18,74 @@ def over_white(c: Column, a: Column) -> Column:
     return F.floor((c * a + 255 * (255 - a)) / 255).cast("long")
 
 
+def _black(on: Column) -> Column:
+    return F.when(on, F.lit(255).cast("long")).otherwise(F.lit(0).cast("long"))
+
+
 def local_threshold(t: Column, light: Column, c: int, w: int, h: int) -> Column:
     """Ink (255) where a pixel differs from its blurred neighbourhood by over ``c`` on the ink side."""
-    mean = X.convolve(t, X.BLUR5, w, h)
-    return X.let(mean, lambda m: F.transform(t, lambda v, i: F.when(F.when(light, v <= F.get(m, i) - c).otherwise(v > F.get(m, i) + c), F.lit(255).cast("long")).otherwise(F.lit(0).cast("long"))))
+    pair = lambda b: F.transform(t, lambda v, i: _black(F.when(b["light"], v <= F.get(b["mean"], i) - c).otherwise(v > F.get(b["mean"], i) + c)))
+    return X.let(F.struct(X.convolve(t, X.BLUR5, w, h).alias("mean"), light.alias("light")), pair)
 
 
 def global_threshold(t: Column, light: Column, level: Column) -> Column:
-    return F.transform(t, lambda v: F.when(F.when(light, v <= level).otherwise(v > level), F.lit(255).cast("long")).otherwise(F.lit(0).cast("long")))
+    return F.transform(t, lambda v: _black(F.when(light, v <= level).otherwise(v > level)))
+
+
+def levelled(tiles: DataFrame, w: int, h: int) -> DataFrame:
+    """Adds blurred, level and light."""
+    blurred = tiles.withColumn("blurred", X.convolve(F.col("t"), X.BLUR3, w, h)).withColumn("level", X.otsu(F.col("blurred")))
+    return blurred.withColumn("light", X.light_background(F.col("blurred"), F.col("level")))
 
 
 def binarise(tiles: DataFrame, c: int = 3, w: int = 8, h: int = 8) -> DataFrame:
-    """Adds blurred, level, light, and ink: the local threshold, or the global one where that finds ink in over half of the tile."""
-    blurred = tiles.withColumn("blurred", X.convolve(F.col("t"), X.BLUR3, w, h))
-    levelled = blurred.withColumn("level", X.otsu(F.col("blurred")))
-    lit = levelled.withColumn("light", X.light_background(F.col("blurred"), F.col("level")))
-    local = lit.withColumn("local_", local_threshold(F.col("blurred"), F.col("light"), c, w, h))
-    wrong = 2 * X.count_ink(F.col("local_")) > w * h
-    return local.withColumn("ink", F.when(wrong, global_threshold(F.col("blurred"), F.col("light"), F.col("level"))).otherwise(F.col("local_"))).drop("local_")
+    """Adds blurred, level, light, and ink: the local threshold, or the global one where that finds ink in over half of the tile.
+
+    What pixel lambdas read is bound before them: a column named inside one would be worked out again for each pixel.
+    """
+    told = levelled(tiles, w, h)
+    local = told.withColumn("local_", local_threshold(F.col("blurred"), F.col("light"), c, w, h))
+    everywhere = X.let(F.struct("blurred", "light", "level"), lambda s: global_threshold(s["blurred"], s["light"], s["level"]))
+    return local.withColumn("ink", F.when(2 * X.count_ink(F.col("local_")) > w * h, everywhere).otherwise(F.col("local_"))).drop("local_")
 
 
 def line_source(tiles: DataFrame, contrast: int = 25, w: int = 8, h: int = 8) -> DataFrame:
     """Adds paper2 (twice the median gray) and mask: what differs from it by over ``contrast`` on the ink side."""
-    measured = tiles.withColumn("blurred", X.convolve(F.col("t"), X.BLUR3, w, h)).withColumn("level", X.otsu(F.col("blurred")))
-    told = measured.withColumn("light", X.light_background(F.col("blurred"), F.col("level"))).withColumn("paper2", X.median2(F.col("blurred")))
-    out = lambda v: F.when(F.col("light"), 2 * v < F.col("paper2") - 2 * contrast).otherwise(2 * v > F.col("paper2") + 2 * contrast)
-    return told.withColumn("mask", F.transform("blurred", lambda v: F.when(out(v), F.lit(255).cast("long")).otherwise(F.lit(0).cast("long"))))
+    told = levelled(tiles, w, h).withColumn("paper2", X.median2(F.col("blurred")))
+    far = lambda s: F.transform(s["g"], lambda v: _black(F.when(s["light"], 2 * v < s["paper2"] - 2 * contrast).otherwise(2 * v > s["paper2"] + 2 * contrast)))
+    return told.withColumn("mask", X.let(F.struct(F.col("blurred").alias("g"), "light", "paper2"), far))
+
+
+def soft_ink(tiles: DataFrame, w: int = 8, h: int = 8) -> DataFrame:
+    """vec_id, core, soft: how far pixels are from paper, 255 from the core on, 0 off the grown ink.
+
+    The core is the ninth tenth of the ink's depths (20 times it, an integer); paper is the median off the grown ink, or of the
+    whole tile where that has under 20 pixels. Where the core is one level or less, the ink itself is taken.
+    """
+    grown = binarise(tiles, w=w, h=h).withColumn("near", X.dilate(F.col("ink"), X.CROSS3, w, h))
+    paper = F.filter("t", lambda v, i: F.get("near", i) == 0)
+    told = grown.withColumn("paper2", X.let(paper, lambda x: F.when(F.size(x) >= 20, X.median2(x)).otherwise(X.median2(F.col("t")))))
+    depth = lambda s: F.transform(s["t"], lambda v: F.when(s["light"], s["paper2"] - 2 * v).otherwise(2 * v - s["paper2"]))
+    deep = told.withColumn("depth", X.let(F.struct("t", "light", "paper2"), depth)).withColumn("core", X.quantile(F.filter("depth", lambda v, i: F.get("ink", i) > 0), 9))
+    zero = F.lit(0).cast("long")
+    scaled = lambda s: F.transform(s["depth"], lambda v, i: F.when(F.get(s["near"], i) == 0, zero).otherwise(F.floor(255 * F.greatest(zero, F.least(10 * v, s["core"])) / s["core"]).cast("long")))
+    soft = F.when(F.coalesce(F.col("core") <= 20, F.lit(True)), F.col("ink")).otherwise(X.let(F.struct("depth", "near", "core"), scaled))
+    return deep.select("vec_id", "core", soft.alias("soft"))
+
+
+def paper_mask(tiles: DataFrame, saturation: int = 90, w: int = 8, h: int = 8) -> DataFrame:
+    """vec_id, level, sheet: bright pixels (at Otsu's level of the blurred brightness or over it) with little colour, closed and opened.
+
+    Channels are the arrays ``blue``, ``green``, ``red``; saturation is 255 times the channels' spread over the greatest, rounded.
+    """
+    three = F.transform(F.arrays_zip("blue", "green", "red"), lambda z: F.array(z["blue"], z["green"], z["red"]))
+    cells = F.transform(three, lambda c: F.struct(F.array_max(c).alias("hi"), F.array_min(c).alias("lo")))
+    valued = tiles.withColumn("cells", cells).withColumn("value", F.transform("cells", lambda c: c["hi"]))
+    bright = valued.withColumn("smooth", X.convolve(F.col("value"), X.BLUR5, w, h)).withColumn("level", X.otsu(F.col("smooth")))
+    pale = lambda c: 2 * 255 * (c["hi"] - c["lo"]) < (2 * saturation + 1) * F.greatest(c["hi"], F.lit(1).cast("long"))
+    on = X.let(F.struct("cells", "level"), lambda s: F.transform(s["cells"], lambda c: _black((c["hi"] >= s["level"]) & pale(c))))
+    closed = bright.withColumn("on_", on).withColumn("closed_", X.closed(F.col("on_"), X.CROSS3, w, h))
+    return closed.select("vec_id", "level", X.opened(F.col("closed_"), X.CROSS3, w, h).alias("sheet"))
 
 
 def components(tiles: DataFrame, mask: str = "ink", w: int = 8, h: int = 8) -> DataFrame:

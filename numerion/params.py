@@ -36,6 +36,32 @@ class Reading:
     soft_crops: bool = True
     fit_size: int = 20
     out_size: int = 28
+    # When a run is a ruled line, and how strokes across one are mended.
+    line_min_digit: int = 20
+    line_digit_lengths: float = 2.5
+    line_digit_thickness: float = 0.2
+    line_page_length: int = 4
+    line_page_thickness: int = 25
+    line_least: tuple[int, int] = (15, 6)
+    line_least_alone: tuple[int, int] = (30, 6)
+    line_full_row: float = 0.6
+    line_band: int = 2
+    line_bridge: int = 9
+    # The window of the local threshold.
+    window_least: int = 31
+    window_part: int = 8
+    window_min_digit: int = 8
+    window_digits: float = 2.5
+    # How far strokes are from their target to be changed, and to which part of a digit at most.
+    stroke_thin: float = 0.5
+    stroke_fat: float = 2.0
+    stroke_fat_target: float = 1.5
+    stroke_grow_part: int = 6
+    stroke_shrink_part: int = 10
+    stroke_left: float = 0.3
+    # Paper pixels that give a level of their own, and the share of ink that counts as the core.
+    soft_paper: int = 20
+    soft_core: float = 0.9
 
     @classmethod
     def of(cls, options: dict) -> Reading:

@@ -145,11 +145,15 @@ def _ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.reading_order(B.digit_boxes(_boxes(spark, sf_dir), PAGE)[0])
 
 
-def _digits(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _labelled(ordered: DataFrame) -> DataFrame:
     """Ordered boxes with a stand-in label and confidence, computed from their place."""
     label = ((F.col("comp_id") * 7 + F.col("x") * 3 + F.col("y")) % 10).alias("label")
     conf = ((F.col("x") * 37 + F.col("w") * 11 + F.col("h")) % 10007 / 10007.0).alias("conf")
-    return _ordered(spark, sf_dir).select("*", label, conf)
+    return ordered.select("*", label, conf)
+
+
+def _digits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _labelled(_ordered(spark, sf_dir))
 
 
 def prefilter_reasons(spark, sf_dir):
@@ -223,7 +227,10 @@ def read_page_text(spark, sf_dir):
 
 
 def page_json(spark, sf_dir):
-    return R.page_json(R.page_texts(_boxes(spark, sf_dir).select("image_id").distinct(), R.accept(_digits(spark, sf_dir), "conf", 0.5)))
+    """The chain of boxes runs once for the digits and once for what it rejects."""
+    kept, rejected = B.digit_boxes(_boxes(spark, sf_dir), PAGE)
+    digits = R.accept(_labelled(B.reading_order(kept)), "conf", 0.5)
+    return R.page_json(R.page_texts(_boxes(spark, sf_dir).select("image_id").distinct(), digits), digits, rejected)
 
 
 def rescaled_boxes(spark, sf_dir):
@@ -255,6 +262,8 @@ SELECT image_id, x, y, w, h, reason FROM marked WHERE reason IS NOT NULL
 UNION ALL SELECT image_id, x, y, w, h, reason FROM lined WHERE reason IS NOT NULL
 UNION ALL SELECT image_id, x, y, w, h, reason FROM pieces WHERE reason IS NOT NULL"""
 
+_BOX = ",".join(f"\"{c}\":' || {c} || '" for c in "xywh")
+
 QUERIES = {
     "boxes": (_boxes, f"WITH {S.BOXES} SELECT * FROM boxes"),
     "prefilter_reasons": (prefilter_reasons, _with(MARKED, "SELECT image_id, comp_id, reason FROM marked")),
@@ -291,8 +300,16 @@ QUERIES = {
     "read_page_text": (read_page_text, _with(ACCEPTED, "SELECT image_id, text, digit_count, n_lines FROM page_texts")),
     "page_json": (
         page_json,
-        _with(ACCEPTED, """SELECT image_id, '{"image_id":' || image_id || ',"text":"' || replace(text, chr(10), '\\n') || '","digit_count":' || digit_count || '}' AS payload,
-          replace(text, chr(10), '|') AS header, CAST(CASE WHEN digit_count > 0 THEN 0 ELSE 1 END AS INT) AS exit_code FROM page_texts"""),
+        _with(
+            ACCEPTED,
+            f"""SELECT image_id, '{{"image_id":' || image_id || ',"text":"' || replace(p.text, chr(10), '\\n') || '","digit_count":' || digit_count || coalesce(',"lines":[' || l.js || ']', '') || coalesce(',"rejected":[' || r.js || ']', '') || '}}' AS payload,
+          replace(p.text, chr(10), '|') AS header, CAST(CASE WHEN digit_count > 0 THEN 0 ELSE 2 END AS INT) AS exit_code FROM page_texts p
+          LEFT JOIN (SELECT image_id, string_agg('{{"line":' || line || ',"text":"' || text || '","digits":[' || js || ']}}', ',' ORDER BY line) AS js FROM (
+            SELECT image_id, line, string_agg(shown, '' ORDER BY pos) AS text,
+              string_agg('{{{_BOX},"label":' || label || ',"confidence":' || CAST(CAST(confidence AS DECIMAL(5,4)) AS VARCHAR) || ',"accepted":' || CAST(accepted AS VARCHAR) || '}}', ',' ORDER BY pos) AS js
+            FROM accepted GROUP BY image_id, line) q GROUP BY image_id) l USING (image_id)
+          LEFT JOIN (SELECT image_id, string_agg('{{{_BOX},"reason":"' || reason || '"}}', ',' ORDER BY x, y, w, h, reason) AS js FROM ({REJECTED}) z GROUP BY image_id) r USING (image_id)""",
+        ),
     ),
     "rescaled_boxes": (
         rescaled_boxes,

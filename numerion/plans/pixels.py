@@ -152,20 +152,14 @@ def normal_placement(spark, sf_dir):
 
 
 def soft_ink(spark, sf_dir):
-    ink = _ink(spark, sf_dir).withColumn("near", X.dilate(F.col("ink"), X.CROSS3, N, N))
-    paper = F.filter("t", lambda v, i: F.get("near", i) == 0)
-    told = ink.withColumn("paper2", F.when(F.size(paper) >= 20, X.median2(paper)).otherwise(X.median2(F.col("t"))))
-    dark = F.transform("t", lambda v: F.when(F.col("light"), F.col("paper2") - 2 * v).otherwise(2 * v - F.col("paper2")))
-    deep = told.withColumn("dark", dark).withColumn("core", F.array_max(F.filter("dark", lambda v, i: F.get("ink", i) > 0)))
-    soft = F.transform("dark", lambda v, i: F.when(F.get("near", i) == 0, F.lit(0).cast("long")).otherwise(F.floor(255 * F.greatest(F.lit(0), F.least(v, F.col("core"))) / F.col("core")).cast("long")))
-    return deep.select("vec_id", "core", _text(F.when(F.col("core") <= 2, F.col("ink")).otherwise(soft)).alias("v"))
+    return P.soft_ink(tiles(spark, sf_dir)).select("vec_id", "core", _text(F.col("soft")).alias("v"))
 
 
 def paper_mask(spark, sf_dir):
-    t = F.col("t")
-    cells = F.transform(F.sequence(F.lit(0), F.lit(20)), lambda k: F.array(F.get(t, 3 * k), F.get(t, 3 * k + 1), F.get(t, 3 * k + 2)))
-    sheet = F.transform(cells, lambda p: F.when((F.array_max(p) >= 128) & ((F.array_max(p) - F.array_min(p)) * 255 <= 60 * F.array_max(p)), 1).otherwise(0))
-    return tiles(spark, sf_dir).select("vec_id", _text(sheet).alias("sheet"))
+    """Three channels from one tile: its own pixels, and the same from another row on."""
+    turned = lambda k: F.concat(F.slice("t", k + 1, N * N - k), F.slice("t", 1, k))
+    coloured = tiles(spark, sf_dir).select("vec_id", F.col("t").alias("blue"), turned(8).alias("green"), turned(16).alias("red"))
+    return P.paper_mask(coloured).select("vec_id", "level", _text(F.col("sheet")).alias("sheet"))
 
 
 def touching_cuts(spark, sf_dir):
@@ -246,13 +240,31 @@ SOFT = (
     + ",\n"
     + morph_sql("near", "ink", X.CROSS3, "max")
     + """,
-med AS (SELECT vec_id, CAST(2 * median(v) AS BIGINT) AS m FROM px GROUP BY vec_id),
-back AS (SELECT p.vec_id, count(*) AS n, CAST(2 * median(p.v) AS BIGINT) AS m FROM px p JOIN near d USING (vec_id, i) WHERE d.v = 0 GROUP BY p.vec_id),
-dark AS (SELECT p.vec_id, p.i, k.v AS ink, d.v AS near, CASE WHEN light THEN pp - 2 * p.v ELSE 2 * p.v - pp END AS dark
-  FROM px p JOIN ink k USING (vec_id, i) JOIN near d USING (vec_id, i) JOIN lit USING (vec_id)
-  JOIN (SELECT med.vec_id, CASE WHEN coalesce(back.n, 0) >= 20 THEN back.m ELSE med.m END AS pp FROM med LEFT JOIN back USING (vec_id)) q USING (vec_id)),
-core AS (SELECT vec_id, max(dark) FILTER (WHERE ink > 0) AS core FROM dark GROUP BY vec_id),
-soft AS (SELECT vec_id, i, core, CASE WHEN core <= 2 THEN ink WHEN near = 0 THEN 0 ELSE CAST(floor(CAST(255 * greatest(0, least(dark, core)) AS DOUBLE) / core) AS BIGINT) END AS v FROM dark JOIN core USING (vec_id))"""
+own AS (SELECT vec_id, CAST(2 * median(v) AS BIGINT) AS paper2, count(*) AS n FROM (SELECT p.vec_id, p.v FROM px p JOIN near d USING (vec_id, i) WHERE d.v = 0) q GROUP BY vec_id),
+whole AS (SELECT vec_id, CAST(2 * median(v) AS BIGINT) AS paper2 FROM px GROUP BY vec_id),
+paper AS (SELECT w.vec_id, CASE WHEN o.n >= 20 THEN o.paper2 ELSE w.paper2 END AS paper2 FROM whole w LEFT JOIN own o USING (vec_id)),
+deep AS (SELECT p.vec_id, p.i, CASE WHEN light THEN paper2 - 2 * p.v ELSE 2 * p.v - paper2 END AS d, k.v AS ink, n.v AS near
+  FROM px p JOIN paper USING (vec_id) JOIN lit USING (vec_id) JOIN ink k ON k.vec_id = p.vec_id AND k.i = p.i JOIN near n ON n.vec_id = p.vec_id AND n.i = p.i),
+ranked AS (SELECT vec_id, list(d ORDER BY d) AS ds, 9 * (count(*) - 1) AS place FROM deep WHERE ink > 0 GROUP BY vec_id),
+cores AS (SELECT vec_id, CAST(10 * ds[place // 10 + 1] + (place % 10) * (ds[least(place // 10 + 2, len(ds))] - ds[place // 10 + 1]) AS BIGINT) AS core FROM ranked),
+soft AS (SELECT vec_id, i, core, CASE WHEN coalesce(core, 0) <= 20 THEN ink WHEN near = 0 THEN 0 ELSE CAST(255 * greatest(0, least(10 * d, core)) // core AS BIGINT) END AS v FROM deep LEFT JOIN cores USING (vec_id))"""
+)
+
+#: Three channels of one tile, brightness and spread, and the mask closed and opened.
+SHEET = (
+    PX
+    + f""",
+cells AS (SELECT a.vec_id, a.i, a.r, a.c, greatest(a.v, b.v, c.v) AS hi, least(a.v, b.v, c.v) AS lo FROM px a
+  JOIN px b ON b.vec_id = a.vec_id AND b.i = (a.i + 8) % {N * N} JOIN px c ON c.vec_id = a.vec_id AND c.i = (a.i + 16) % {N * N}),
+bright AS (SELECT vec_id, i, r, c, hi AS v FROM cells),
+"""
+    + conv_sql("bright5", "bright", X.BLUR5)
+    + ",\n"
+    + otsu_sql("lv", "bright5")
+    + """,
+pale AS (SELECT vec_id, i, r, c, CASE WHEN hi >= level AND 510 * (hi - lo) < 181 * greatest(hi, 1) THEN 255 ELSE 0 END AS v FROM cells JOIN lv USING (vec_id)),
+"""
+    + ",\n".join(morph_sql(name, source, X.CROSS3, pick) for name, source, pick in (("grown", "pale", "max"), ("closed", "grown", "min"), ("shrunk", "closed", "min"), ("opened", "shrunk", "max")))
 )
 
 CONV = ",\n".join(
@@ -310,10 +322,7 @@ QUERIES = {
         SELECT t.vec_id, width, height, (28 - width) // 2 AS left, (28 - height) // 2 AS top FROM tiles t LEFT JOIN sized USING (vec_id)""",
     ),
     "soft_ink": (soft_ink, f"WITH {SOFT} SELECT vec_id, core, string_agg(CAST(v AS VARCHAR), ',' ORDER BY i) AS v FROM soft GROUP BY vec_id, core"),
-    "paper_mask": (
-        paper_mask,
-        f"WITH {PX} SELECT vec_id, string_agg(CASE WHEN hi >= 128 AND (hi - lo) * 255 <= 60 * hi THEN '1' ELSE '0' END, ',' ORDER BY k) AS sheet FROM (SELECT vec_id, i // 3 AS k, max(v) AS hi, min(v) AS lo FROM px WHERE i < 63 GROUP BY 1, 2) q GROUP BY vec_id",
-    ),
+    "paper_mask": (paper_mask, f"WITH {SHEET} SELECT vec_id, level, string_agg(CAST(v AS VARCHAR), ',' ORDER BY i) AS sheet FROM opened JOIN lv USING (vec_id) GROUP BY vec_id, level"),
     "touching_cuts": (
         touching_cuts,
         f"""WITH {INK}, cols AS (SELECT vec_id // 2 AS image_id, vec_id % 2 * 8 + c AS c, count_if(v > 0) AS n FROM ink GROUP BY 1, 2),

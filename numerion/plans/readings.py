@@ -94,9 +94,14 @@ def service_counters(spark, sf_dir):
     return f.groupBy("camera").agg(F.count("*").alias("requests"), F.sum(F.length("reading")).cast("long").alias("characters"), F.count_distinct("reading").alias("kinds"))
 
 
+def _places():
+    """Every fifth upload names its output, every seventh a debug folder."""
+    return F.when(F.col("id") % 5 == 0, F.concat(F.lit("out/"), F.col("id").cast("string"), F.lit(".png"))), F.when(F.col("id") % 7 == 0, F.lit("debug"))
+
+
 def upload_statuses(spark, sf_dir):
     rows = S.uploads(spark, sf_dir).withColumn("length", F.octet_length("body").cast("long"))
-    return rows.select("name", "length", Q.upload_status(F.col("length"), LIMIT).alias("status"), Q.output_name(F.col("name")).alias("output"))
+    return rows.select("name", "length", Q.upload_status(F.col("length"), LIMIT).alias("status"), Q.output_name(F.col("name"), *_places()).alias("output"))
 
 
 def request_checks(spark, sf_dir):
@@ -194,7 +199,7 @@ QUERIES = {
     "upload_statuses": (
         upload_statuses,
         f"""WITH {S.UPLOADS} SELECT name, CAST(strlen(body) AS BIGINT) AS length, CAST(CASE WHEN body IS NULL OR strlen(body) = 0 THEN 400 WHEN strlen(body) > {LIMIT} THEN 413 ELSE 200 END AS INT) AS status,
-          regexp_replace(name, '\\.[^.]*$', '') || '_annotated' || CASE WHEN regexp_matches(name, '\\.(png|jpg|jpeg|bmp)$') THEN regexp_extract(name, '\\.[^.]*$') ELSE '.png' END AS output FROM uploads""",
+          CASE WHEN id % 5 = 0 THEN 'out/' || id || '.png' WHEN id % 7 = 0 THEN 'debug/' || split_part(name, '.', 1) || '_detected.png' ELSE split_part(name, '.', 1) || '_detected.png' END AS output FROM uploads""",
     ),
     "request_checks": (
         request_checks,
