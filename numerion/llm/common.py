@@ -21,10 +21,12 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, as the cluster names it.
 
-    Only where the session names none (tests, one machine) is a folder made here.
+    Where the session names none, one is made on a single machine (tests); a cluster must name its own.
     """
     named = spark.conf.get(CHECKPOINT_CONF, None)
     if not named:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError(f"set {CHECKPOINT_CONF} to a folder that driver and executors share")
         named = "file://" + tempfile.mkdtemp(prefix="numerion-")
         spark.conf.set(CHECKPOINT_CONF, named)
     return named.rstrip("/")

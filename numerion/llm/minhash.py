@@ -29,7 +29,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from numerion.llm.common import batch, columns_of, shared_table, text_or_empty
@@ -268,20 +268,44 @@ def links(sig: DataFrame, docs: DataFrame, ngram: int, percent: int) -> tuple[Da
     return classes, direct.unionByName(found)
 
 
-def near_duplicates(docs: DataFrame, ngram: int = NGRAM, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept for each row of ``docs`` (doc_id, text)."""
+def _grouped(docs: DataFrame, ngram: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Signatures of the rows, and cls, root, component of every class."""
     sig = shared_table(signatures(docs, ngram), "signatures")
     classes, edges = links(sig, docs, ngram, percent)
     roots = components(edges)
     named = classes.select("cls", "rep").join(roots, F.col("cls") == F.col("node"), "left").select("cls", "rep", F.coalesce("root", "cls").alias("root"))
     least = named.groupBy("root").agg(F.min("rep").alias("component"))
-    groups = named.join(least, "root").select("cls", "component")
-    out = sig.select("doc_id", "n", "cls").join(groups, "cls", "left")
+    return sig, named.join(least, "root").select("cls", "root", "component")
+
+
+def _reported(sig: DataFrame, groups: DataFrame) -> DataFrame:
+    out = sig.select("doc_id", "n", "cls").join(groups.select("cls", "component"), "cls", "left")
     component = F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("component"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
+def near_duplicates(docs: DataFrame, ngram: int = NGRAM, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept for each row of ``docs`` (doc_id, text)."""
+    return _reported(*_grouped(docs, ngram, percent))
+
+
 def one_of_each(docs: DataFrame, ngram: int = NGRAM, percent: int = PERCENT) -> DataFrame:
-    """The rows of ``docs`` that stay: of each group, those with the smallest doc_id."""
-    kept = near_duplicates(docs, ngram, percent).where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi")
+    """One row of ``docs`` for each group: of the rows with its smallest doc_id, the first by text; rows without words all stay."""
+    sig, groups = _grouped(docs, ngram, percent)
+    kept = _reported(sig, groups).groupBy(F.col("doc_id").alias("kept_id")).agg(F.count("*").alias("rows"), F.max("kept").alias("any")).where("any")
+    some = lambda what: docs.join(kept.where(what), docs["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi")
+    # Ids of several rows are rare; only these rows are told apart by their groups.
+    again = some("rows > 1").withColumn("cls_of_", _class_of(ngram)(text_or_empty()))
+    rooted = again.join(groups.select(F.col("cls").alias("cls_"), F.col("root").alias("root_"), F.col("component").alias("component_")), F.col("cls_of_") == F.col("cls_"), "left")
+    rooted = rooted.where(F.col("root_").isNull() | F.col("component_").eqNullSafe(F.col("doc_id")))
+    first = F.row_number().over(Window.partitionBy("root_", F.when(F.col("root_").isNull(), F.monotonically_increasing_id())).orderBy("doc_id", text_or_empty()))
+    return some("rows = 1").unionByName(rooted.withColumn("place_", first).where("place_ = 1").select(*docs.columns))
+
+
+def _class_of(ngram: int):
+    @F.pandas_udf("binary")
+    def of(texts: pd.Series) -> pd.Series:
+        sets = [shingles(t.encode(), ngram) for t in texts]
+        return pd.Series([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], dtype=object)
+
+    return of

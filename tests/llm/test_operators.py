@@ -707,6 +707,14 @@ def test_near_duplicates_with_null_ids_and_repeated_rows(spark, nothing):
     assert minhash.one_of_each(nothing).count() == 0
 
 
+def test_one_row_of_each_group_stays(spark):
+    """Rows that repeat an id, alike or in other groups, with columns whose names the operator uses itself."""
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    rows = [(6, c), (2, c), (6, c + " " + b[:60] + " " + a[:60]), (5, a), (5, a), (5, a + " more"), (9, a), (5, b), (7, b), (None, "x y"), (None, "x y"), (3, ""), (3, ""), (4, "alone here")]
+    got = sorted((str(r["doc_id"]), r["text"]) for r in minhash.one_of_each(frame(spark, rows)).collect())
+    assert got == sorted([("2", c), ("6", c + " " + b[:60] + " " + a[:60]), ("5", a), ("5", b), ("None", "x y"), ("3", ""), ("3", ""), ("4", "alone here")])
+
+
 def test_estimate_is_near_the_similarity(spark):
     r = np.random.default_rng(14)
     a = np.unique(r.integers(0, 2**63, 1000, dtype=np.uint64))
