@@ -5,14 +5,16 @@ passage. Quoted passages, and their single lines, are normalised, hashed and joi
 to the newest earlier message of the conversation that holds the same passage
 or line of its own. The outermost quote that finds its message tells what a message
 replies to; following replies upward gives each thread's root and depth, by pointer
-doubling. Messages come without their quotes, to be read by (conv_id, root, turn).
+doubling. Messages come without their quotes, and with their position in their conversation's thread: a message, then
+its replies by turn, each with all that hangs on it before the next. The position is a sum along the way up to the root (one,
+and what hangs on earlier replies to the same message), so it follows from doubling too and no thread is gathered.
 
 The newest earlier holder is found with a running maximum over (conversation, hash,
 range of turns) and the maxima of earlier ranges, so neither a conversation nor a
 line that holds a third of all rows has to meet in one task, and no pairs are made.
 
 Defined results: a null or empty text has no quotes and an empty body; rows with a null conv_id or
-turn are linked with nothing and are their own root; rows that repeat (conv_id, turn)
+turn are linked with nothing and are their own root, at position 0; rows that repeat (conv_id, turn)
 get the same links; blank lines, and lines that announce a quote, link nothing; a message never quotes
 itself or a later one; other columns are not read; an empty table gives an empty result.
 """
@@ -81,19 +83,41 @@ def _newest_before(quotes: DataFrame, own: DataFrame) -> DataFrame:
     return quotes.join(found, [*key, "turn"], "left")
 
 
-def _threads(links: DataFrame) -> DataFrame:
-    """conv_id, turn, root, depth from (conv_id, turn, reply_to): each round doubles the steps taken."""
-    up = shared_table(links.select("conv_id", "turn", F.col("reply_to").alias("root"), F.lit(1).cast("long").alias("depth")), "threads")
+def _doubled(links: DataFrame, step: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """conv_id, turn, root, depth, total from (conv_id, turn, reply_to), and conv_id, turn, held: how many messages hang on each, itself included.
+
+    Each round doubles the steps taken. ``total`` sums ``weight`` of ``step`` (conv_id, turn, weight) over the message and
+    all above it but the root; without ``step`` it is the depth.
+    """
+    one = F.lit(1).cast("long")
+    weighed = links.withColumn("weight", one) if step is None else links.join(step, ["conv_id", "turn"])
+    up = shared_table(weighed.select("conv_id", "turn", F.col("reply_to").alias("root"), one.alias("depth"), F.col("weight").alias("total")), "threads")
+    held = links.select("conv_id", "turn").unionByName(links.select("conv_id", F.col("reply_to").alias("turn"))).distinct().withColumn("held", one)
+    width = 1
     while True:
-        next_ = up.select("conv_id", F.col("turn").alias("root"), F.col("root").alias("far"), F.col("depth").alias("more"))
+        if step is None:
+            # What is exactly ``width`` steps below brings all that hangs on it within ``width`` steps.
+            more = up.where(F.col("depth") == width).join(held, ["conv_id", "turn"]).groupBy("conv_id", F.col("root").alias("turn")).agg(F.sum("held").alias("more_"))
+            held = shared_table(held.join(more, ["conv_id", "turn"], "left").select("conv_id", "turn", (F.col("held") + F.coalesce("more_", F.lit(0))).alias("held")), "held")
+        next_ = up.select("conv_id", F.col("turn").alias("root"), F.col("root").alias("far"), F.col("depth").alias("deeper"), F.col("total").alias("more"))
         if not up.join(next_, ["conv_id", "root"], "left_semi").limit(1).count():
-            return up
+            return up, held
+        zero = F.lit(0).cast("long")
         joined = up.join(next_, ["conv_id", "root"], "left")
-        up = shared_table(joined.select("conv_id", "turn", F.coalesce("far", "root").alias("root"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth")), "threads")
+        up = shared_table(joined.select("conv_id", "turn", F.coalesce("far", "root").alias("root"), (F.col("depth") + F.coalesce("deeper", zero)).alias("depth"), (F.col("total") + F.coalesce("more", zero)).alias("total")), "threads")
+        width *= 2
+
+
+def _threads(links: DataFrame) -> DataFrame:
+    """conv_id, turn, root, depth, position from (conv_id, turn, reply_to)."""
+    _, held = _doubled(links)
+    earlier = Window.partitionBy("conv_id", "reply_to").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
+    step = links.join(held, ["conv_id", "turn"]).select("conv_id", "turn", (1 + F.coalesce(F.sum("held").over(earlier), F.lit(0).cast("long"))).alias("weight"))
+    return _doubled(links, step)[0].withColumnRenamed("total", "position")
 
 
 def link_quotes(messages: DataFrame) -> DataFrame:
-    """conv_id, turn, role, reply_to, root, depth, n_quotes, n_linked, body for each row of ``messages`` (conv_id, turn, role, text)."""
+    """conv_id, turn, role, reply_to, root, depth, position, n_quotes, n_linked, body for each row of ``messages`` (conv_id, turn, role, text)."""
     rows = messages.select(messages["conv_id"].cast("long").alias("conv_id"), messages["turn"].cast("long").alias("turn"), messages["role"].cast("string").alias("role"), passages(text_or_empty()).alias("ps"))
     placed = rows.where("conv_id is not null and turn is not null").select("conv_id", "turn", F.posexplode("ps").alias("q", "p"))
     own = _hashes(placed.where("p.level = 0"))
@@ -109,10 +133,10 @@ def link_quotes(messages: DataFrame) -> DataFrame:
     out = rows.withColumn("body", body).withColumn("n_quotes", F.size(F.filter("ps", lambda p: p["level"] > 0)).cast("long"))
     out = out.join(linked, ["conv_id", "turn"], "left").join(threads, ["conv_id", "turn"], "left")
     zero = F.lit(0).cast("long")
-    return out.select("conv_id", "turn", "role", "reply_to", F.coalesce("root", "turn").alias("root"), F.coalesce("depth", zero).alias("depth"), "n_quotes", F.coalesce("n_linked", zero).alias("n_linked"), "body")
+    return out.select("conv_id", "turn", "role", "reply_to", F.coalesce("root", "turn").alias("root"), F.coalesce("depth", zero).alias("depth"), F.coalesce("position", zero).alias("position"), "n_quotes", F.coalesce("n_linked", zero).alias("n_linked"), "body")
 
 
 def formatted(messages: DataFrame) -> DataFrame:
-    """conv_id, root, turn and the message as a line of a chat: role, then body."""
+    """conv_id, root, position, depth and the message as a line of a chat (role, then body); a thread read by position is its conversation in reply order."""
     linked = link_quotes(messages)
-    return linked.select("conv_id", "root", "turn", F.concat(F.lit("<"), F.coalesce("role", F.lit("")), F.lit(">\n"), "body").alias("message"))
+    return linked.select("conv_id", "root", "position", "depth", F.concat(F.lit("<"), F.coalesce("role", F.lit("")), F.lit(">\n"), "body").alias("message"))

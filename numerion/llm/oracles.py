@@ -55,10 +55,15 @@ reply AS (SELECT conv_id, turn, found AS reply_to FROM best WHERE k = 1),
 linked AS (SELECT conv_id, turn, count(DISTINCT q) AS n_linked FROM found GROUP BY conv_id, turn),
 up(conv_id, turn, root, depth) AS (SELECT conv_id, turn, reply_to, 1::BIGINT FROM reply
   UNION ALL SELECT u.conv_id, u.turn, r.reply_to, depth + 1 FROM up u JOIN reply r ON r.conv_id = u.conv_id AND r.turn = u.root),
+held AS (SELECT conv_id, turn, 1 + (SELECT count(*) FROM up u WHERE u.conv_id = r.conv_id AND u.root = r.turn) AS n FROM reply r),
+steps AS (SELECT r.conv_id, r.turn, 1 + coalesce(sum(n) OVER (PARTITION BY r.conv_id, reply_to ORDER BY r.turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS w FROM reply r JOIN held USING (conv_id, turn)),
+placed AS (SELECT s.conv_id, s.turn, CAST(any_value(s.w) + coalesce(sum(a.w), 0) AS BIGINT) AS position FROM steps s LEFT JOIN up u ON u.conv_id = s.conv_id AND u.turn = s.turn
+  LEFT JOIN steps a ON a.conv_id = u.conv_id AND a.turn = u.root GROUP BY s.conv_id, s.turn),
 roots AS (SELECT conv_id, turn, max_by(root, depth) AS root, max(depth) AS depth FROM up GROUP BY conv_id, turn),
 bodies AS (SELECT conv_id, turn, count(*) FILTER (level > 0) AS n_quotes,
   regexp_replace(coalesce(string_agg(t, chr(10) ORDER BY q) FILTER (level = 0), ''), '^\s+|\s+$', '', 'g') AS body FROM passages GROUP BY conv_id, turn)
-SELECT c.conv_id, c.turn, c.role, reply_to, coalesce(root, c.turn) AS root, coalesce(depth, 0) AS depth, n_quotes, coalesce(n_linked, 0) AS n_linked, body
+SELECT c.conv_id, c.turn, c.role, reply_to, coalesce(root, c.turn) AS root, coalesce(depth, 0) AS depth, coalesce(position, 0) AS position, n_quotes, coalesce(n_linked, 0) AS n_linked, body
 FROM conversations c JOIN bodies b ON b.conv_id IS NOT DISTINCT FROM c.conv_id AND b.turn IS NOT DISTINCT FROM c.turn
 LEFT JOIN reply r ON r.conv_id = c.conv_id AND r.turn = c.turn LEFT JOIN roots o ON o.conv_id = c.conv_id AND o.turn = c.turn LEFT JOIN linked l ON l.conv_id = c.conv_id AND l.turn = c.turn
+LEFT JOIN placed p ON p.conv_id = c.conv_id AND p.turn = c.turn
 """

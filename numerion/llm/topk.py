@@ -15,8 +15,9 @@ window. No block grows with the data.
 
 Defined results: vectors that are null, empty, or hold null or non-finite
 components take no part, nor rows without a vec_id; vectors of different lengths have no
-score together; all rows with the query's vec_id count as the query's own; a query row that repeats is
-answered once; ties go to the smaller vec_id; other columns are not read; an
+score together; all rows with the query's vec_id count as the query's own; a query id is
+answered once, for the smallest of its vectors; scores are exact, those beyond a long
+count as its greatest or least value but one, and so do components; ties go to the smaller vec_id; other columns are not read; an
 empty table gives an empty result.
 """
 
@@ -36,6 +37,9 @@ VECTORS = 8192
 DEPTHS = (0.75, 0.9)
 #: A query with at most this share of a block left is resolved.
 FEW = 0.02
+#: Doubles hold whole numbers up to this exactly.
+EXACT = 2.0**53
+MOST = 2**63 - 1
 
 
 def integer_vectors(table: DataFrame, scale: int = 64) -> DataFrame:
@@ -59,10 +63,23 @@ def bounds(q: np.ndarray, v: np.ndarray, share: float) -> tuple[np.ndarray, np.n
     return lower, upper
 
 
+def exact_best(ids: np.ndarray, v: np.ndarray, query_ids: np.ndarray, q: np.ndarray, left: np.ndarray, k: int) -> pd.DataFrame:
+    """The k best by whole numbers of any size, for components whose products doubles don't hold."""
+    whole = [[int(x) for x in row] for row in v]
+    out = []
+    for name, row, some in zip(query_ids.tolist(), q, left, strict=True):
+        asked = [int(x) for x in row]
+        scores = ((max(-MOST, min(MOST, sum(a * b for a, b in zip(asked, whole[j], strict=True)))), int(ids[j])) for j in np.flatnonzero(some))
+        out += [(name, i, s) for s, i in sorted(scores, key=lambda x: (-x[0], x[1]))[:k]]
+    return pd.DataFrame(out, columns=["query_id", "vec_id", "score"], dtype="int64")
+
+
 def best_of_block(ids: np.ndarray, v: np.ndarray, query_ids: np.ndarray, q: np.ndarray, k: int) -> pd.DataFrame:
     """The k best of one block for each query."""
     own = query_ids[:, None] == ids[None, :]
     left = ~own
+    if np.abs(v).max(initial=0) * np.abs(q).max(initial=0) * v.shape[1] >= EXACT:
+        return exact_best(ids, v, query_ids, q, left, k)
     waiting = np.arange(len(q))
     for share in DEPTHS if len(v) > 4 * k else ():
         lower, upper = bounds(q[waiting], v, share)
@@ -101,7 +118,8 @@ def top_k(table: DataFrame, every: int = EVERY, k: int = K) -> DataFrame:
     nv, nq = max(1, -(-rows // VECTORS)), max(1, -(-(rows // every) // QUERIES))
     block = lambda n: F.pmod(F.hash("vec_id"), F.lit(n))
     every_block = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    asked = queries.dropDuplicates(["vec_id", "v"]).select("vec_id", "dim", "v", block(nq).alias("qb"), every_block(nv).alias("vb"))
+    first = queries.groupBy("vec_id").agg(F.min(F.struct("v", "dim")).alias("f")).select("vec_id", "f.dim", "f.v")
+    asked = first.select("vec_id", "dim", "v", block(nq).alias("qb"), every_block(nv).alias("vb"))
     held = vectors.select("vec_id", "dim", "v", block(nv).alias("vb"), every_block(nq).alias("qb"))
     meet = asked.groupBy("dim", "qb", "vb").cogroup(held.groupBy("dim", "qb", "vb"))
     best = meet.applyInPandas(_meet(k), "query_id long, vec_id long, score long")

@@ -234,6 +234,15 @@ def test_quotes_link_to_the_newest_earlier_message(spark, monkeypatch):
             at, steps = want[conv, at], steps + 1
         assert (x["root"], x["depth"]) == (at, steps)
         assert not re.search(r"^\s*>", x["body"] or "", re.M)
+    below = {}
+    for (conv, turn), to in want.items():
+        if turn is not None:
+            below.setdefault((conv, to), []).append(turn)
+    read = lambda conv, turn: [turn] + [x for t in sorted(below.get((conv, turn), [])) for x in read(conv, t)]
+    for conv in range(4):
+        for root in below[conv, None]:
+            thread = sorted((x["position"], x["turn"]) for (c, _), x in got.items() if c == conv and x["root"] == root)
+            assert [t for _, t in thread] == read(conv, root) and [p for p, _ in thread] == list(range(len(thread)))
     assert chat_quotes.formatted(df).count() == len(messages)
     con = duckdb.connect()
     con.register("conversations", df.select("conv_id", "turn", "role", "text").toPandas().astype({"conv_id": "Int64", "turn": "Int64"}))
@@ -242,6 +251,16 @@ def test_quotes_link_to_the_newest_earlier_message(spark, monkeypatch):
     assert plain(con.sql(f"SELECT {', '.join(columns)} FROM ({oracles.CHAT_QUOTES})").fetchall()) == plain(map(tuple, got.values()))
 
 
+def test_a_long_chain_of_replies_and_thousands_of_threads(spark):
+    """A chain deeper than RANGE would show, and quoting conversations dealt over partitions, linked as they were made."""
+    chain = [(0, t, "user", f"line {t}" if t == 0 else f"> line {t - 1}\nline {t}") for t in range(300)]
+    fan = [(c, t, "user", f"first {c}" if t == 0 else f"> first {c}\nreply {t}") for c in range(1, 1500) for t in range(3)]
+    df = spark.createDataFrame(chain + fan, "conv_id long, turn long, role string, text string").repartition(7)
+    got = {(x["conv_id"], x["turn"]): x for x in chat_quotes.link_quotes(df).collect()}
+    assert all((got[0, t]["root"], got[0, t]["depth"], got[0, t]["position"]) == (0, t, t) for t in range(300))
+    assert all((got[c, t]["reply_to"], got[c, t]["position"], got[c, t]["n_linked"]) == (0 if t else None, t, int(t > 0)) for c in range(1, 1500) for t in range(3))
+
+
 def test_quotes_of_nothing(spark):
     empty = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
     assert chat_quotes.link_quotes(empty).count() == 0
@@ -420,6 +439,13 @@ def test_top_k_equals_brute_force(spark, monkeypatch):
     assert topk.top_k(df.limit(0)).count() == 0
 
 
+def test_top_k_of_huge_components_and_repeated_ids(spark):
+    rows = [(0, [1e300, 1.0]), (1, [1e300, 0.0]), (2, [-1e300, 0.0]), (3, [2.0**30, 2.0**30]), (20, [1.0, 0.0]), (20, [0.0, 1.0]), (20, [0.0, 1.0])]
+    got = sorted((x["query_id"], x["rank"], x["vec_id"], x["score"]) for x in topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), every=20, k=9).collect())
+    most = 2**63 - 1
+    assert got == [(0, 1, 1, most), (0, 2, 3, most), (0, 3, 20, most), (0, 4, 20, 4096), (0, 5, 20, 4096), (0, 6, 2, -most)] + [(20, 1, 3, 2**42), (20, 2, 0, 4096), (20, 3, 1, 0), (20, 4, 2, 0)]
+
+
 def test_bounds_hold():
     r = np.random.default_rng(3)
     q, v = r.integers(-9, 9, (5, 4)).astype(float), r.integers(-9, 9, (50, 4)).astype(float)
