@@ -117,7 +117,8 @@ def model_choice(spark, sf_dir):
 
 
 def learning_rates(spark, sf_dir):
-    return S.table(spark, sf_dir, "nation").select("n_nationkey", Q.learning_rate(F.col("n_nationkey")).alias("rate"))
+    """The rate of each training step: a part stands for a step, its size for the epoch."""
+    return S.table(spark, sf_dir, "part").select("p_partkey", Q.learning_rate(F.col("p_size")).alias("rate"))
 
 
 def frame_windows(spark, sf_dir):
@@ -210,7 +211,7 @@ QUERIES = {
         """WITH n AS (SELECT p_partkey % 700 AS folder, 'm' || CAST(p_partkey AS VARCHAR) || CASE p_partkey * 7 % 4 WHEN 0 THEN '.txt' WHEN 1 THEN '.tflite' WHEN 2 THEN '.keras' ELSE '.onnx' END AS name FROM part)
         SELECT folder, coalesce(min(name) FILTER (WHERE name LIKE '%.onnx'), min(name) FILTER (WHERE name LIKE '%.keras'), min(name) FILTER (WHERE name LIKE '%.tflite'), 'digits.keras') AS model FROM n GROUP BY folder""",
     ),
-    "learning_rates": (learning_rates, "SELECT n_nationkey, 0.001::DOUBLE * pow(0.5::DOUBLE, greatest(0, n_nationkey - 2)) AS rate FROM nation"),
+    "learning_rates": (learning_rates, "SELECT p_partkey, 0.001::DOUBLE * pow(0.5::DOUBLE, greatest(0, p_size - 2)) AS rate FROM part"),
     "frame_windows": (
         frame_windows,
         f"""WITH {S.BOXES}, q AS (SELECT image_id, comp_id, w * 10 AS fw, h * 10 AS fh, least(1.0::DOUBLE, greatest(0.2::DOUBLE, CAST(x % 150 AS DOUBLE) / 100.0::DOUBLE)) AS f FROM boxes),
