@@ -2,15 +2,19 @@
 
 Each block keeps one list per dimension, sorted by value. A query reads its lists
 from the end that is best for the sign of its component, all to the same
-depth. A component not yet read is worth at most the value at the depth reached
-and at least the list's last value, so every vector has an upper and a lower
-bound; vectors whose upper bound is under the k-th greatest lower bound are
-out. When the rest is few, reading stops and their scores are resolved. At full depth
+depth. What a list has not yet shown is worth at most the value at the depth reached
+and at least the list's last value. A query reads on until vectors not seen in any list
+cannot reach its k-th score; from there on the seen ones keep a lower and an upper bound,
+and those that cannot reach it are out. When few are left, reading stops
+and their scores are resolved. At full depth
 both bounds are the score itself, so the result is exact in any case. The
-bounds of all pairs of a block of queries and a block of vectors are matrix products.
+bounds of the queries that read on together are matrix products.
 
 Queries and vectors meet block by block: a stated query set against all
-rows. Each block returns at most k rows a query, and these are ranked by
+rows. The first block knows no k-th score, so there the k-th greatest lower
+bound stands for it; what it finds is the floor that every other block has
+to beat, and a block whose best conceivable score is under the floor is not read. Each
+block returns at most k rows a query, and these are ranked by
 window. No block grows with the data.
 
 Defined results: vectors that are null, empty, or hold null or non-finite
@@ -28,15 +32,17 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from numerion.llm.common import shared_table
+
 K = 20
 EVERY = 20
 #: Queries and vectors that meet in one task.
 QUERIES = 1024
 VECTORS = 8192
-#: Shares of a list that are read before the next look at the bounds.
-DEPTHS = (0.75, 0.9)
+#: Looks at the bounds in one list, at even distances.
+LOOKS = 8
 #: A query with at most this share of a block left is resolved.
-FEW = 0.02
+FEW = 0.04
 #: Doubles hold whole numbers up to this exactly.
 EXACT = 2.0**53
 MOST = 2**63 - 1
@@ -50,17 +56,63 @@ def integer_vectors(table: DataFrame, scale: int = 64) -> DataFrame:
     return rows.where(F.col("vec_id").isNotNull() & F.coalesce(fine, F.lit(False)) & (F.size("embedding") > 0)).select("vec_id", F.size("embedding").alias("dim"), x.alias("v"))
 
 
-def bounds(q: np.ndarray, v: np.ndarray, share: float) -> tuple[np.ndarray, np.ndarray]:
-    """Lower and upper bounds of all scores when ``share`` of each list has been read."""
-    n = len(v)
-    depth = max(1, int(n * share))
-    ranked = np.sort(v, axis=0)
-    high, low, top, bottom = ranked[n - depth], ranked[depth - 1], ranked[-1], ranked[0]
-    plus, minus = np.maximum(q, 0), np.minimum(q, 0)
-    # Read from the top by positive components: what is below ``high`` is unread, at most high, at least bottom.
-    upper = plus @ np.maximum(v, high).T + minus @ np.minimum(v, low).T
-    lower = plus @ np.where(v >= high, v, bottom).T + minus @ np.where(v <= low, v, top).T
-    return lower, upper
+class Lists:
+    """The sorted lists of a block, one per dimension, with their values at each look."""
+
+    def __init__(self, v: np.ndarray) -> None:
+        ranked = np.sort(v, axis=0)
+        n = len(v)
+        self.v, self.bottom, self.top = v, ranked[0], ranked[-1]
+        self.depths = sorted({max(1, n * look // LOOKS) for look in range(1, LOOKS + 1)})
+        #: What reading from the top and from the bottom has come to.
+        self.high = [ranked[n - depth] for depth in self.depths]
+        self.low = [ranked[depth - 1] for depth in self.depths]
+
+    def unseen(self, q: np.ndarray, look: int) -> np.ndarray:
+        """The most that a vector not seen in any list can score."""
+        return np.maximum(q, 0) @ self.high[look] + np.minimum(q, 0) @ self.low[look]
+
+    def best(self, q: np.ndarray) -> np.ndarray:
+        """The most that any vector of the block can score."""
+        return np.maximum(q, 0) @ self.top + np.minimum(q, 0) @ self.bottom
+
+    def upper(self, q: np.ndarray, look: int) -> np.ndarray:
+        """Upper bounds of all scores: entries not yet read are worth what the reading has come to."""
+        return np.maximum(q, 0) @ np.maximum(self.v, self.high[look]).T + np.minimum(q, 0) @ np.minimum(self.v, self.low[look]).T
+
+    def lower(self, q: np.ndarray, look: int) -> np.ndarray:
+        """Lower bounds of all scores: entries not yet read are worth the list's last value."""
+        seen_high, seen_low = self.v >= self.high[look], self.v <= self.low[look]
+        return np.maximum(q, 0) @ np.where(seen_high, self.v, self.bottom).T + np.minimum(q, 0) @ np.where(seen_low, self.v, self.top).T
+
+
+def read(lists: Lists, q: np.ndarray, own: np.ndarray, floor: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Who may still be among each query's k best, and how deep its lists were read.
+
+    ``floor`` is a score that each query has k times elsewhere already (or minus infinity).
+    """
+    n = len(lists.v)
+    left, depth = ~own, np.zeros(len(q), np.int64)
+    left[lists.best(q) < floor] = False
+    waiting = np.flatnonzero(left.sum(axis=1) > k)
+    for look, reached in enumerate(lists.depths[:-1]):
+        depth[waiting] = reached
+        bar = floor[waiting]
+        # Without a floor the lower bounds give one; they say little before half of the lists is read.
+        bare = np.flatnonzero(np.isneginf(bar))
+        if len(bare) and 2 * reached >= n:
+            lower = lists.lower(q[waiting[bare]], look)
+            lower[own[waiting[bare]]] = -np.inf
+            bar[bare] = np.partition(lower, n - k, axis=1)[:, n - k]
+        ready = lists.unseen(q[waiting], look) < bar
+        if ready.any():
+            at = waiting[ready]
+            left[at] &= lists.upper(q[at], look) >= bar[ready, None]
+            waiting = waiting[left[waiting].sum(axis=1) > max(k, FEW * n)]
+        if not len(waiting):
+            break
+    depth[waiting] = n
+    return left, depth
 
 
 def exact_best(ids: np.ndarray, v: np.ndarray, query_ids: np.ndarray, q: np.ndarray, left: np.ndarray, k: int) -> pd.DataFrame:
@@ -74,26 +126,19 @@ def exact_best(ids: np.ndarray, v: np.ndarray, query_ids: np.ndarray, q: np.ndar
     return pd.DataFrame(out, columns=["query_id", "vec_id", "score"], dtype="int64")
 
 
-def best_of_block(ids: np.ndarray, v: np.ndarray, query_ids: np.ndarray, q: np.ndarray, k: int) -> pd.DataFrame:
-    """The k best of one block for each query."""
+def best_of_block(ids: np.ndarray, v: np.ndarray, query_ids: np.ndarray, q: np.ndarray, k: int, floor: np.ndarray | None = None) -> pd.DataFrame:
+    """The k best of one block for each query, without those under its floor."""
     own = query_ids[:, None] == ids[None, :]
-    left = ~own
     if np.abs(v).max(initial=0) * np.abs(q).max(initial=0) * v.shape[1] >= EXACT:
-        return exact_best(ids, v, query_ids, q, left, k)
-    waiting = np.arange(len(q))
-    for share in DEPTHS if len(v) > 4 * k else ():
-        lower, upper = bounds(q[waiting], v, share)
-        lower[own[waiting]] = -np.inf
-        kth = np.partition(lower, len(v) - k, axis=1)[:, len(v) - k]
-        left[waiting] &= upper >= kth[:, None]
-        waiting = waiting[left[waiting].sum(axis=1) > max(k, FEW * len(v))]
-        if not len(waiting):
-            break
+        return exact_best(ids, v, query_ids, q, ~own, k)
+    floor = np.full(len(q), -np.inf) if floor is None else floor
+    left = read(Lists(v), q, own, floor, k)[0] if len(v) > k else ~own
     out_q, out_v, out_s = [], [], []
     for i in range(len(q)):
         some = np.flatnonzero(left[i])
         score = v[some] @ q[i]
         order = np.lexsort((ids[some], -score))[:k]
+        order = order[score[order] >= floor[i]]
         out_q.append(np.full(len(order), query_ids[i]))
         out_v.append(ids[some][order])
         out_s.append(score[order])
@@ -104,7 +149,8 @@ def _meet(k: int):
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}, dtype="int64")
-        return best_of_block(right["vec_id"].to_numpy(), np.stack(right["v"]), left["vec_id"].to_numpy(), np.stack(left["v"]), k)
+        floor = left["floor"].to_numpy(np.float64, na_value=np.nan)
+        return best_of_block(right["vec_id"].to_numpy(), np.stack(right["v"]), left["asked_id"].to_numpy(), np.stack(left["v"]), k, np.where(np.isnan(floor), -np.inf, floor))
 
     return run
 
@@ -115,14 +161,21 @@ def top_k(table: DataFrame, every: int = EVERY, k: int = K) -> DataFrame:
     queries = vectors.where(F.col("vec_id") % every == 0)
     # Sizes only: how many blocks there are follows from the number of rows.
     rows = table.count()
-    nv, nq = max(1, -(-rows // VECTORS)), max(1, -(-(rows // every) // QUERIES))
+    nv, nq = max(2, -(-rows // VECTORS)), max(1, -(-(rows // every) // QUERIES))
     block = lambda n: F.pmod(F.hash("vec_id"), F.lit(n))
-    every_block = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    first = queries.groupBy("vec_id").agg(F.min(F.struct("v", "dim")).alias("f")).select("vec_id", "f.dim", "f.v")
-    asked = first.select("vec_id", "dim", "v", block(nq).alias("qb"), every_block(nv).alias("vb"))
-    held = vectors.select("vec_id", "dim", "v", block(nv).alias("vb"), every_block(nq).alias("qb"))
-    meet = asked.groupBy("dim", "qb", "vb").cogroup(held.groupBy("dim", "qb", "vb"))
-    best = meet.applyInPandas(_meet(k), "query_id long, vec_id long, score long")
+    each = lambda a, b: F.explode(F.sequence(F.lit(a), F.lit(b)))
+    first = queries.groupBy("vec_id").agg(F.min(F.struct("v", "dim")).alias("f")).select(F.col("vec_id").alias("asked_id"), "f.dim", "f.v", block(nq).alias("qb"))
+    held = vectors.select("vec_id", "dim", "v", block(nv).alias("vb"), each(0, nq - 1).alias("qb"))
+
+    def met(asked: DataFrame, held: DataFrame) -> DataFrame:
+        pairs = asked.groupBy("dim", "qb", "vb").cogroup(held.groupBy("dim", "qb", "vb"))
+        return pairs.applyInPandas(_meet(k), "query_id long, vec_id long, score long")
+
+    # At most k rows a query: what the first block found, and its k-th score where it has one.
+    opening = shared_table(met(first.withColumn("floor", F.lit(None).cast("double")).withColumn("vb", F.lit(0)), held.where("vb = 0")), "opening")
+    floors = opening.groupBy("query_id").agg(F.min("score").cast("double").alias("low"), F.count("*").alias("n")).where(F.col("n") >= k)
+    asked = first.join(floors, F.col("asked_id") == F.col("query_id"), "left").select("asked_id", "dim", "v", "qb", F.when(F.abs("low") < EXACT, F.col("low")).alias("floor"), each(1, nv - 1).alias("vb"))
+    best = opening.unionByName(met(asked, held.where("vb > 0")))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return best.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -449,10 +449,37 @@ def test_top_k_of_huge_components_and_repeated_ids(spark):
 def test_bounds_hold():
     r = np.random.default_rng(3)
     q, v = r.integers(-9, 9, (5, 4)).astype(float), r.integers(-9, 9, (50, 4)).astype(float)
-    for share in (0.1, 0.5, 0.9, 1.0):
-        lower, upper = topk.bounds(q, v, share)
+    lists = topk.Lists(v)
+    for look in range(len(lists.depths)):
+        lower, upper = lists.lower(q, look), lists.upper(q, look)
         assert (lower <= q @ v.T).all() and (upper >= q @ v.T).all()
-    assert (lower == upper).all()
+    assert lists.depths[-1] == 50 and (lower == upper).all()
+    for look, depth in enumerate(lists.depths[:-1]):
+        for i, row in enumerate(q):
+            seen = {j for d, x in enumerate(row) if x for j in np.argsort(-x * v[:, d], kind="stable")[:depth]}
+            outside = [v[j] @ row for j in range(50) if j not in seen]
+            assert max(outside, default=-np.inf) <= lists.unseen(q, look)[i]
+
+
+@pytest.mark.parametrize("fed", [False, True])
+def test_reading_stops_early_and_loses_nobody(fed):
+    r = np.random.default_rng(4)
+    v, q = np.floor(64 * r.normal(size=(4000, 64))), np.floor(64 * r.normal(size=(20, 64)))
+    score = q @ v.T
+    best = np.sort(score, axis=1)[:, -20]
+    own = np.zeros(score.shape, bool)
+    left, depth = topk.read(topk.Lists(v), q, own, best if fed else np.full(20, -np.inf), 20)
+    assert (left | (score < best[:, None])).all()
+    # Independent dimensions stop early only against a known floor.
+    assert (depth <= 4000).all() and (depth >= 1).all()
+    if fed:
+        assert depth.mean() < 0.8 * 4000 and left.mean() < topk.FEW
+    # A block that cannot reach the floor is not read.
+    left, depth = topk.read(topk.Lists(v), q, own, np.full(20, 1e9), 20)
+    assert not left.any() and not depth.any()
+    near = np.where(np.arange(4000)[:, None] < 100, 40.0, 1.0) * np.ones((4000, 64))
+    left, depth = topk.read(topk.Lists(near), np.ones((1, 64)), own[:1], np.array([2560.0]), 20)
+    assert left.sum() == 100 and depth[0] == 500
 
 
 # 6 ----------------------------------------------------------------------------------------------
