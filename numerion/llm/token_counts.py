@@ -4,14 +4,14 @@ The encoding of a prefix ends in one token, and two neighbouring tokens of
 an encoding are themselves the encoding of their joined text. So the count at a
 prefix is one more than the count before its last token, and the last token is the one
 candidate that fits the last token before it. One pass over a
-text gives the counts of all its prefixes; a budget or a cut then needs a lookup,
-not another encoding.
+text gives the counts of all its prefixes, kept as an array; its length in tokens, a cut or a
+budget are lookups there, not another encoding.
 
 No piece of the vocabulary has a blank after another character, so text
 falls apart before each run of blanks, and further between characters that no
-piece holds next to each other. Counts of such parts add up, and
-parts that were seen before are not worked out again (a table of bounded size per
-worker).
+piece holds next to each other. The steps from each prefix's count to the next are then
+those of the parts, one after another, and the parts that were seen
+before are not worked out again (tables of bounded size per worker).
 
 Defined results: a null or empty text has no bytes and no tokens; rows that
 repeat are counted one by one; other columns are not read; an empty
@@ -21,11 +21,11 @@ table gives an empty result; texts of any length are counted whole.
 from __future__ import annotations
 
 import re
-from bisect import bisect_right
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import accumulate
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -33,7 +33,9 @@ from pyspark.sql import functions as F
 from numerion.llm.common import batch, columns_of, text_or_empty
 
 LIMIT = 4096
-#: Words and parts that a worker remembers, at about 150 bytes each.
+#: Characters whose counts are sent on together.
+SENT = 1_000_000
+#: Words and parts that a worker remembers, at about 180 bytes each.
 WORDS = 300_000
 PARTS = 900_000
 BLANK = "▁"
@@ -41,18 +43,18 @@ WORD = re.compile(r"▁*[^▁]+|▁+")
 
 
 class Remembered(dict):
-    """Counts by text; unknown ones are worked out, and long texts not kept."""
+    """Steps by text; unknown ones are worked out, and those of long texts not kept."""
 
     def __init__(self, most: int, make) -> None:
         self.most, self.make = most, make
 
-    def __missing__(self, text: str) -> int:
+    def __missing__(self, text: str) -> bytes:
         if len(self) >= self.most:
             self.clear()
-        n = self.make(text)
+        found = self.make(text)
         if len(text) < 64:
-            self[text] = n
-        return n
+            self[text] = found
+        return found
 
 
 class PrefixCounter:
@@ -67,8 +69,8 @@ class PrefixCounter:
         #: What pieces begin with: true for a piece itself.
         self.heads = {p[:i]: False for p in self.scores for i in range(1, len(p))} | dict.fromkeys(self.scores, True)
         self.pairs: dict[str, dict[str, bool]] = {}
-        self.parts = Remembered(PARTS, lambda part: self.prefixes(part)[-1])
-        self.words = Remembered(WORDS, lambda word: sum(map(self.parts.__getitem__, self.split(word))))
+        self.parts = Remembered(PARTS, self.steps)
+        self.words = Remembered(WORDS, lambda word: b"".join(map(self.parts.__getitem__, self.split(word))))
 
     def merge(self, text: str) -> list[str]:
         """The encoding of a short text: join the best neighbours, leftmost first, while any are a piece."""
@@ -114,6 +116,11 @@ class PrefixCounter:
                     break
         return counts
 
+    def steps(self, part: str) -> bytes:
+        """From each prefix's count to the next, as 16-bit numbers (a step is at most a few pieces or the bytes of a character)."""
+        counts = self.prefixes(part)
+        return array("h", [b - a for a, b in zip(counts, counts[1:], strict=False)]).tobytes()
+
     def split(self, word: str) -> list[str]:
         """``word`` cut where no piece holds both neighbours."""
         together, out, a = self.together, [], 0
@@ -127,46 +134,23 @@ class PrefixCounter:
     def words_of(self, text: str) -> list[str]:
         return WORD.findall(BLANK + text.replace(" ", BLANK)) if text else []
 
-    def count(self, text: str) -> int:
-        return sum(map(self.words.__getitem__, self.words_of(text)))
-
-    def every_prefix(self, text: str) -> list[int]:
+    def every_prefix(self, text: str) -> np.ndarray:
         """The token count of each prefix of ``text`` in characters; [k] is that of ``text[:k]``."""
-        out, done = [], 0
-        for word in self.words_of(text):
-            for part in self.split(word):
-                out += [done + c for c in self.prefixes(part)[1:]]
-                done = out[-1]
+        steps = b"".join(map(self.words.__getitem__, self.words_of(text)))
+        counts = np.cumsum(np.frombuffer(steps, np.int16), dtype=np.int32) if steps else np.zeros(1, np.int32)
         # The blank that stands before every text is no character of it.
-        return [0, *out[1:]]
+        counts[0] = 0
+        return counts
 
-    def marks(self, text: str) -> tuple[list[int], list[int]]:
-        """Ends of words in characters, and the exact count at each: the stored form of the prefix counts."""
-        words = self.words_of(text)
-        ends = list(accumulate(map(len, words)))
-        return [e - 1 for e in ends], list(accumulate(map(self.words.__getitem__, words)))
 
-    def fit(self, text: str, budget: int, marks: tuple[list[int], list[int]] | None = None) -> int:
-        """The most characters of ``text`` whose count is within ``budget``.
+def fit(counts: np.ndarray, budget: int) -> int:
+    """The most characters whose count is within ``budget``.
 
-        Counts may fall by a few when a character completes a piece, so
-        prefixes behind the first word that goes over are looked at up to the end of that word;
-        at ends of words the counts only grow.
-        """
-        ends, counts = marks or self.marks(text)
-        k = bisect_right(counts, budget)
-        at, done = (ends[k - 1], counts[k - 1]) if k else (0, 0)
-        if k == len(ends):
-            return len(text)
-        word, best = (BLANK + text.replace(" ", BLANK))[at + 1 if k else 0 : ends[k] + 1], at
-        where, base = (at if k else -1), done
-        for part in self.split(word):
-            for c in self.prefixes(part)[1:]:
-                where += 1
-                if base + c <= budget and where >= 0:
-                    best = where
-            base += self.parts[part]
-        return best
+    Counts may fall by a few when a character completes a piece, so the last
+    such prefix is looked for from the end.
+    """
+    n = len(counts)
+    return n - 1 - int(np.argmax(counts[::-1] <= budget))
 
 
 @lru_cache(maxsize=2)
@@ -179,36 +163,56 @@ COUNTS = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_tokens"
 
 
 def counts(docs: DataFrame, path: str, limit: int = LIMIT) -> DataFrame:
-    """doc_id, n_bytes, n_tokens, over_limit, and fit_chars: the characters that fit ``limit`` tokens."""
+    """doc_id, n_bytes, n_tokens, over_limit, and fit_chars: the characters that fit ``limit`` tokens.
+
+    All read from the counts at every prefix.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = counter(path)
         for ids, texts in columns_of(batches):
-            n = [c.count(t) for t in texts]
-            fits = [c.fit(t, limit) if k > limit else len(t) for t, k in zip(texts, n, strict=True)]
+            n, fits = [], []
+            for text in texts:
+                at = c.every_prefix(text)
+                n.append(int(at[-1]))
+                fits.append(fit(at, limit))
             yield batch(COUNTS, [ids, [len(t.encode()) for t in texts], n, [k > limit for k in n], fits])
 
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text_or_empty().alias("text"))
     return rows.mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean, fit_chars long")
 
 
-MARKS = pa.schema([("doc_id", pa.int64()), ("ends", pa.list_(pa.int64())), ("counts", pa.list_(pa.int64()))])
+PREFIXES = pa.schema([("doc_id", pa.int64()), ("counts", pa.list_(pa.int32()))])
 
 
 def prefix_table(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id, ends, counts: what answers any budget later without the text being encoded again."""
+    """doc_id and counts: the exact token count at every prefix in characters, the empty one first.
+
+    What answers any cut and any budget later without the text being encoded again.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = counter(path)
         for ids, texts in columns_of(batches):
-            marks = [c.marks(t) for t in texts]
-            yield batch(MARKS, [ids, [m[0] for m in marks], [m[1] for m in marks]])
+            held, at, size = [], 0, 0
+            for k, text in enumerate(texts):
+                held.append(c.every_prefix(text))
+                size += len(text)
+                if size >= SENT or k + 1 == len(texts):
+                    offsets = pa.array(np.cumsum([0, *map(len, held)]), pa.int32())
+                    yield batch(PREFIXES, [ids[at : k + 1], pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(held)))])
+                    held, at, size = [], k + 1, 0
 
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    return rows.mapInArrow(run, "doc_id long, ends array<long>, counts array<long>")
+    return rows.mapInArrow(run, "doc_id long, counts array<int>")
 
 
 def within(table: DataFrame, budget: int) -> DataFrame:
-    """doc_id, chars: the longest run of whole words within ``budget`` tokens, by lookup in a prefix table."""
-    k = F.size(F.filter("counts", lambda c: c <= budget))
-    return table.select("doc_id", F.when(k > 0, F.element_at("ends", k)).otherwise(0).alias("chars"))
+    """doc_id, chars: the longest prefix within ``budget`` tokens, by lookup in a prefix table (null for a budget under 0)."""
+    back = F.array_position(F.reverse(F.transform("counts", lambda c: c <= budget)), True)
+    return table.select("doc_id", F.when(back > 0, F.size("counts") - back).alias("chars"))
+
+
+def tokens_of(table: DataFrame, chars: int) -> DataFrame:
+    """doc_id, n_tokens: the tokens of each text cut to at most ``chars`` characters, by lookup in a prefix table."""
+    return table.select("doc_id", F.element_at("counts", F.least(F.size("counts"), F.lit(max(chars, 0) + 1))).cast("long").alias("n_tokens"))

@@ -294,15 +294,24 @@ def test_every_prefix_and_every_budget(pieces):
     odd = [*ODD, *("".join(r.choice("ab ▁\n.é😀thein") for _ in range(r.randint(1, 40))) for _ in range(60))]
     for text in odd:
         want = [len(pieces.encode(text[:k])) for k in range(len(text) + 1)]
-        assert c.every_prefix(text) == want
+        assert c.every_prefix(text).tolist() == want
         for budget in (0, 1, 3, 9):
-            assert c.fit(text, budget) == max(k for k, n in enumerate(want) if n <= budget)
+            assert token_counts.fit(c.every_prefix(text), budget) == max(k for k, n in enumerate(want) if n <= budget)
 
 
-def test_prefix_table_answers_budgets(docs, rows, pieces):
-    got = {r["doc_id"]: r["chars"] for r in token_counts.within(token_counts.prefix_table(docs, tokenizer("piece_bpe_32k.model")), 20).collect()}
+def test_prefix_table_answers_cuts_and_budgets(docs, rows, nothing, pieces, monkeypatch):
+    monkeypatch.setattr(token_counts, "SENT", 50)
+    path = tokenizer("piece_bpe_32k.model")
+    table = token_counts.prefix_table(docs, path).cache()
+    got = {r["doc_id"]: r["chars"] for r in token_counts.within(table, 20).collect()}
+    cut = {r["doc_id"]: r["n_tokens"] for r in token_counts.tokens_of(table, 33).collect()}
     for d, t in rows:
-        assert len(pieces.encode((t or "")[: got[d]])) <= 20
+        t = t or ""
+        assert cut[d] == len(pieces.encode(t[:33]))
+        assert len(pieces.encode(t[: got[d]])) <= 20
+        assert all(len(pieces.encode(t[:k])) > 20 for k in range(got[d] + 1, min(len(t), got[d] + 60) + 1))
+    assert {r["chars"] for r in token_counts.within(table, -1).collect()} == {None}
+    assert token_counts.prefix_table(nothing, path).count() == 0
 
 
 # 4 ----------------------------------------------------------------------------------------------
