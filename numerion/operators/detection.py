@@ -58,7 +58,7 @@ def segment_one(bgr: np.ndarray, p: Reading, sheet: Sheet | None = None) -> dict
 
 
 def segment(images_: DataFrame, p: Reading | None = None, sheet: Sheet | None = None) -> DataFrame:
-    """One row per image; an image that can't be read has a status and no components, and the job goes on."""
+    """One row per image; an image that can't be read, or whose pixels fail, has a status and no components, and the job goes on."""
     p = p or Reading()
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -69,7 +69,11 @@ def segment(images_: DataFrame, p: Reading | None = None, sheet: Sheet | None =
                 if im["height"] is None or im["height"] <= 0:
                     row["status"] = "not an image"
                 else:
-                    row |= segment_one(K.to_bgr(im["height"], im["width"], im["nChannels"], im["data"]), p, sheet)
+                    try:
+                        row |= segment_one(K.to_bgr(im["height"], im["width"], im["nChannels"], im["data"]), p, sheet)
+                    except (ValueError, ArithmeticError, IndexError, np.linalg.LinAlgError) as e:
+                        # One bad frame must not end a stream; the status tells what went wrong.
+                        row["status"] = f"failed: {type(e).__name__}"
                 rows.append(row)
             yield pd.DataFrame(rows)
 

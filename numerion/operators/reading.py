@@ -74,6 +74,36 @@ def classify(rows: DataFrame, scores: str = "p") -> DataFrame:
     return rows.withColumn("pred", arg_max(F.col(scores))).withColumn("conf", F.array_max(scores) / total)
 
 
+def text_lines(pages: DataFrame, lines: str = "lines") -> DataFrame:
+    """image_id, line (from 0), text of pages that hold an array of lines."""
+    return pages.select("image_id", F.posexplode(lines).alias("line", "text"))
+
+
+def against_truth(read: DataFrame, truth: DataFrame) -> DataFrame:
+    """image_id, line, truth, read, chars, right, exact: lines as read beside lines as they should be.
+
+    Both sides hold image_id, line, text. A line that one side lacks has null there; a null text counts
+    as an empty one. Of rows that repeat a line the first text in order counts. ``chars`` is the
+    longer text's length, ``right`` the places where both have the same character.
+    """
+    one = lambda df, name: df.groupBy("image_id", "line").agg(F.min(F.coalesce("text", F.lit(""))).alias(name))
+    both = one(truth, "truth").join(one(read, "read"), ["image_id", "line"], "full_outer")
+    a, b = F.coalesce("truth", F.lit("")), F.coalesce("read", F.lit(""))
+    places = F.sequence(F.lit(1), F.greatest(F.length(a), F.length(b), F.lit(1)))
+    same = F.filter(places, lambda i: (F.substring(a, i, F.lit(1)) == F.substring(b, i, F.lit(1))) & (i <= F.length(a)) & (i <= F.length(b)))
+    return both.select("image_id", "line", "truth", "read", F.greatest(F.length(a), F.length(b)).cast("long").alias("chars"), F.size(same).cast("long").alias("right"), F.coalesce(F.col("truth") == F.col("read"), F.lit(False)).alias("exact"))
+
+
+def image_accuracy(lines: DataFrame) -> DataFrame:
+    """image_id, n_lines, missing, extra, exact_lines, chars, right, exact of what ``against_truth`` gives."""
+    count = lambda c: F.count(F.when(c, True))
+    out = lines.groupBy("image_id").agg(
+        F.count("truth").alias("n_lines"), count(F.col("read").isNull()).alias("missing"), count(F.col("truth").isNull()).alias("extra"),
+        count(F.col("exact")).alias("exact_lines"), F.sum("chars").alias("chars"), F.sum("right").alias("right"), F.every("exact").alias("exact"),
+    )
+    return out
+
+
 def sequence_accuracy(pairs: DataFrame) -> DataFrame:
     """category, n, exact, digits, right: per category and, as ``(all)``, overall.
 

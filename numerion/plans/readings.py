@@ -26,6 +26,16 @@ votes AS (SELECT f.camera, f.k, f.reading, h.r AS stable, CAST(h.n AS DOUBLE) /
   (SELECT *, row_number() OVER (PARTITION BY camera, k ORDER BY n DESC, first_k) AS o FROM held) h ON h.camera = f.camera AND h.k = f.k AND o = 1)"""
 )
 
+AGAINST = (
+    VOTED
+    + """,
+newest AS (SELECT camera, max(k) AS k, max_by(reading, k) AS read FROM frames GROUP BY camera, date_trunc('hour', ts)),
+sides AS (SELECT coalesce(v.camera, n.camera) AS image_id, coalesce(v.k, n.k) AS line, stable AS truth, read, coalesce(stable, '') AS a, coalesce(read, '') AS b
+  FROM votes v FULL JOIN newest n ON v.camera = n.camera AND v.k = n.k),
+compared AS (SELECT image_id, line, truth, read, greatest(length(a), length(b)) AS chars,
+  CAST(len(list_filter(range(1, least(length(a), length(b)) + 1), lambda i: substring(a, i, 1) = substring(b, i, 1))) AS BIGINT) AS right, coalesce(truth = read, FALSE) AS exact FROM sides)"""
+)
+
 
 def _classed(spark, sf_dir):
     p = S.probabilities(spark, sf_dir)
@@ -89,6 +99,22 @@ def newest_frame(spark, sf_dir):
     return V.newest(S.frames(spark, sf_dir), F.date_trunc("hour", F.col("ts").cast("timestamp")).cast("string"))
 
 
+def _shed_against_steady(spark, sf_dir):
+    """What the newest frame of each hour reads, beside the steady text of all frames."""
+    frames_ = S.frames(spark, sf_dir)
+    newest = frames_.groupBy("camera", F.date_trunc("hour", "ts")).agg(F.max(F.struct("k", "reading")).alias("f"))
+    steady = V.majority(frames_)
+    return R.against_truth(newest.select(F.col("camera").alias("image_id"), F.col("f.k").alias("line"), F.col("f.reading").alias("text")), steady.select(F.col("camera").alias("image_id"), F.col("k").alias("line"), F.col("stable").alias("text")))
+
+
+def line_accuracy(spark, sf_dir):
+    return _shed_against_steady(spark, sf_dir)
+
+
+def image_accuracy(spark, sf_dir):
+    return R.image_accuracy(_shed_against_steady(spark, sf_dir))
+
+
 def service_counters(spark, sf_dir):
     f = S.frames(spark, sf_dir)
     return f.groupBy("camera").agg(F.count("*").alias("requests"), F.sum(F.length("reading")).cast("long").alias("characters"), F.count_distinct("reading").alias("kinds"))
@@ -196,6 +222,12 @@ QUERIES = {
         SELECT camera, k, round(smooth, 6) AS smooth FROM s""",
     ),
     "newest_frame": (newest_frame, f"WITH {S.FRAMES} SELECT camera, strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS slot, max_by(event_id, k) AS event_id, max_by(reading, k) AS reading, count(*) - 1 AS dropped FROM frames GROUP BY 1, 2"),
+    "line_accuracy": (line_accuracy, f"WITH {AGAINST} SELECT * FROM compared"),
+    "image_accuracy": (
+        image_accuracy,
+        f"""WITH {AGAINST} SELECT image_id, count(truth) AS n_lines, count(*) - count(read) AS missing, count(*) - count(truth) AS extra, CAST(sum(CASE WHEN exact THEN 1 ELSE 0 END) AS BIGINT) AS exact_lines,
+          CAST(sum(chars) AS BIGINT) AS chars, CAST(sum(compared.right) AS BIGINT) AS right, bool_and(exact) AS exact FROM compared GROUP BY image_id""",
+    ),
     "service_counters": (service_counters, f"WITH {S.FRAMES} SELECT camera, count(*) AS requests, CAST(sum(length(reading)) AS BIGINT) AS characters, count(DISTINCT reading) AS kinds FROM frames GROUP BY camera"),
     "upload_statuses": (
         upload_statuses,

@@ -44,6 +44,26 @@ def newest_frames(batch: DataFrame) -> DataFrame:
     return batch.groupBy("camera").agg(F.max(F.struct("k", "reading")).alias("f"), F.count("*").alias("n")).select("camera", "f.k", "f.reading", (F.col("n") - 1).alias("dropped"))
 
 
+def until(frames: DataFrame, n: int) -> DataFrame:
+    """The first ``n`` frames of each camera: what a run that stops after ``n`` frames sees; frames without a number are out."""
+    return frames.where(F.col("k") <= n)
+
+
+def follow(frames: DataFrame, handle, checkpoint: str, newest_only: bool = False, live: bool = False, pace: str = "1 second"):
+    """Start handing the frames to ``handle(batch, number)``, every one or only each camera's newest of a micro-batch.
+
+    A live run looks for frames at each ``pace`` until it is stopped; any other
+    ends by itself when the frames that are there have been read. The
+    batches of a checkpoint are repeated under the same number after a failure.
+    """
+
+    def give(batch: DataFrame, number: int) -> None:
+        handle(newest_frames(batch) if newest_only else batch, number)
+
+    writer = frames.writeStream.foreachBatch(give).option("checkpointLocation", checkpoint)
+    return (writer.trigger(processingTime=pace) if live else writer.trigger(availableNow=True)).start()
+
+
 def counters(frames: DataFrame) -> DataFrame:
     """``frames`` with observed counts of requests and of digits read, told to query listeners with each batch."""
     return frames.observe("numerion", F.count("*").alias("requests"), F.sum(F.length(F.regexp_replace(F.coalesce("reading", F.lit("")), "[^0-9]", ""))).alias("digits"))

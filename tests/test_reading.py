@@ -11,6 +11,7 @@ from numerion.functions import sheet as H
 from numerion.operators import boxes as B
 from numerion.operators import detection as D
 from numerion.operators import models as M
+from numerion.operators import reading as R
 from numerion.operators import votes as V
 from numerion.params import Reading, Sheet
 from numerion.sinks import files
@@ -223,6 +224,36 @@ def test_stream_votes_equal_batch_votes(spark, tmp_path):
     assert got == sorted(map(tuple, V.majority(df).select("camera", "k", "stable", "agreement").collect()))
 
 
+@pytest.mark.parametrize("newest_only", [False, True])
+def test_follow_hands_on_every_frame_or_the_newest_and_ends(spark, tmp_path, newest_only):
+    rows = column(spark, [(c, k, str(c * k)) for c in (1, 2) for k in range(1, 13)] + [(3, None, "7")], "camera long, k long, reading string")
+    rows.coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = live.until(spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in")), 9)
+    seen = []
+    query = live.follow(stream, lambda batch, number: seen.extend((number, r["camera"], r["k"]) for r in batch.collect()), str(tmp_path / "cp"), newest_only)
+    assert query.awaitTermination(120)
+    assert sorted(seen) == sorted((0, c, k) for c in (1, 2) for k in ((9,) if newest_only else range(1, 10)))
+
+
+def test_a_failing_frame_has_a_status_and_the_others_are_read(spark, folder, model):
+    good = D.images(spark, folder).where("image_id like '%two.png'")
+    cut = good.select(F.lit("cut").alias("image_id"), F.col("image").withField("data", F.substring("image.data", 1, 50)).alias("image"))
+    got = {r["image_id"].rsplit("/", 1)[-1]: r for r in D.detect(good.unionByName(cut), model).collect()}
+    assert got["two.png"]["status"] == "ok" and got["two.png"]["text"] == "80"
+    assert got["cut"]["status"].startswith("failed: ") and got["cut"]["text"] == "" and got["cut"]["digit_count"] == 0
+
+
+def test_lines_against_truth(spark):
+    truth = column(spark, [("a", ["123", "45"]), ("b", ["7"]), ("c", None), ("d", [None])], "image_id string, lines array<string>")
+    read = column(spark, [("a", ["1235", "54"]), ("e", ["1"]), ("b", ["7", "8"]), ("d", [""])], "image_id string, lines array<string>")
+    lines = R.against_truth(R.text_lines(read), R.text_lines(truth))
+    got = {(r["image_id"], r["line"]): tuple(r)[2:] for r in lines.collect()}
+    assert got == {("a", 0): ("123", "1235", 4, 3, False), ("a", 1): ("45", "54", 2, 0, False), ("b", 0): ("7", "7", 1, 1, True), ("b", 1): (None, "8", 1, 0, False), ("e", 0): (None, "1", 1, 0, False), ("d", 0): ("", "", 0, 0, True)}
+    images = {r["image_id"]: tuple(r)[1:] for r in R.image_accuracy(lines).collect()}
+    assert images == {"a": (2, 0, 0, 0, 6, 3, False), "b": (1, 0, 1, 1, 2, 1, False), "e": (0, 0, 1, 0, 1, 0, False), "d": (1, 0, 0, 1, 0, 0, True)}
+    assert R.against_truth(R.text_lines(read.limit(0)), R.text_lines(truth.limit(0))).count() == 0
+
+
 def test_parameters_come_from_options():
     assert Reading.of({"max_side": "640", "use_otsu": "true", "adaptive_c": "7"}).to_dict() | {} == {**P.to_dict(), "max_side": 640, "use_otsu": True, "adaptive_c": 7.0}
     with pytest.raises(KeyError):
