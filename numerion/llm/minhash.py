@@ -224,7 +224,7 @@ def _seek(percent: int):
     return run
 
 
-def links(sig: DataFrame, docs: DataFrame, ngram: int, percent: int) -> tuple[DataFrame, DataFrame]:
+def links(sig: DataFrame, docs: DataFrame, ngram: int, percent: int, least: float = LEAST_ESTIMATE) -> tuple[DataFrame, DataFrame]:
     """The classes (cls, rep, n, ...) and links (u, v) that join all classes that belong together."""
     some = sig.where("cls is not null")
     classes = shared_table(some.groupBy("cls").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sig").alias("sig")), "classes")
@@ -233,7 +233,7 @@ def links(sig: DataFrame, docs: DataFrame, ngram: int, percent: int) -> tuple[Da
     pairs = rows.join(hubs, "key").where("cls <> hub").groupBy("cls", "hub").agg((F.max("c") > 2).alias("more"))
     small = classes.select("cls", "rep", "n", "sig")
     known = pairs.join(small.withColumnRenamed("rep", "ra"), "cls").join(small.select(F.col("cls").alias("hub"), F.col("rep").alias("rh"), F.col("n").alias("nh"), F.col("sig").alias("sigh")), "hub")
-    near = (100 * F.least("n", "nh") >= percent * F.greatest("n", "nh")) & (estimate("sig", "sigh") >= LEAST_ESTIMATE)
+    near = (100 * F.least("n", "nh") >= percent * F.greatest("n", "nh")) & (estimate("sig", "sigh") >= least)
     chosen = shared_table(known.where(F.col("more") | near).select("cls", "hub", "more", "n", "nh", "ra", "rh"), "pairs")
 
     ids = chosen.select(F.col("ra").alias("rep")).union(chosen.select("rh")).distinct()
@@ -268,10 +268,10 @@ def links(sig: DataFrame, docs: DataFrame, ngram: int, percent: int) -> tuple[Da
     return classes, direct.unionByName(found)
 
 
-def _grouped(docs: DataFrame, ngram: int, percent: int) -> tuple[DataFrame, DataFrame]:
+def _grouped(docs: DataFrame, ngram: int, percent: int, least_estimate: float = LEAST_ESTIMATE) -> tuple[DataFrame, DataFrame]:
     """Signatures of the rows, and cls, root, component of every class."""
     sig = shared_table(signatures(docs, ngram), "signatures")
-    classes, edges = links(sig, docs, ngram, percent)
+    classes, edges = links(sig, docs, ngram, percent, least_estimate)
     roots = components(edges)
     named = classes.select("cls", "rep").join(roots, F.col("cls") == F.col("node"), "left").select("cls", "rep", F.coalesce("root", "cls").alias("root"))
     least = named.groupBy("root").agg(F.min("rep").alias("component"))
@@ -284,9 +284,12 @@ def _reported(sig: DataFrame, groups: DataFrame) -> DataFrame:
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
-def near_duplicates(docs: DataFrame, ngram: int = NGRAM, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept for each row of ``docs`` (doc_id, text)."""
-    return _reported(*_grouped(docs, ngram, percent))
+def near_duplicates(docs: DataFrame, ngram: int = NGRAM, percent: int = PERCENT, least_estimate: float = LEAST_ESTIMATE) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept for each row of ``docs`` (doc_id, text).
+
+    With a ``least_estimate`` under -1 every pair that shares a band is compared in full.
+    """
+    return _reported(*_grouped(docs, ngram, percent, least_estimate))
 
 
 def one_of_each(docs: DataFrame, ngram: int = NGRAM, percent: int = PERCENT) -> DataFrame:

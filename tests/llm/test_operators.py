@@ -742,6 +742,11 @@ def test_near_duplicates_equal_brute_force(spark, docs, rows, ngram):
     assert got == groups_by_hand(rows, ngram)
 
 
+def test_estimates_change_no_result(docs):
+    cut, full = (sorted(map(tuple, minhash.near_duplicates(docs, 2, least_estimate=e).collect()), key=repr) for e in (minhash.LEAST_ESTIMATE, -9.0))
+    assert cut == full
+
+
 def test_links_that_no_hub_has(spark, monkeypatch):
     """Chains of edits, dealt over small blocks."""
     monkeypatch.setattr(minhash, "BLOCK", 5)
