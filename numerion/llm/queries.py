@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from numerion.llm import bpe_chunks, centroids, chat_quotes, langid, license_scan, minhash, mixing, oracles, quality, suffix_dedup, token_counts, topk
+from numerion.llm import bpe_chunks, centroids, chat_quotes, divergence, langid, license_scan, minhash, mixing, oracles, quality, suffix_dedup, token_counts, topk
 from numerion.llm.common import documents, tokenizer
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -64,6 +64,10 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(documents(spark, sf_dir), ngram=2)
 
 
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(documents(spark, sf_dir))
+
+
 def op13_laesa_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.report(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
@@ -83,6 +87,7 @@ def queries() -> dict[str, Query]:
         "op9_quality_rules": op9_quality_rules,
         "op9_quality_by_share": op9_quality_by_share,
         "op10_minhash": op10_minhash,
+        "op12_source_divergence": op12_source_divergence,
         "op13_laesa_centroids": op13_laesa_centroids,
     }
 
@@ -98,5 +103,6 @@ def oracle_sql() -> dict[str, str]:
         "op9_quality_rules": quality.ORACLE,
         "op9_quality_by_share": quality.SHARE_ORACLE,
         "op10_minhash": oracles.NEAR_DUPLICATES,
+        "op12_source_divergence": divergence.ORACLE,
         "op13_laesa_centroids": centroids.ORACLE,
     }
