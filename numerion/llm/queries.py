@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from numerion.llm import bpe_chunks, centroids, chat_quotes, divergence, langid, license_scan, minhash, mixing, oracles, quality, suffix_dedup, token_counts, topk
+from numerion.llm import bpe_chunks, centroids, chat_quotes, divergence, langid, license_scan, minhash, mixing, oracles, quality, simhash, suffix_dedup, token_counts, topk
 from numerion.llm.common import documents, tokenizer
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -64,6 +64,10 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(documents(spark, sf_dir), ngram=2)
 
 
+def op11_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(documents(spark, sf_dir))
+
+
 def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(documents(spark, sf_dir))
 
@@ -87,6 +91,7 @@ def queries() -> dict[str, Query]:
         "op9_quality_rules": op9_quality_rules,
         "op9_quality_by_share": op9_quality_by_share,
         "op10_minhash": op10_minhash,
+        "op11_simhash": op11_simhash,
         "op12_source_divergence": op12_source_divergence,
         "op13_laesa_centroids": op13_laesa_centroids,
     }
