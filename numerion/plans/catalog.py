@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from numerion.plans import images, pages, pixels, readings
+from numerion.plans import images, pages, pixels, rasters, readings
 
-MODULES = (pages, pixels, readings, images)
+MODULES = (pages, pixels, rasters, readings, images)
 
 
 def queries() -> dict:
