@@ -28,7 +28,7 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(documents(spark, sf_dir))
 
 
-def op4_license_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+def license_base(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.base(documents(spark, sf_dir))
 
 
@@ -48,7 +48,7 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir))
 
 
-def op8_whole_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+def whole_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.whole_mix(documents(spark, sf_dir))
 
 
@@ -82,12 +82,12 @@ def queries() -> dict[str, Query]:
         "op2_chat_quotes": op2_chat_quotes,
         "op3_token_counts": op3_token_counts,
         "op4_license_scan": op4_license_scan,
-        "op4_license_base": op4_license_base,
+        "license_base": license_base,
         "op5_topk": op5_topk,
         "op6_bpe_chunks": op6_bpe_chunks,
         "op7_langid": op7_langid,
         "op8_mixing": op8_mixing,
-        "op8_whole_mix": op8_whole_mix,
+        "whole_mix": whole_mix,
         "op9_quality_rules": op9_quality_rules,
         "op9_quality_by_share": op9_quality_by_share,
         "op10_minhash": op10_minhash,
@@ -101,10 +101,10 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op1_suffix_dedup": oracles.SUFFIX_DEDUP,
         "op2_chat_quotes": oracles.CHAT_QUOTES,
-        "op4_license_base": license_scan.BASE_ORACLE,
+        "license_base": license_scan.BASE_ORACLE,
         "op5_topk": topk.ORACLE,
         "op8_mixing": mixing.ORACLE,
-        "op8_whole_mix": mixing.WHOLE_ORACLE,
+        "whole_mix": mixing.WHOLE_ORACLE,
         "op9_quality_rules": quality.ORACLE,
         "op9_quality_by_share": quality.SHARE_ORACLE,
         "op10_minhash": oracles.NEAR_DUPLICATES,

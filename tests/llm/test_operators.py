@@ -589,44 +589,65 @@ def test_languages_of_held_out_texts(spark, nothing, monkeypatch):
 # 8 ----------------------------------------------------------------------------------------------
 
 
-@pytest.mark.parametrize("block_rows", [1, 3])
-def test_mix_stays_within_a_block_of_the_weights(spark, nothing, block_rows):
-    """Sources of all sizes, down to one row: in each segment and at its borders, all rows up to the targets, as its SQL has it."""
+def places_hold(blocks, size):
+    """Every block is taken between release and deadline, and at every slot each source is less than a block from its weight."""
+    m, done, number = len(blocks), Counter(), sum(size.values())
+    assert m == number and [x["slot"] for x in blocks] == list(range(m))
+    for t, x in enumerate(blocks):
+        s, b = x["source"], size[x["source"]]
+        i = done[s]
+        assert (x["release"], x["deadline"]) == (i * m // b, -(-(i + 1) * m // b)) and x["release"] <= t < x["deadline"] and x["block"] == i
+        done[s] += 1
+        assert all(abs(done[o] * m - (t + 1) * n) < m for o, n in size.items())
+
+
+@pytest.mark.parametrize(("block_rows", "blocks"), [(1, 10**6), (3, 10**6), (2, 100)])
+def test_mix_stays_within_a_block_of_the_weights(spark, nothing, block_rows, blocks):
+    """Sources of all sizes, down to one row: at every slot of the whole mix, with all rows in it, as its SQL has it."""
     r = random.Random(12)
     rows = [(i, "t", "en", r.choice(["big"] * 6 + ["b", "c", "d", None]), 1, "", "", 1, "") for i in range(3000)]
     rows += [(None, None, None, "b", None, "", "", 1, ""), (7, "t", "en", "c", 1, "", "", 1, "")] + [(9000 + i, "t", "en", f"tiny{i}", 1, "", "", 1, "") for i in range(5)]
     docs = spark.createDataFrame(rows, SCHEMA)
-    df = mixing.mix(docs, keep=("in_text",), period=97, block_rows=block_rows).toPandas().replace({np.nan: None})
-    assert len(df) == len(rows)
-    cut = {s: min(n, -(-len(rows) // mixing.CAP)) for s, n in Counter(df["source"]).items()}
-    inside = df[df["in_mix"]]
-    assert Counter(inside["source"]) == cut
-    blocks = inside.drop_duplicates(["source", "block"]).sort_values("slot").to_dict("records")
-    assert [x["slot"] for x in blocks] == list(range(len(blocks)))
-    size = Counter(x["source"] for x in blocks)
-    assert size == {s: -(-c // block_rows) for s, c in cut.items()}
-    k = max(1, len(blocks) // 97)
-    before = Counter()
-    for seg in range(k):
-        mine = [x for x in blocks if x["segment"] == seg]
-        q, m, done = Counter(x["source"] for x in mine), len(mine), Counter()
-        for t, x in enumerate(mine):
-            done[x["source"]] += 1
-            assert x["release"] <= x["slot"] < x["deadline"] and x["block"] == before[x["source"]] + done[x["source"]] - 1
-            for s, a in q.items():
-                assert abs(done[s] * m - (t + 1) * a) < m
-        before += q
-        assert all(abs(before[s] - (seg + 1) * b / k) < 1 for s, b in size.items())
+    df = mixing.mix(docs, keep=("in_text",), block_rows=block_rows, blocks=blocks).toPandas().replace({np.nan: None})
+    assert len(df) == len(rows) and df["in_mix"].all()
+    rows_in = max(block_rows, -(-len(rows) // blocks))
+    assert (df["position"] // rows_in == df["slot"]).all() and df["position"].is_unique
+    whole = df.drop_duplicates(["source", "block"]).sort_values("slot").to_dict("records")
+    places_hold(whole, {s: -(-n // rows_in) for s, n in Counter(x["source"] for x in df.to_dict("records")).items()})
     con = duckdb.connect()
     con.register("documents", docs.select("doc_id", "source").toPandas().astype({"doc_id": "Int64"}))
     columns = [c for c in df.columns if c != "in_in_text"]
-    assert plain_rows(df, columns) == plain_rows(con.sql(mixing.oracle(97, block_rows)).df(), columns)
+    assert plain_rows(df, columns) == plain_rows(con.sql(mixing.oracle(block_rows, blocks)).df(), columns)
     assert mixing.mix(nothing).count() == 0
 
 
+@pytest.mark.parametrize("sizes", [[400, 300, 200, 100, 3], [5] * 200 + [1000], [11] * 300 + [2500], [1], [7, 1], [1000], [999, 1, 1]])
+def test_schedules_of_uneven_sources(spark, sizes):
+    """Many small sources beside a large one: still less than a block at every slot, wherever folds are cut."""
+    size = {f"s{i:03d}": b for i, b in enumerate(sizes)}
+    blocks = spark.createDataFrame(list(size.items()), "src string, b long")
+    for period in (50, 1000):
+        got = mixing.schedule(blocks, period).orderBy("slot").toPandas().rename(columns={"src": "source"})
+        places_hold(got.to_dict("records"), size)
+
+
+@pytest.mark.parametrize("shares", [["a"], ["a", "b"], ["a", "b", "c"], ["a"] * 9 + ["b"], [None]])
+def test_few_or_uneven_sources_keep_every_row(spark, shares):
+    docs = spark.createDataFrame([(i, f"t{i}", "en", shares[i % len(shares)], 1) for i in range(1000)], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    assert mixing.mix(docs).where("in_mix").count() == 1000
+    staged = corpus_pipeline.mixing_stage(spark, docs, "")
+    assert sorted(map(tuple, staged.collect()), key=repr) == sorted(map(tuple, docs.collect()), key=repr)
+
+
+def test_stage_writes_rows_in_the_order_of_the_mix(spark):
+    docs = spark.range(3000).selectExpr("id AS doc_id", "'t' AS text", "'en' AS lang", "if(id % 3 = 0, 'a', concat('s', id % 11)) AS source", "1L AS n_chars").repartition(4)
+    want = [r["doc_id"] for r in mixing.mix(docs).orderBy("position").collect()]
+    assert [r["doc_id"] for r in corpus_pipeline.mixing_stage(spark, docs, "").collect()] == want
+
+
 def test_one_rare_source_keeps_the_mix(spark):
     docs = spark.range(200_001).selectExpr("id AS doc_id", "if(id = 200000, 'rare', concat('s', id % 4)) AS source")
-    assert mixing.mix(docs).where("in_mix").count() >= 199_000
+    assert mixing.mix(docs).where("in_mix").count() == 200_001
 
 
 def test_given_weights(spark):
@@ -638,12 +659,12 @@ def test_given_weights(spark):
 
 
 def test_a_source_of_one_row_ends_no_mix(spark):
-    """All rows of sources within their targets stay in; of one source over its target, the rest goes."""
+    """All rows stay in, whatever the sizes of their sources."""
     source = "CASE WHEN id = 0 THEN 'one' WHEN id = 1 THEN NULL WHEN id < 25 THEN 'few' WHEN id < 12000 THEN 'big' ELSE concat('s', id % 4) END"
     docs = spark.range(24000).selectExpr("id AS doc_id", "'t' AS text", "'en' AS lang", f"{source} AS source", "1L AS n_chars").repartition(4)
     sizes = Counter(r["source"] for r in docs.collect())
     got = mixing.whole_mix(docs).toPandas()
-    want = {s: min(n, 6000) for s, n in sizes.items()}
+    want = dict(sizes)
     inside = got[got["in_mix"]].sort_values("position")
     assert len(got) == 24000 and Counter(x if isinstance(x, str) else None for x in inside["source"]) == want
     assert inside["position"].tolist() == list(range(len(inside))) and got[~got["in_mix"]]["position"].isna().all()
