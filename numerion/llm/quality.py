@@ -3,9 +3,9 @@
 Each line is judged by itself (punctuation, navigation, boilerplate, symbols,
 shouting); lines that fail are removed, and a document that loses too much of
 its text that way is rejected. Repetition and length rules on the whole text
-come before. By default a phrase of page furniture or two bars fail a line of any length;
-``by_share`` lets them fail only a line that is short or that they make up a large part of. All of it stays in one projection over the scan: no shuffle, no
-Python.
+come before. A phrase of page furniture or two bars fail only a line that is short or that they make up a large
+part of. Lines without a word are no lines to judge and stay where they are, so paragraphs keep their
+borders. All of it stays in one projection over the scan: no shuffle, no Python.
 
 Defined results: a null or empty text has no words, fails the length rule and
 is rejected; repeated rows are judged one by one; other columns of the input
@@ -23,7 +23,7 @@ MAX_REPEAT_PERCENT = 20
 MAX_LOSS_PERCENT = 50
 #: A line of fewer words than this needs an end mark.
 FRAGMENT_WORDS = 5
-#: By share, furniture and bars fail a line of fewer words than this, or of which phrases are a third
+#: Furniture and bars fail a line of fewer words than this, or of which phrases are a third
 #: or bars one character in BAR_EVERY.
 SHORT_WORDS = 10
 PHRASE_PART = 3
@@ -60,11 +60,6 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(text, WORD_GAP), lambda w: w != "")
 
 
-def lines_of(text: Column) -> Column:
-    """The lines that hold a word."""
-    return F.filter(F.split(text, "\n"), lambda x: F.translate(x, BLANKS, "") != "")
-
-
 def count_of(text: Column, characters: str) -> Column:
     return F.length(text) - F.length(F.translate(text, characters, ""))
 
@@ -102,45 +97,45 @@ def repeated_words(words: Column, width: int = 5) -> Column:
     return let(words, lambda w: F.when(F.size(w) > width, covered(w)).otherwise(0))
 
 
-def bad_line(line: Column, by_share: bool = False) -> Column:
-    """Whether a line fails a rule of its own; ``by_share``: furniture and bars count only where they are much of the line."""
+def bad_line(line: Column) -> Column:
+    """Whether a line fails a rule of its own; furniture and bars count only where they are much of the line."""
     small = F.lower(line)
     words = F.size(words_of(line))
-    navigation = count_of(line, "|") >= 2
+    short = words < SHORT_WORDS
     symbols = 10 * count_of(line, SYMBOLS) > F.length(line)
     shouting = (F.length(line) >= 20) & (F.upper(line) == line) & (small != line)
     fragment = (words < FRAGMENT_WORDS) & ~line.rlike(END_MARKS)
     furniture = F.lit(False)
     for phrase in BOILERPLATE:
         furniture = furniture | small.contains(phrase)
-    if by_share:
-        short = words < SHORT_WORDS
-        held = sum(((F.length(small) - F.length(F.replace(small, F.lit(p), F.lit("")))) for p in BOILERPLATE), F.lit(0))
-        furniture = furniture & (short | (PHRASE_PART * held >= F.length(small)))
-        navigation = navigation & (short | (BAR_EVERY * count_of(line, "|") >= F.length(line)))
+    held = sum(((F.length(small) - F.length(F.replace(small, F.lit(p), F.lit("")))) for p in BOILERPLATE), F.lit(0))
+    furniture = furniture & (short | (PHRASE_PART * held >= F.length(small)))
+    bars = count_of(line, "|")
+    navigation = (bars >= 2) & (short | (BAR_EVERY * bars >= F.length(line)))
     return navigation | symbols | shouting | fragment | furniture
 
 
-def judge(docs: DataFrame, max_loss_percent: int = MAX_LOSS_PERCENT, keep: tuple[str, ...] = (), by_share: bool = False) -> DataFrame:
+def judge(docs: DataFrame, max_loss_percent: int = MAX_LOSS_PERCENT, keep: tuple[str, ...] = ()) -> DataFrame:
     """One row per document: statistics, ``base_failed``, ``kept`` and the cleaned text.
 
-    ``keep`` names input columns to carry along; ``by_share`` goes to the line rules. Columns: doc_id, n_words,
+    ``keep`` names input columns to carry along. Columns: doc_id, n_words,
     word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept,
     n_lines, n_bad_lines, lost_chars, line_chars, clean_text.
     """
     text = F.coalesce(docs["text"].cast("string"), F.lit(""))
     first = docs.select(docs["doc_id"].alias("doc_id"), *(docs[c].alias(f"in_{c}") for c in keep), text.alias("t"))
-    lists = first.withColumns({"ws": words_of(F.col("t")), "ls": lines_of(F.col("t"))})
+    worded = lambda x: F.translate(x, BLANKS, "") != ""
+    told = F.transform(F.split("t", "\n"), lambda x: F.when(worded(x), F.struct(x.alias("x"), bad_line(x).alias("bad"))).otherwise(F.struct(x.alias("x"), F.lit(None).cast("boolean").alias("bad"))))
+    lists = first.withColumns({"ws": words_of(F.col("t")), "every": told}).withColumn("judged", F.filter("every", lambda r: r["bad"].isNotNull()))
     marked = lists.withColumns({
         "n_words": F.size("ws").cast("long"),
         "word_chars": F.length(F.translate("t", BLANKS, "")).cast("long"),
         "n_symbols": count_of(F.col("t"), SYMBOLS).cast("long"),
-        "n_dup_lines": (F.size("ls") - F.size(F.array_distinct("ls"))).cast("long"),
+        "n_dup_lines": (F.size("judged") - F.size(F.array_distinct(F.transform("judged", lambda r: r["x"])))).cast("long"),
         "n_repeat_words": repeated_words(F.col("ws")).cast("long"),
-        "judged": F.transform("ls", lambda x: F.struct(x.alias("x"), bad_line(x, by_share).alias("bad"))),
     })
     total = lambda rows: F.aggregate(rows, F.lit(0).cast("long"), lambda a, r: a + F.length(r["x"]))
-    good = F.filter("judged", lambda r: ~r["bad"])
+    good = F.filter("every", lambda r: ~F.coalesce(r["bad"], F.lit(False)))
     counted = marked.withColumns({
         "base_failed": (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words")),
         "n_lines": F.size("judged").cast("long"),
@@ -157,9 +152,13 @@ def judge(docs: DataFrame, max_loss_percent: int = MAX_LOSS_PERCENT, keep: tuple
 
 
 def _sql(phrases: tuple[str, ...]) -> str:
-    return " OR ".join(f"contains(lower(x), '{p}')" for p in phrases)
+    held = " + ".join(f"length(lower(x)) - length(replace(lower(x), '{p}', ''))" for p in phrases)
+    some = " OR ".join(f"contains(lower(x), '{p}')" for p in phrases)
+    return f"({some}) AND (short OR {PHRASE_PART} * ({held}) >= length(lower(x)))"
 
 
+_BARS = "length(x) - length(replace(x, '|', ''))"
+_WORDS = r"len(list_filter(regexp_split_to_array(x, '[\x20\x09-\x0D]+'), lambda w: w <> ''))"
 #: DuckDB text of the query over ``documents``.
 ORACLE = rf"""
 WITH base AS (
@@ -175,14 +174,15 @@ repeats AS (
 covered AS (
   SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + 5)) AS p FROM repeats) q GROUP BY doc_id),
 lined AS (SELECT doc_id, unnest(ls) AS x FROM lists),
+sized AS (SELECT *, {_WORDS} < {SHORT_WORDS} AS short FROM lined),
 judged AS (
   SELECT doc_id, length(x) AS n,
-    length(x) - length(replace(x, '|', '')) >= 2
+    ({_BARS} >= 2 AND (short OR {BAR_EVERY} * ({_BARS}) >= length(x)))
     OR 10 * (length(x) - length(regexp_replace(x, '[#*$%&|<>]', '', 'g'))) > length(x)
     OR (length(x) >= 20 AND upper(x) = x AND lower(x) <> x)
     OR (len(list_filter(regexp_split_to_array(x, '[\x20\x09-\x0D]+'), lambda w: w <> '')) < {FRAGMENT_WORDS}
         AND NOT regexp_matches(x, '[.!?…:;。！？]["''”’»)\]]*[ \t\r]*$'))
-    OR {_sql(BOILERPLATE)} AS bad FROM lined),
+    OR {_sql(BOILERPLATE)} AS bad FROM sized),
 loss AS (
   SELECT doc_id, count(*) AS n_lines, count_if(bad) AS n_bad, coalesce(sum(n), 0) AS chars,
          coalesce(sum(n) FILTER (WHERE bad), 0) AS lost FROM judged GROUP BY doc_id),
@@ -202,19 +202,3 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
   n_lines, n_bad_lines, lost_chars, line_chars
 FROM counted
 """
-
-
-def _shared(phrases: tuple[str, ...]) -> str:
-    held = " + ".join(f"length(lower(x)) - length(replace(lower(x), '{p}', ''))" for p in phrases)
-    return f"({_sql(phrases)}) AND (short OR {PHRASE_PART} * ({held}) >= length(lower(x)))"
-
-
-_BARS = "length(x) - length(replace(x, '|', ''))"
-_WORDS = r"len(list_filter(regexp_split_to_array(x, '[\x20\x09-\x0D]+'), lambda w: w <> ''))"
-#: The same with furniture and bars by their share of the line.
-SHARE_ORACLE = (
-    ORACLE.replace("unnest(ls) AS x FROM lists)", f"unnest(ls) AS x FROM lists),\nsized AS (SELECT *, {_WORDS} < {SHORT_WORDS} AS short FROM lined)")
-    .replace("AS bad FROM lined)", "AS bad FROM sized)")
-    .replace(f"{_BARS} >= 2", f"({_BARS} >= 2 AND (short OR {BAR_EVERY} * ({_BARS}) >= length(x)))")
-    .replace(_sql(BOILERPLATE), _shared(BOILERPLATE))
-)

@@ -56,10 +56,6 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(documents(spark, sf_dir)).drop("clean_text")
 
 
-def op9_quality_by_share(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.judge(documents(spark, sf_dir), by_share=True).drop("clean_text")
-
-
 def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(documents(spark, sf_dir), ngram=2)
 
@@ -89,7 +85,6 @@ def queries() -> dict[str, Query]:
         "op8_mixing": op8_mixing,
         "whole_mix": whole_mix,
         "op9_quality_rules": op9_quality_rules,
-        "op9_quality_by_share": op9_quality_by_share,
         "op10_minhash": op10_minhash,
         "op11_simhash": op11_simhash,
         "op12_source_divergence": op12_source_divergence,
@@ -106,7 +101,6 @@ def oracle_sql() -> dict[str, str]:
         "op8_mixing": mixing.ORACLE,
         "whole_mix": mixing.WHOLE_ORACLE,
         "op9_quality_rules": quality.ORACLE,
-        "op9_quality_by_share": quality.SHARE_ORACLE,
         "op10_minhash": oracles.NEAR_DUPLICATES,
         "op12_source_divergence": divergence.ORACLE,
         "op13_laesa_centroids": centroids.ORACLE,

@@ -700,18 +700,27 @@ def test_long_clean_lines_may_hold_furniture(spark):
     bad = ["Home | About | Contact", "Click here to read more.", " | ".join(["Home page", "Our news", "Contact us"] * 5)]
     bad.append(" ".join(["Sign up for news, read more, click here, accept cookies."] * 2))
     docs = spark.createDataFrame(list(enumerate(long + bad)), "doc_id long, text string")
-    got = collected(quality.judge(docs, by_share=True))
+    got = collected(quality.judge(docs))
     assert all(got[i]["kept"] and got[i]["n_bad_lines"] == 0 and got[i]["clean_text"] == t for i, t in enumerate(long))
     assert all(got[len(long) + i]["n_bad_lines"] == 1 for i in range(len(bad)))
     con = duckdb.connect()
     con.register("documents", docs.toPandas())
-    columns = [c for c in quality.judge(docs, by_share=True).columns if c != "clean_text"]
-    want = con.sql(quality.SHARE_ORACLE).df().set_index("doc_id", drop=False)[columns]
+    columns = [c for c in quality.judge(docs).columns if c != "clean_text"]
+    want = con.sql(quality.ORACLE).df().set_index("doc_id", drop=False)[columns]
     assert all([got[i][c] for c in columns] == want.loc[i].tolist() for i in got)
     staged = {x["doc_id"]: x["text"] for x in corpus_pipeline.quality_stage(spark, docs.selectExpr("doc_id", "text", "'en' AS lang", "'a' AS source", "1L AS n_chars"), "").collect()}
     assert all(staged[i] == t for i, t in enumerate(long))
 
 
+def test_paragraphs_keep_their_borders(spark):
+    """Lines without a word stay, also around lines that go."""
+    first, last = "A first paragraph of some clean words that ends well.", "And the next one after it, which is as clean as that."
+    texts = [f"{first}\n\n{last}", f"\n{first}\n \t\n\nHome | Help\n\n{last}\r\n\n", "A.\n\nB.", "\n\n", ""]
+    got = collected(quality.judge(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")))
+    assert [got[i]["clean_text"] for i in range(5)] == [texts[0], texts[1].replace("Home | Help\n", ""), *texts[2:]]
+    assert [got[i]["n_lines"] for i in range(5)] == [2, 3, 2, 0, 0] and [got[i]["kept"] for i in range(5)] == [True, True, False, False, False]
+
+
 def test_repeated_words_by_hand(docs, rows):
     got = collected(quality.judge(docs))
     for d, t in rows:
