@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from numerion.functions import areas as A
+from numerion.operators import fitted as T
 from numerion.operators import runs as R
 from numerion.operators import tiles as P
-from numerion.plans.pixels import INK, N, tiles
+from numerion.params import Reading
+from numerion.plans.pixels import INK, LEVEL, N, PX, _text, text, tiles
 
 #: Tiles side by side.
 ACROSS = 16
@@ -23,6 +26,47 @@ def raster_components(spark, sf_dir):
     return R.boxes(R.components(mosaic(P.binarise(tiles(spark, sf_dir)))))
 
 
+def window_sums(spark, sf_dir):
+    """Sum and size of a window around each pixel; its width differs from tile to tile."""
+    rows = tiles(spark, sf_dir).withColumn("block", F.expr("1 + 2 * (vec_id % 5)")).withColumn("sums", A.summed(F.col("t"), N, N))
+    told = lambda what: A.windowed(F.col("t"), F.col("sums"), N, N, F.col("block"), what)
+    return rows.select("vec_id", "block", _text(told(lambda v, s, n: s)).alias("sums"), _text(told(lambda v, s, n: n)).alias("sizes"))
+
+
+#: Tiles are small: digits are of four rows at least, windows of half a digit.
+SMALL = Reading(window_min_digit=4, window_digits=0.5)
+
+
+def binary_tiles_fitted(spark, sf_dir):
+    """First windows of 3 or 5 pixels; the fitted one follows the digits of the tile."""
+    found = T.binarise(tiles(spark, sf_dir), F.expr("3 + 2 * (vec_id % 2)"), p=SMALL)
+    return found.select("vec_id", "block", "window", _text(F.col("ink")).alias("v"))
+
+
+def _local_sql(name: str, source: str, block: str) -> str:
+    """Ink of each pixel against the mean of its window, worked out pixel by pixel."""
+    return f"""{name} AS (SELECT a.vec_id, a.i, a.r, a.c, CASE WHEN CASE WHEN any_value(light) THEN any_value(a.v) * count(*) <= sum(b.v) - 3 * count(*) ELSE any_value(a.v) * count(*) > sum(b.v) + 3 * count(*) END THEN 255 ELSE 0 END AS v
+  FROM blurred a JOIN lit USING (vec_id) JOIN {source} s USING (vec_id) JOIN blurred b ON b.vec_id = a.vec_id AND abs(a.r - b.r) <= s.{block} // 2 AND abs(a.c - b.c) <= s.{block} // 2 GROUP BY a.vec_id, a.i, a.r, a.c)"""
+
+
+FITTED = (
+    LEVEL
+    + f""",
+start AS (SELECT vec_id, 3 + 2 * (vec_id % 2) AS block FROM tiles),
+{_local_sql("one", "start", "block")},
+edge AS (SELECT a.vec_id, a.i AS u, b.i AS v FROM one a JOIN one b ON a.vec_id = b.vec_id AND abs(a.r - b.r) <= 1 AND abs(a.c - b.c) <= 1 WHERE a.v > 0 AND b.v > 0),
+reach(vec_id, u, v) AS (SELECT vec_id, u, u FROM edge UNION SELECT r.vec_id, r.u, e.v FROM reach r JOIN edge e ON e.vec_id = r.vec_id AND e.u = r.v),
+comp AS (SELECT vec_id, k, max(c) - min(c) + 1 AS w, max(r) - min(r) + 1 AS h, count(*) AS ink FROM (SELECT vec_id, u AS i, min(v) AS k FROM reach GROUP BY vec_id, u) q JOIN one USING (vec_id, i) GROUP BY vec_id, k),
+digit AS (SELECT *, sum(ink) OVER (PARTITION BY vec_id ORDER BY h) AS upto, sum(ink) OVER (PARTITION BY vec_id) AS whole FROM comp WHERE h >= 4 AND 2 * w <= 3 * h),
+href AS (SELECT vec_id, greatest(12, min(h)) AS href FROM digit WHERE 2 * upto >= whole GROUP BY vec_id),
+size AS (SELECT vec_id, block, CASE WHEN href // 2 > block THEN least(href // 2 + 1 - href // 2 % 2, 5) ELSE block END AS win FROM start LEFT JOIN href USING (vec_id)),
+{_local_sql("two", "size", "win")},
+share AS (SELECT vec_id, 2 * count_if(v > 0) > 64 AS wrong FROM two GROUP BY vec_id),
+ink AS (SELECT t.vec_id, t.i, CASE WHEN wrong THEN CASE WHEN CASE WHEN light THEN b.v <= level ELSE b.v > level END THEN 255 ELSE 0 END ELSE t.v END AS v
+  FROM two t JOIN blurred b USING (vec_id, i) JOIN lit USING (vec_id) JOIN share USING (vec_id))"""
+)
+
+
 #: The same pixels as rows of one raster; labels move along neighbours until none is smaller.
 MOSAIC = (
     INK
@@ -37,6 +81,15 @@ lab(p, l) USING KEY (p) AS (
 )
 
 QUERIES = {
+    "window_sums": (
+        window_sums,
+        f"""WITH {PX}, w AS (SELECT a.vec_id, a.i, 1 + 2 * (a.vec_id % 5) AS block, CAST(sum(b.v) AS BIGINT) AS s, count(*) AS n FROM px a JOIN px b ON a.vec_id = b.vec_id AND abs(a.r - b.r) <= a.vec_id % 5 AND abs(a.c - b.c) <= a.vec_id % 5 GROUP BY a.vec_id, a.i)
+        SELECT vec_id, block, string_agg(CAST(s AS VARCHAR), ',' ORDER BY i) AS sums, string_agg(CAST(n AS VARCHAR), ',' ORDER BY i) AS sizes FROM w GROUP BY vec_id, block""",
+    ),
+    "binary_tiles_fitted": (
+        binary_tiles_fitted,
+        f"WITH RECURSIVE {FITTED} SELECT vec_id, block, win AS window, v FROM ({text('ink')}) q JOIN size USING (vec_id)",
+    ),
     "raster_components": (
         raster_components,
         f"""WITH RECURSIVE {MOSAIC}
