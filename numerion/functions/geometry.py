@@ -48,9 +48,9 @@ def ordered_corners(points: Column) -> Column:
 
 
 def project(m: list[Column] | list[float], x: Column, y: Column) -> tuple[Column, Column]:
-    """A point under a 3 x 3 matrix, row by row."""
+    """A point under a 3 x 3 matrix, row by row; nulls at infinity."""
     m = [v if isinstance(v, Column) else F.lit(float(v)) for v in m]
-    z = m[6] * x + m[7] * y + m[8]
+    z = F.nullif(m[6] * x + m[7] * y + m[8], F.lit(0.0))
     return (m[0] * x + m[1] * y + m[2]) / z, (m[3] * x + m[4] * y + m[5]) / z
 
 
@@ -60,3 +60,62 @@ def mapped_box(m: list, x: Column, y: Column, w: Column, h: Column) -> Column:
     xs, ys = [c[0] for c in corners], [c[1] for c in corners]
     x0, y0 = half_even(F.least(*xs)), half_even(F.least(*ys))
     return F.struct(x0.alias("x"), y0.alias("y"), (half_even(F.greatest(*xs)) - x0).alias("w"), (half_even(F.greatest(*ys)) - y0).alias("h"))
+
+
+def _adjugate(m: list[Column]) -> list[Column]:
+    a, b, c, d, e, f, g, h, i = m
+    return [e * i - f * h, c * h - b * i, b * f - c * e, f * g - d * i, a * i - c * g, c * d - a * f, d * h - e * g, b * g - a * h, a * e - b * d]
+
+
+def _product(m: list[Column], n: list[Column]) -> list[Column]:
+    return [m[3 * r] * n[c] + m[3 * r + 1] * n[3 + c] + m[3 * r + 2] * n[6 + c] for r in range(3) for c in range(3)]
+
+
+def _basis(points: Column) -> tuple[list[Column], list[Column]]:
+    """The matrix that takes the unit points of the plane to four points, and the weights of its columns: 0 where three points are on a line."""
+    at = [F.get(points, F.lit(k)) for k in range(4)]
+    x, y = ([p[n].cast("double") for p in at] for n in "xy")
+    three = [x[0], x[1], x[2], y[0], y[1], y[2], *(F.lit(1.0) for _ in range(3))]
+    n = _adjugate(three)
+    weights = [n[3 * k] * x[3] + n[3 * k + 1] * y[3] + n[3 * k + 2] for k in range(3)]
+    whole = n[0] * three[0] + n[1] * three[3] + n[2] * three[6]
+    return [three[3 * r + c] * weights[c] for r in range(3) for c in range(3)], [*weights, whole]
+
+
+def _bound(value: Column, body) -> Column:
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def projective(source: Column, target: Column) -> Column:
+    """The 3 x 3 matrix, as an array, that takes four (x, y) points to four others; null where three of either are on a line.
+
+    Both quads are images of the unit points, so the matrix is one basis times the adjugate of the other. No
+    division is made: small integers give an exact matrix, up to its scale.
+    """
+    one, more = _basis(source)
+    two, again = _basis(target)
+    told = F.struct(*(v.alias(f"s{k}") for k, v in enumerate(one)), *(v.alias(f"t{k}") for k, v in enumerate(two)), F.array(*more, *again).alias("w"))
+
+    def whole(b: Column) -> Column:
+        matrix = _product([b[f"t{k}"] for k in range(9)], _adjugate([b[f"s{k}"] for k in range(9)]))
+        return F.when(~F.exists(b["w"], lambda v: v == 0), F.array(*matrix))
+
+    return F.when((F.size(source) == 4) & (F.size(target) == 4), _bound(told, whole))
+
+
+def inverse(matrix: Column) -> Column:
+    """The matrix that leads back, up to its scale; null for null."""
+    return F.when(matrix.isNotNull(), F.array(*_adjugate([F.get(matrix, F.lit(k)) for k in range(9)])))
+
+
+def entries(matrix: Column) -> list[Column]:
+    """The nine numbers of a matrix held as an array, for ``project`` and ``mapped_box``."""
+    return [F.get(matrix, F.lit(k)) for k in range(9)]
+
+
+def rectangle(width: Column | float, height: Column | float) -> Column:
+    """The corners of an upright rectangle at the origin, in the order of ``ordered_corners``."""
+    w, h = (v if isinstance(v, Column) else F.lit(float(v)) for v in (width, height))
+    zero = F.lit(0.0)
+    corner = lambda x, y: F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
+    return F.array(corner(zero, zero), corner(w, zero), corner(w, h), corner(zero, h))

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from numerion.plans import images, pages, pixels, rasters, readings
+from numerion.plans import images, pages, pixels, rasters, readings, shapes
 
-MODULES = (pages, pixels, rasters, readings, images)
+MODULES = (pages, pixels, rasters, shapes, readings, images)
 
 
 def queries() -> dict:
