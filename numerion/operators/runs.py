@@ -13,7 +13,7 @@ raster may lie in any number of partitions.
 4. What that links are names, few beside the runs; stars are contracted until nothing moves, the rounds growing
    with the logarithm of the longest chain of strips.
 
-Ink connects over corners too (8-connected). A raster without ink has no row.
+Ink connects over corners too (8-connected), or, with a ``reach`` of 0, over sides alone. A raster without ink has no row.
 """
 
 from __future__ import annotations
@@ -47,8 +47,11 @@ def tile_runs(tiles: DataFrame, id_column: str, mask: str, w: int, h: int) -> Da
     return runs(tiles.select(F.col(id_column).alias("image_id"), F.inline(lines)).withColumn("x", F.lit(0)))
 
 
-def close(group: np.ndarray, r: np.ndarray, a: np.ndarray, z: np.ndarray) -> np.ndarray:
-    """For each run the number of its component's first run; runs come by group (numbers that rise), row and column."""
+def close(group: np.ndarray, r: np.ndarray, a: np.ndarray, z: np.ndarray, reach: int = 1) -> np.ndarray:
+    """For each run the number of its component's first run; runs come by group (numbers that rise), row and column.
+
+    ``reach`` is 1 where corners connect, 0 where only sides do.
+    """
     n = len(r)
     first = np.ones(n, bool)
     first[1:] = (group[1:] != group[:-1]) | (r[1:] != r[:-1])
@@ -57,7 +60,7 @@ def close(group: np.ndarray, r: np.ndarray, a: np.ndarray, z: np.ndarray) -> np.
     above[2:] = (group[starts[1:]] == group[starts[1:] - 1]) & (r[starts[1:]] == r[starts[1:] - 1] + 1)
     wide = int(z.max(initial=0)) + 3
     at = (line - 1) * wide
-    lo, hi = np.searchsorted(line * wide + z, at + a - 1), np.searchsorted(line * wide + a, at + z + 1, "right")
+    lo, hi = np.searchsorted(line * wide + z, at + a - reach), np.searchsorted(line * wide + a, at + z + reach, "right")
     many = np.where(above[line], np.maximum(hi - lo, 0), 0)
     u = np.repeat(np.arange(n), many)
     v = np.repeat(lo - np.cumsum(many) + many, many) + np.arange(len(u))
@@ -79,9 +82,9 @@ def close(group: np.ndarray, r: np.ndarray, a: np.ndarray, z: np.ndarray) -> np.
     return names
 
 
-def _closed(height: int):
+def _closed(height: int, reach: int):
     def told(ids: pa.Array, r: np.ndarray, a: np.ndarray, z: np.ndarray, group: np.ndarray) -> pa.RecordBatch:
-        names = close(group, r, a, z)
+        names = close(group, r, a, z, reach)
         return pa.RecordBatch.from_arrays([ids, pa.array(r), pa.array(a), pa.array(z), pa.array((r[names] << ROW) + a[names])], names=["image_id", "r", "a", "z", "label"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -110,10 +113,10 @@ def _closed(height: int):
     return run
 
 
-def labelled(found: DataFrame, height: int = HEIGHT) -> DataFrame:
+def labelled(found: DataFrame, height: int = HEIGHT, reach: int = 1) -> DataFrame:
     """``found`` (runs; those of a strip together and in order) with ``label``: the component within the strip."""
     kind = found.schema["image_id"].dataType.simpleString()
-    return found.mapInArrow(_closed(height), f"image_id {kind}, r long, a long, z long, label long")
+    return found.mapInArrow(_closed(height, reach), f"image_id {kind}, r long, a long, z long, label long")
 
 
 def in_strips(found: DataFrame, height: int = HEIGHT) -> DataFrame:
@@ -122,12 +125,12 @@ def in_strips(found: DataFrame, height: int = HEIGHT) -> DataFrame:
     return found.repartition("image_id", strip).sortWithinPartitions("image_id", strip, "r", "a")
 
 
-def border_links(told: DataFrame, height: int = HEIGHT, bucket: int = BUCKET) -> DataFrame:
+def border_links(told: DataFrame, height: int = HEIGHT, bucket: int = BUCKET, reach: int = 1) -> DataFrame:
     """image_id, u, v (u > v): labels of runs that touch across the border of two strips."""
     spread = lambda lo, hi: F.explode(F.sequence(F.expr(f"({lo}) div {bucket}"), F.expr(f"({hi}) div {bucket}"))).alias("bucket")
-    upper = told.where(F.col("r") % height == height - 1).select("image_id", (F.col("r") + 1).alias("at"), "a", "z", "label", spread("greatest(0, a - 1)", "z + 1"))
+    upper = told.where(F.col("r") % height == height - 1).select("image_id", (F.col("r") + 1).alias("at"), "a", "z", "label", spread(f"greatest(0, a - {reach})", f"z + {reach}"))
     lower = told.where(F.col("r") % height == 0).select("image_id", F.col("r").alias("at"), F.col("a").alias("a2"), F.col("z").alias("z2"), F.col("label").alias("label2"), spread("a", "z"))
-    met = upper.join(lower, ["image_id", "at", "bucket"]).where("a <= z2 + 1 and z >= a2 - 1")
+    met = upper.join(lower, ["image_id", "at", "bucket"]).where(f"a <= z2 + {reach} and z >= a2 - {reach}")
     return met.select("image_id", F.greatest("label", "label2").alias("u"), F.least("label", "label2").alias("v")).distinct()
 
 
@@ -157,10 +160,10 @@ def contracted(links: DataFrame) -> DataFrame:
     return edges.select("image_id", F.col("u").alias("label"), F.col("v").alias("root"))
 
 
-def components(pieces: DataFrame, height: int = HEIGHT, bucket: int = BUCKET) -> DataFrame:
+def components(pieces: DataFrame, height: int = HEIGHT, bucket: int = BUCKET, reach: int = 1) -> DataFrame:
     """image_id, r, a, z, root: every run of a raster with its component, named by the component's first pixel."""
-    told = stored(labelled(in_strips(runs(pieces), height), height), "runs")
-    roots = contracted(border_links(told, height, bucket))
+    told = stored(labelled(in_strips(runs(pieces), height), height, reach), "runs")
+    roots = contracted(border_links(told, height, bucket, reach))
     return told.join(roots, ["image_id", "label"], "left").select("image_id", "r", "a", "z", F.coalesce("root", "label").alias("root"))
 
 

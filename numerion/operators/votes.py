@@ -33,14 +33,6 @@ def new_results(frames: DataFrame) -> DataFrame:
     return frames.withColumn("before_", F.lag("ts").over(order)).where(F.col("before_").isNull() | (F.col("before_") != F.col("ts"))).drop("before_")
 
 
-def smoothed(frames: DataFrame, value: str, keep: float = 0.9, depth: int = 64) -> DataFrame:
-    """camera, k, smooth: an exponential mean; terms older than ``depth`` weigh under keep^depth and are left out."""
-    last = Window.partitionBy("camera").orderBy("k").rowsBetween(1 - depth, 0)
-    held = frames.select("camera", "k", F.collect_list(value).over(last).alias("held"))
-    fold = F.aggregate(F.slice("held", 2, depth), F.get("held", 0), lambda a, x: F.lit(keep) * a + F.lit(1.0 - keep) * x)
-    return held.select("camera", "k", fold.alias("smooth"))
-
-
 def smoothed_whole(frames: DataFrame, value: str, keep: float = 0.9, rows: int = 1024) -> DataFrame:
     """camera, k, smooth: an exponential mean over all earlier rows of a camera; ``k`` counts its rows from 1.
 

@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from numerion.functions import areas as A
+from numerion.operators import contours as C
 from numerion.operators import fitted as T
 from numerion.operators import runs as R
 from numerion.operators import tiles as P
 from numerion.params import Reading
-from numerion.plans.pixels import INK, LEVEL, N, PX, _text, text, tiles
+from numerion.plans.pixels import INK, LABELS, LEVEL, N, PX, _text, text, tiles
 
 #: Tiles side by side.
 ACROSS = 16
@@ -33,6 +34,28 @@ def window_sums(spark, sf_dir):
     return rows.select("vec_id", "block", _text(told(lambda v, s, n: s)).alias("sums"), _text(told(lambda v, s, n: n)).alias("sizes"))
 
 
+def tile_contours(spark, sf_dir):
+    inked = P.binarise(tiles(spark, sf_dir)).select("vec_id", "ink", F.transform("ink", lambda v: 255 - v).alias("paper"))
+    ink = R.labelled(R.tile_runs(inked, "vec_id", "ink", N, N))
+    paper = R.labelled(R.tile_runs(inked, "vec_id", "paper", N, N), reach=0)
+    found = C.contours(ink, C.outside(paper, N, N))
+    first = F.shiftright("label", R.ROW) * N + F.col("label").bitwiseAND(F.lit((1 << R.ROW) - 1)) + 1
+    return found.select(F.col("image_id").alias("vec_id"), first.alias("comp_id"), "area", "ink", "largest")
+
+
+#: Paper that reaches the rim over sides; what each component's cracks to it enclose, pixel by pixel.
+CONTOURS = (
+    LABELS
+    + f""",
+out_(vec_id, r, c) AS (SELECT vec_id, r, c FROM ink WHERE v = 0 AND (r IN (0, {N - 1}) OR c IN (0, {N - 1}))
+  UNION SELECT b.vec_id, b.r, b.c FROM out_ a JOIN ink b ON a.vec_id = b.vec_id AND abs(a.r - b.r) + abs(a.c - b.c) = 1 WHERE b.v = 0),
+ring AS (SELECT vec_id, r, c FROM out_ UNION ALL SELECT vec_id, r, c FROM (SELECT vec_id FROM tiles) t, (SELECT unnest(range({N})) AS r) rr, (SELECT unnest([-1, {N}]) AS c) cc),
+own AS (SELECT c.vec_id, c.comp_id, k.r, k.c FROM comp c JOIN ink k ON k.vec_id = c.vec_id AND k.i = c.i),
+sums AS (SELECT o.vec_id, comp_id, count(*) AS ink, coalesce(sum(o.c + 1) FILTER (WHERE e.c IS NOT NULL), 0) - coalesce(sum(o.c) FILTER (WHERE b.c IS NOT NULL), 0) AS area, bool_or(e.c IS NOT NULL OR b.c IS NOT NULL) AS outer_
+  FROM own o LEFT JOIN ring e ON e.vec_id = o.vec_id AND e.r = o.r AND e.c = o.c + 1 LEFT JOIN ring b ON b.vec_id = o.vec_id AND b.r = o.r AND b.c = o.c - 1 GROUP BY o.vec_id, comp_id)"""
+)
+
+
 #: Tiles are small: digits are of four rows at least, windows of half a digit.
 SMALL = Reading(window_min_digit=4, window_digits=0.5)
 
@@ -81,6 +104,10 @@ lab(p, l) USING KEY (p) AS (
 )
 
 QUERIES = {
+    "tile_contours": (
+        tile_contours,
+        f"WITH RECURSIVE {CONTOURS} SELECT vec_id, comp_id, CAST(area AS BIGINT) AS area, ink, row_number() OVER (PARTITION BY vec_id ORDER BY area DESC, comp_id) = 1 AS largest FROM sums WHERE outer_",
+    ),
     "window_sums": (
         window_sums,
         f"""WITH {PX}, w AS (SELECT a.vec_id, a.i, 1 + 2 * (a.vec_id % 5) AS block, CAST(sum(b.v) AS BIGINT) AS s, count(*) AS n FROM px a JOIN px b ON a.vec_id = b.vec_id AND abs(a.r - b.r) <= a.vec_id % 5 AND abs(a.c - b.c) <= a.vec_id % 5 GROUP BY a.vec_id, a.i)

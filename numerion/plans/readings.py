@@ -87,10 +87,6 @@ def new_results(spark, sf_dir):
     return V.new_results(S.frames(spark, sf_dir)).select("camera", "k", "event_id")
 
 
-def smoothed_rate(spark, sf_dir):
-    return V.smoothed(S.frames(spark, sf_dir), "value", 0.9, 8).select("camera", "k", F.round("smooth", 6).alias("smooth"))
-
-
 def smoothed_rate_whole(spark, sf_dir):
     return V.smoothed_whole(S.frames(spark, sf_dir), "value", 0.9).select("camera", "k", F.round("smooth", 6).alias("smooth"))
 
@@ -210,11 +206,6 @@ QUERIES = {
         WHERE o = 1 OR r IS DISTINCT FROM reading OR s IS DISTINCT FROM stable""",
     ),
     "new_results": (new_results, f"WITH {S.FRAMES} SELECT camera, k, event_id FROM (SELECT *, lag(ts) OVER (PARTITION BY camera ORDER BY k) AS b FROM frames) q WHERE b IS NULL OR b <> ts"),
-    "smoothed_rate": (
-        smoothed_rate,
-        f"""WITH {S.FRAMES}, l AS (SELECT camera, k, list(value) OVER (PARTITION BY camera ORDER BY k ROWS BETWEEN 7 PRECEDING AND CURRENT ROW) AS v FROM frames)
-        SELECT camera, k, round(list_reduce(v, lambda a, x: 0.9::DOUBLE * a + (1.0::DOUBLE - 0.9::DOUBLE) * x), 6) AS smooth FROM l""",
-    ),
     "smoothed_rate_whole": (
         smoothed_rate_whole,
         f"""WITH RECURSIVE {S.FRAMES}, s AS (SELECT camera, k, CAST(value AS DOUBLE) AS smooth FROM frames WHERE k = 1

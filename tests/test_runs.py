@@ -8,7 +8,7 @@ from collections import deque
 import pytest
 from pyspark.sql import functions as F
 
-from numerion.operators import runs
+from numerion.operators import contours, runs
 
 
 def flood(raster):
@@ -85,3 +85,41 @@ def test_names_of_images_may_be_texts(spark):
     got = runs.boxes(runs.components(df)).orderBy("image_id", "first_column").select("image_id", "first_row", "ink").collect()
     assert list(map(tuple, got)) == [("a", 63, 3), ("b", 0, 1), ("b", 0, 1)]
     assert runs.components(df.where(F.lit(False))).count() == 0
+
+
+@pytest.mark.parametrize(("height", "piece"), [(3, 4), (64, 100)])
+def test_areas_within_outer_contours(spark, height, piece):
+    """Ink and all that it closes in, filled by hand; components in holes have no contour of their own."""
+    nested = [[int(max(abs(i - 7), abs(j - 7)) % 3 == 0) for j in range(15)] for i in range(15)]
+    open_ = [[int(i in (0, 9) or j == 0 or (j == 9 and i != 5)) for j in range(10)] for i in range(10)]
+    corner = [[int((i, j) in {(1, 2), (2, 1), (2, 3), (3, 2)}) for j in range(5)] for i in range(5)]
+    every = [nested, open_, corner, *(x for x in rasters() if any(map(any, x)))]
+    cut = lambda value: spark.createDataFrame(
+        [(k, i, at, [int((v > 0) == value) for v in line[at : at + piece]]) for k, t in enumerate(every) for i, line in enumerate(t) for at in range(0, len(line), piece)], "image_id long, r int, x int, t array<int>"
+    ).repartition(3)
+    sizes = spark.createDataFrame([(k, len(t[0]), len(t)) for k, t in enumerate(every)], "image_id long, w int, h int")
+    paper = runs.components(cut(False), height, reach=0).join(sizes, "image_id")
+    found = contours.contours(runs.components(cut(True), height), contours.outside(paper, F.col("w"), F.col("h"), "root"), "root").collect()
+    got, best = {}, {}
+    for row in found:
+        at = row["root"] >> 32, row["root"] & 0xFFFFFFFF
+        got[row["image_id"], *at] = (row["area"], row["ink"])
+        if row["largest"]:
+            best[row["image_id"]] = at
+    want = {}
+    for k, t in enumerate(every):
+        h, w = len(t), len(t[0])
+        beyond, todo = set(), deque([(-1, -1)])
+        while todo:
+            i, j = todo.popleft()
+            if (i, j) in beyond or not (-1 <= i <= h and -1 <= j <= w) or (0 <= i < h and 0 <= j < w and t[i][j] > 0):
+                continue
+            beyond.add((i, j))
+            todo.extend([(i + 1, j), (i - 1, j), (i, j + 1), (i, j - 1)])
+        # What isn't beyond falls into 8-connected regions: one for each outer contour, named by its first pixel.
+        filled = [[int((i, j) not in beyond) for j in range(w)] for i in range(h)]
+        ink = flood(t)
+        for at, box in flood(filled).items():
+            want[k, *at] = (box[4], ink[at][4])
+        assert best[k] == min((at for at in flood(filled)), key=lambda at: (-flood(filled)[at][4], at))  # noqa: B023
+    assert got == want
