@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from numerion.plans import images, pages, pixels, rasters, readings, resampling, shapes
+from numerion.plans import images, learning, pages, pixels, rasters, readings, resampling, shapes
 
-MODULES = (pages, pixels, rasters, resampling, shapes, readings, images)
+MODULES = (pages, pixels, rasters, resampling, shapes, learning, readings, images)
 
 
 def queries() -> dict:
