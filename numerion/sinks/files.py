@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import io
-import json
 from collections.abc import Iterator
 
 import numpy as np
@@ -51,17 +50,6 @@ def write_images(rows: DataFrame, folder: str) -> None:
     rows.select("name", "png").foreachPartition(run)
 
 
-def write_report(values: dict, path: str) -> None:
-    """A training report as one JSON file."""
-    with open(path, "w", encoding="utf-8") as f:
-        json.dump(values, f, indent=2, sort_keys=True)
-
-
 def write_results(results: DataFrame, path: str) -> None:
     """Detection rows as JSON lines."""
     results.write.mode("overwrite").json(path)
-
-
-def write_stages(packed: DataFrame, path: str) -> None:
-    """What segmentation saw, for a look at each stage: components without rasters."""
-    packed.select("image_id", "status", "scale", F.explode_outer("comps").alias("c")).select("image_id", "status", "scale", "c.*").write.mode("overwrite").parquet(path)

@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from numerion.operators.votes import VOTES
 
@@ -39,6 +40,44 @@ def stable_readings(frames: DataFrame, n: int = VOTES) -> DataFrame:
     return frames.select("camera", "k", "reading").groupBy("camera").applyInPandasWithState(step, VOTE_SCHEMA, "held array<string>", "append", GroupStateTimeout.NoTimeout)
 
 
+class ResettableVotes(StatefulProcessor):
+    """The last ``n`` readings of a camera as a list in the state store, gone when the camera is reset or idle for ``idle_ms``."""
+
+    def __init__(self, n: int, idle_ms: int | None) -> None:
+        self.n, self.idle_ms = n, idle_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.held = handle.getListState("held", "reading string", self.idle_ms)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        held = [r[0] for r in self.held.get()] if self.held.exists() else []
+        for part in rows:
+            part = part.sort_values("k", kind="stable")
+            stable, agreement = [], []
+            for reading, reset in zip(part["reading"], part["reset"], strict=True):
+                held = [] if reset else [*held, reading or ""][-self.n :]
+                vote, share = vote_of(held)
+                stable.append(vote)
+                agreement.append(share)
+            yield pd.DataFrame({"camera": key[0], "k": part["k"], "reading": part["reading"], "stable": stable, "agreement": agreement})
+        self.held.clear()
+        if held:
+            self.held.put([(v,) for v in held])
+
+    def close(self) -> None:
+        pass
+
+
+def resettable_readings(frames: DataFrame, n: int = VOTES, idle_ms: int | None = None) -> DataFrame:
+    """``stable_readings`` of a stream (camera, k, reading, reset) in which a row with ``reset`` empties its camera's vote: "" at agreement 0.
+
+    A camera without frames for ``idle_ms`` milliseconds leaves the state. Needs the RocksDB state store
+    (``spark.sql.streaming.stateStore.providerClass``).
+    """
+    told = frames.select("camera", "k", "reading", F.coalesce("reset", F.lit(False)).alias("reset"))
+    return told.groupBy("camera").transformWithStateInPandas(ResettableVotes(n, idle_ms), VOTE_SCHEMA, "append", "ProcessingTime" if idle_ms else "None")
+
+
 def newest_frames(batch: DataFrame) -> DataFrame:
     """Of one micro-batch, the newest frame of each camera: for ``foreachBatch``, where load must be shed."""
     return batch.groupBy("camera").agg(F.max(F.struct("k", "reading")).alias("f"), F.count("*").alias("n")).select("camera", "f.k", "f.reading", (F.col("n") - 1).alias("dropped"))
@@ -72,12 +111,3 @@ def counters(frames: DataFrame) -> DataFrame:
 def event_time(frames: DataFrame, column: str = "ts", delay: str = "10 minutes") -> DataFrame:
     """A stream with a watermark; times without zone are taken in the session's zone."""
     return frames.withColumn(column, F.col(column).cast("timestamp")).withWatermark(column, delay)
-
-
-def snapshot_sink(path: str):
-    """For ``foreachBatch``: each micro-batch's results as JSON lines in a folder of its own; a batch that is repeated replaces its folder."""
-
-    def write(batch: DataFrame, number: int) -> None:
-        batch.drop("ts").write.mode("overwrite").json(f"{path}/batch={number}")
-
-    return write
