@@ -11,8 +11,8 @@ window that is removed. Over a corpus:
    A task reports only the first of its own copies, so a passage shared
    by a third of all documents gives each task one row.
 3. Runs that share a minimizer and differ (where a repeat begins or ends) are
-   fetched as bytes and their windows put in suffix order (prefix doubling). The previous and the next
-   smaller text position in that order give each suffix its longest previous factor, and
+   fetched as bytes and all their suffixes put in suffix order, to the ends of the runs (prefix doubling). The previous and the next
+   smaller text position in that order, and the bytes shared on the way to them, give each window its longest previous factor, and
    those of ``length`` bytes or more mark the windows that go. Minimizers with very many different runs are dealt further by
    the minimizers of longer grams, and where that leaves a group of over MANY runs, by the
    128-bit hashes of single windows: a task reports the first window of each hash among its own.
@@ -175,19 +175,46 @@ def _contents(length: int):
     return run
 
 
-def suffix_ranks(data: np.ndarray, length: int) -> np.ndarray:
-    """The order number of the ``length`` bytes from each position on, equal for equal bytes: prefix doubling.
+#: Bytes that are told apart at once before doubling begins; with an end mark each, as many as fit a number.
+PACKED = 4
 
-    ``data`` must be followed by ``length`` bytes of padding; the ranks of positions that reach into it are of no use.
+
+def suffix_ranks(data: np.ndarray, ends: np.ndarray) -> list[tuple[int, np.ndarray]]:
+    """By prefix doubling, for 4, 8, 16, ... bytes: the order number of that many bytes from each position on, equal for equal bytes.
+
+    ``ends`` is where the text that a position is in ends; what is cut short there comes before what goes on. The last numbers tell all suffixes
+    apart but those that are equal to their ends.
     """
-    rank = np.unique(data, return_inverse=True)[1].astype(np.int64)
-    width = 1
-    while width < length:
-        step = min(width, length - width)
-        pair = rank[: len(rank) - step] * (rank.max() + 1) + rank[step:]
-        rank = np.unique(pair, return_inverse=True)[1].astype(np.int64)
-        width += step
-    return rank
+    n, place = len(data), np.arange(len(data))
+    longest = int((ends - place).max(initial=1))
+    part = np.zeros(n, np.int64)
+    for k in range(PACKED):
+        inside = place + k < ends
+        part = part * 257
+        part[inside] += data[place[inside] + k].astype(np.int64) + 1
+    levels, width = [], PACKED
+    while True:
+        names, rank = np.unique(part, return_inverse=True)
+        levels.append((width, rank.astype(np.int32)))
+        if width >= longest or len(names) == n:
+            return levels
+        after = np.zeros(n, np.int64)
+        inside = place + width < ends
+        after[inside] = rank[place[inside] + width] + 1
+        part, width = rank.astype(np.int64) * (len(names) + 1) + after, width * 2
+
+
+def common_bytes(data: np.ndarray, ends: np.ndarray, levels: list[tuple[int, np.ndarray]], a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How many bytes the suffixes at ``a`` and at ``b`` share: the longest steps of equal order numbers first, single bytes last."""
+    shared = np.zeros(len(a), np.int64)
+    for width, rank in reversed(levels):
+        left = np.flatnonzero((a + shared < ends[a]) & (b + shared < ends[b]))
+        same = left[rank[a[left] + shared[left]] == rank[b[left] + shared[left]]]
+        shared[same] += np.minimum(width, ends[a[same]] - a[same] - shared[same])
+    for _ in range(PACKED - 1):
+        left = np.flatnonzero((a + shared < ends[a]) & (b + shared < ends[b]))
+        shared[left[data[a[left] + shared[left]] == data[b[left] + shared[left]]]] += 1
+    return shared
 
 
 def previous_factor(order: np.ndarray, common: np.ndarray, position: np.ndarray, least: int = 1) -> np.ndarray:
@@ -221,29 +248,35 @@ def previous_factor(order: np.ndarray, common: np.ndarray, position: np.ndarray,
     return factor
 
 
-def later_windows(rows: list[tuple[int, int, int, bytes]], length: int) -> tuple[np.ndarray, np.ndarray]:
-    """(row, offset) of the windows in ``rows`` (ord, rk, start, bytes) whose factor reaches ``length``."""
+def factors_of(rows: list[tuple[int, int, int, bytes]], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, offset, factor) of the windows in ``rows`` (ord, rk, start, bytes): how many bytes from there on, within the row, also begin earlier; under ``length`` 0."""
     sizes = np.array([len(r[3]) for r in rows])
-    data = np.frombuffer(b"".join(r[3] for r in rows) + bytes(length), np.uint8)
-    rank = suffix_ranks(data, length)
+    data = np.frombuffer(b"".join(r[3] for r in rows), np.uint8)
     first = np.cumsum(sizes) - sizes
+    ends = np.repeat(first + sizes, sizes)
     windows = np.maximum(sizes - length + 1, 0)
     who = np.repeat(np.arange(len(rows)), windows)
     offset = np.arange(len(who)) - np.repeat(np.cumsum(windows) - windows, windows)
     ids, keys, starts = (np.array([r[j] for r in rows], np.int64)[who] for j in range(3))
-    place = starts + offset
+    place, at = starts + offset, first[who] + offset
     # Text order; rows that are one document have places in common.
     text = np.lexsort((place, keys, ids))
     new = np.ones(len(text), bool)
     new[1:] = (np.diff(place[text]) != 0) | (np.diff(keys[text]) != 0) | (np.diff(ids[text]) != 0)
     position = np.empty(len(text), np.int64)
     position[text] = np.cumsum(new)
-    # Suffix order by the first ``length`` bytes; more need not be told apart, so equal ones stand in text order.
-    same = rank[first[who] + offset]
-    order = text[np.argsort(same[text], kind="stable")]
+    # Suffix order to the ends of the rows; suffixes that are equal to their ends stand in text order.
+    levels = suffix_ranks(data, ends)
+    order = text[np.argsort(levels[-1][1][at[text]], kind="stable")]
     common = np.zeros(len(order), np.int64)
-    common[1:] = np.where(same[order][1:] == same[order][:-1], length, 0)
-    later = np.flatnonzero(previous_factor(order, common, position, length) >= length)
+    common[1:] = common_bytes(data, ends, levels, at[order[:-1]], at[order[1:]])
+    return who, offset, previous_factor(order, common, position, length)
+
+
+def later_windows(rows: list[tuple[int, int, int, bytes]], length: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, offset) of the windows whose factor reaches ``length``."""
+    who, offset, factor = factors_of(rows, length)
+    later = np.flatnonzero(factor >= length)
     return who[later], offset[later]
 
 

@@ -844,3 +844,35 @@ def test_windows_that_go_are_those_whose_factor_reaches_the_length():
     factor = suffix_dedup.previous_factor(np.array(order), np.array(common), np.arange(n))
     rows, offsets = suffix_dedup.later_windows([(0, 0, 0, text)], length)
     assert sorted(offsets.tolist()) == [i for i in range(n) if factor[i] >= length]
+
+
+def test_factors_on_the_main_path_are_longest_previous_ones():
+    """Factors of all windows of several rows take many values, are decided past larger neighbours, and equal those of all pairs."""
+    r = random.Random(22)
+    base = bytes(r.choices(b"abcdef", k=300))
+    texts = [base[:170], base[20:200] + b"zz" + base[:60], b"ab" * 90, b"ab" * 70 + b"c", base[90:260], bytes(r.choices(b"xy", k=150)), base[:170]]
+    # Rows in no order; the second of document 3 overlaps its first.
+    rows = [(5, 1, 0, texts[0]), (2, 1, 0, texts[1]), (3, 1, 0, texts[2]), (3, 1, 40, texts[2][40:]), (9, 1, 7, texts[3]), (1, 1, 0, texts[4]), (4, 1, 0, texts[5]), (5, 2, 0, texts[6])]
+    length = 12
+    who, offset, factor = suffix_dedup.factors_of(rows, length)
+    places = [(*rows[w][:2], rows[w][2] + o) for w, o in zip(who.tolist(), offset.tolist(), strict=True)]
+    parts = [rows[w][3][o:] for w, o in zip(who.tolist(), offset.tolist(), strict=True)]
+
+    def share(a, b):
+        n = min(len(a), len(b))
+        return next((k for k in range(n) if a[k] != b[k]), n)
+
+    want = [max((s for p, part in zip(places, parts, strict=True) if p < place and (s := share(own, part)) >= length), default=0) for place, own in zip(places, parts, strict=True)]
+    assert factor.tolist() == want and len(set(want)) > 60
+    order = sorted(range(len(parts)), key=lambda i: (parts[i], places[i]))
+    passed = sum(want[i] > 0 and places[a] > places[i] and places[b] > places[i] for a, i, b in zip(order, order[1:], order[2:], strict=False))
+    assert passed > 5
+
+
+def test_suffix_order_of_periodic_text_ends():
+    data = np.frombuffer(b"a" * 3000 + b"ab" * 900 + b"a" * 10, np.uint8)
+    ends = np.repeat([3000, 4800, 4810], [3000, 1800, 10])
+    levels = suffix_dedup.suffix_ranks(data, ends)
+    a, b = np.array([0, 3000, 0, 10]), np.array([5, 3002, 4800, 11])
+    assert suffix_dedup.common_bytes(data, ends, levels, a, b).tolist() == [2995, 1798, 10, 2989]
+    assert [w for w, _ in levels] == [4 << k for k in range(len(levels))] and levels[-1][0] >= 3000
