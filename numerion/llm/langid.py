@@ -60,7 +60,9 @@ SMOOTH = 0.1
 UNKNOWN = 1e-7
 #: Languages of one model.
 TOGETHER = 256
+#: Words that a worker remembers at most, and the scores of words: one for each language.
 REMEMBERED = 500_000
+SCORES = 8_000_000
 #: Words counted before a training task reports.
 WORDS_HELD = 300_000
 
@@ -209,10 +211,14 @@ class Scorer:
                     scale += np.log(most)
         return out
 
+    def room(self) -> int:
+        """How many words are remembered: fewer where there are many languages."""
+        return max(1, min(REMEMBERED, SCORES // max(1, len(self.langs))))
+
     def learn(self, words: set[str]) -> None:
         """Make the scores of ``words`` known."""
-        if len(self.rows) + len(words) > REMEMBERED:
-            self.rows, self.scores = {}, self.scores[:0]
+        if len(self.rows) + len(words) > self.room():
+            self.rows, self.scores = {}, self.scores[:0].copy()
         new = [w for w in words if w not in self.rows]
         fresh, held, size = [], [], 0
         most = max(1, MASSES // ((self.known.longest + 1) * max(1, len(self.langs))))
@@ -232,14 +238,16 @@ class Scorer:
     def totals(self, texts: list[list[str]]) -> Iterator[tuple[int, np.ndarray]]:
         """Place and log-probabilities of each text of words that has any."""
         step, held = 0, 0
+        half = max(1, self.room() // 2)
+        together = min(LOOKED_UP, half)
         for k, ws in enumerate(texts):  # a batch may hold more words than are looked up together
             held += len(ws)
-            if k + 1 < len(texts) and held < LOOKED_UP:
+            if k + 1 < len(texts) and held < together:
                 continue
             some = [j for j in range(step, k + 1) if texts[j]]
-            for j in some if held > REMEMBERED // 2 else ():  # one very long text: a slice at a time
-                yield j, sum((self.sums([texts[j][a : a + LOOKED_UP]])[0] for a in range(0, len(texts[j]), LOOKED_UP)), np.zeros(len(self.langs)))
-            if held <= REMEMBERED // 2 and some:
+            for j in some if held > half else ():  # one very long text: a slice at a time
+                yield j, sum((self.sums([texts[j][a : a + together]])[0] for a in range(0, len(texts[j]), together)), np.zeros(len(self.langs)))
+            if held <= half and some:
                 yield from zip(some, self.sums([texts[j] for j in some]), strict=True)
             step, held = k + 1, 0
 

@@ -876,3 +876,24 @@ def test_suffix_order_of_periodic_text_ends():
     a, b = np.array([0, 3000, 0, 10]), np.array([5, 3002, 4800, 11])
     assert suffix_dedup.common_bytes(data, ends, levels, a, b).tolist() == [2995, 1798, 10, 2989]
     assert [w for w, _ in levels] == [4 << k for k in range(len(levels))] and levels[-1][0] >= 3000
+
+
+def test_scores_of_many_languages_stay_in_bounds(monkeypatch):
+    """256 languages and 60,000 different words, in texts of any length: what is remembered is bounded by numbers, and sums are those of few words at a time."""
+    path = tokenizer("piece_bpe_32k.model")
+    r = np.random.default_rng(3)
+    counted = np.sort(r.choice(np.array(sorted(langid.vocabulary(path).pieces.values())), 500, replace=False))
+    p = r.dirichlet(np.ones(501), 256).T
+    model = langid.Model([f"l{k:03d}" for k in range(256)], counted, p[:500], p[500])
+    draw = random.Random(3)
+    words = ["".join(draw.choices("abcdefghijklmnop", k=6)) for _ in range(60_000)]
+    texts = [words[:40_000], [], words[40_000:40_100], *([w] for w in words[40_100:41_000]), words[41_000:]]
+    scorer = langid.Scorer(path, model)
+    tracemalloc.start()
+    got = dict(scorer.totals(texts))
+    _, most = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert most < 500e6 and scorer.scores.size <= langid.SCORES
+    assert sorted(got) == [k for k, t in enumerate(texts) if t]
+    for k in (2, 3, 500):
+        assert np.allclose(got[k], langid.Scorer(path, model).sums([texts[k]])[0])
