@@ -100,6 +100,15 @@ pieces AS (SELECT p.image_id, p.comp_id, piece, x + c AS x, y, coalesce(d, w) -
 final AS (SELECT image_id, comp_id, piece, x, y, w, h FROM pieces WHERE reason IS NULL)"""
 )
 
+#: The same with cuts where the ink of the columns is least; a box that needs a neck is cut only where one is.
+INKED_PIECES = PIECES.replace(
+    "cuts AS (SELECT DISTINCT image_id, comp_id, lo AS c FROM spans WHERE hi > lo AND NOT needs_neck),",
+    """profile AS (SELECT image_id, comp_id, c, (x * 31 + c * c * 7 + y * 3 + c) % (h + 1) AS v FROM (SELECT *, unnest(range(w)) AS c FROM planned WHERE n_cuts > 0) q),
+mid AS (SELECT image_id, comp_id, median(v) AS mid FROM profile WHERE v > 0 GROUP BY image_id, comp_id),
+least_ AS (SELECT *, row_number() OVER (PARTITION BY image_id, comp_id, lo, hi ORDER BY v, c) AS k FROM (SELECT s.image_id, s.comp_id, s.needs_neck, s.lo, s.hi, f.c, f.v FROM spans s JOIN profile f ON f.image_id = s.image_id AND f.comp_id = s.comp_id AND f.c >= s.lo AND f.c < s.hi) q),
+cuts AS (SELECT DISTINCT image_id, comp_id, c FROM least_ LEFT JOIN mid USING (image_id, comp_id) WHERE k = 1 AND (NOT needs_neck OR v <= 0.35::DOUBLE * coalesce(mid, 1.0::DOUBLE))),""",
+)
+
 ORDERED = (
     PIECES
     + """,
@@ -200,6 +209,13 @@ def small_reasons(spark, sf_dir):
     return pieces.select("image_id", "comp_id", "piece", "x", "y", "w", "h", B.small_reason().alias("reason"))
 
 
+def pieces_by_ink(spark, sf_dir):
+    """The chain of boxes whose columns have ink of their own: each cut falls where the least of it is."""
+    inked = _boxes(spark, sf_dir).withColumn("profile", F.expr("transform(sequence(0L, w - 1), c -> (x * 31 + c * c * 7 + y * 3 + c) % (h + 1))"))
+    kept, _ = B.digit_boxes(inked, PAGE)
+    return kept
+
+
 def digit_boxes(spark, sf_dir):
     return B.digit_boxes(_boxes(spark, sf_dir), PAGE)[0]
 
@@ -292,6 +308,7 @@ QUERIES = {
         ),
     ),
     "small_reasons": (small_reasons, _with(PIECES, "SELECT image_id, comp_id, piece, x, y, w, h, reason FROM pieces")),
+    "pieces_by_ink": (pieces_by_ink, _with(INKED_PIECES, "SELECT image_id, comp_id, piece, x, y, w, h FROM final")),
     "digit_boxes": (digit_boxes, _with(PIECES, "SELECT image_id, comp_id, piece, x, y, w, h FROM final")),
     "rejected_boxes": (rejected_boxes, _with(PIECES, REJECTED)),
     "reading_order": (reading_order, _with(ORDERED, "SELECT * FROM ordered")),
