@@ -1,14 +1,17 @@
 """Exact top-k inner products without random access, over blocks of vectors.
 
-Each block keeps one list per dimension, sorted by value. A query reads its lists
+Each block keeps one list per dimension, sorted by value, with the rows its entries belong to. A query reads its lists
 from the end that is best for the sign of its component, all to the same
 depth. What a list has not yet shown is worth at most the value at the depth reached
 and at least the list's last value. A query reads on until vectors not seen in any list
 cannot reach its k-th score; from there on the seen ones keep a lower and an upper bound,
 and those that cannot reach it are out. When few are left, reading stops
-and their scores are resolved. At full depth
-both bounds are the score itself, so the result is exact in any case. The
-bounds of the queries that read on together are matrix products.
+and their scores are resolved.
+
+Up to a part of the lists, an entry is looked at only as it is read (``opening``): 16 entries of each list, then twice as many, and so
+on. Where the values that far down show that this can't be enough (dense vectors whose dimensions are independent), single entries cost more than
+they save, and the same bounds are worked out for the block at even depths, as matrix products over the queries that
+read on together. At full depth both bounds are the score itself, so the result is exact in any case.
 
 Queries and vectors meet block by block: a stated query set against all
 rows. The first block knows no k-th score, so there the k-th greatest lower
@@ -41,6 +44,8 @@ QUERIES = 1024
 VECTORS = 8192
 #: Looks at the bounds in one list, at even distances.
 LOOKS = 8
+#: Entries of each list that are read first, and the part of the lists up to which entries are read one by one.
+FIRST, PART = 16, 8
 #: A query with at most this share of a block left is resolved.
 FEW = 0.04
 #: Doubles hold whole numbers up to this exactly.
@@ -60,7 +65,8 @@ class Lists:
     """The sorted lists of a block, one per dimension, with their values at each look."""
 
     def __init__(self, v: np.ndarray) -> None:
-        ranked = np.sort(v, axis=0)
+        self.order = np.argsort(v, axis=0, kind="stable")
+        self.ranked = ranked = np.take_along_axis(v, self.order, axis=0)
         n = len(v)
         self.v, self.bottom, self.top = v, ranked[0], ranked[-1]
         self.depths = sorted({max(1, n * look // LOOKS) for look in range(1, LOOKS + 1)})
@@ -86,6 +92,43 @@ class Lists:
         return np.maximum(q, 0) @ np.where(seen_high, self.v, self.bottom).T + np.minimum(q, 0) @ np.where(seen_low, self.v, self.top).T
 
 
+def opening(lists: Lists, q: np.ndarray, own: np.ndarray, floor: float, k: int) -> tuple[np.ndarray | None, int]:
+    """One query's reading from the begin of its lists: who may still be among its k best, or None if a part of the lists doesn't tell; and the depth read to.
+
+    Only entries that have been read are looked at: their rows' known components, and for rows seen the bounds that follow.
+    """
+    n, asked = len(lists.v), np.flatnonzero(q)  # lists of a zero say nothing
+    q = q[asked]
+    worst = np.where(q > 0, lists.bottom[asked], lists.top[asked])
+    known, score, spare = {}, np.zeros(n), np.zeros(n)
+    seen = np.zeros(n, bool)
+    done, depth = 0, FIRST
+    while depth * PART <= n:
+        steps = np.arange(done, depth)[:, None]
+        at = np.where(q > 0, n - 1 - steps, steps)
+        rows, value = lists.order[at, asked], lists.ranked[at, asked]
+        flat = rows.ravel()
+        score += np.bincount(flat, (q * value).ravel(), n)
+        spare += np.bincount(flat, np.broadcast_to(q * worst, rows.shape).ravel(), n)
+        known[done] = (flat, np.broadcast_to(np.arange(len(asked)), rows.shape).ravel())
+        seen[flat] = True
+        last = q * lists.ranked[np.where(q > 0, n - depth, depth - 1), asked]
+        some = np.flatnonzero(seen & ~own)
+        bar = floor
+        if len(some) >= k:
+            lower = score[some] + (q * worst).sum() - spare[some]
+            bar = max(bar, np.partition(lower, len(some) - k)[len(some) - k])
+        if last.sum() < bar:
+            covered = sum(np.bincount(f, last[d], n) for f, d in known.values())
+            left = some[score[some] + last.sum() - covered[some] >= bar]
+            if len(left) <= max(k, FEW * n):
+                out = np.zeros(n, bool)
+                out[left] = True
+                return out, depth
+        done, depth = depth, depth * 2
+    return None, done
+
+
 def read(lists: Lists, q: np.ndarray, own: np.ndarray, floor: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Who may still be among each query's k best, and how deep its lists were read.
 
@@ -95,6 +138,14 @@ def read(lists: Lists, q: np.ndarray, own: np.ndarray, floor: np.ndarray, k: int
     left, depth = ~own, np.zeros(len(q), np.int64)
     left[lists.best(q) < floor] = False
     waiting = np.flatnonzero(left.sum(axis=1) > k)
+    # A part of the lists can only be enough where vectors that it doesn't show stay under the floor.
+    deep = max(1, n // PART)
+    beyond = np.maximum(q, 0) @ lists.ranked[n - deep] + np.minimum(q, 0) @ lists.ranked[deep - 1]
+    for i in waiting[(beyond < floor)[waiting] | np.isneginf(floor[waiting])].tolist():
+        found, depth[i] = opening(lists, q[i], own[i], floor[i], k)
+        if found is not None:
+            left[i] &= found
+    waiting = waiting[(depth[waiting] == 0) | (left[waiting].sum(axis=1) > max(k, FEW * n))]
     for look, reached in enumerate(lists.depths[:-1]):
         depth[waiting] = reached
         bar = floor[waiting]

@@ -488,7 +488,30 @@ def test_reading_stops_early_and_loses_nobody(fed):
     assert not left.any() and not depth.any()
     near = np.where(np.arange(4000)[:, None] < 100, 40.0, 1.0) * np.ones((4000, 64))
     left, depth = topk.read(topk.Lists(near), np.ones((1, 64)), own[:1], np.array([2560.0]), 20)
-    assert left.sum() == 100 and depth[0] == 500
+    assert left.sum() == 100 and depth[0] == 128
+
+
+@pytest.mark.parametrize("fed", [False, True])
+def test_few_entries_of_correlated_lists_are_read(fed):
+    """Vectors of few directions: each query reads a small part of its lists, entry by entry, and nobody is lost."""
+    r = np.random.default_rng(6)
+    n = 6000
+    v = np.floor(64 * (r.pareto(2.5, size=(n, 1)) * np.abs(r.normal(size=(1, 32))) + 0.02 * r.normal(size=(n, 32))))
+    q = np.floor(64 * np.abs(r.normal(size=(25, 32))))
+    q[:, ::7] = 0
+    lists, own = topk.Lists(v), np.arange(n)[None, :] == np.arange(25)[:, None]
+    score = np.where(own, -np.inf, q @ v.T)
+    best = np.sort(score, axis=1)[:, -20]
+    read = [topk.opening(lists, row, mine, b if fed else -np.inf, 20) for row, mine, b in zip(q, own, best, strict=True)]
+    assert all(left is not None and left.sum() <= topk.FEW * n for left, _ in read)
+    left, depth = topk.read(lists, q, own, best if fed else np.full(25, -np.inf), 20)
+    assert ((left | (score < best[:, None])).all(axis=1)).all() and depth.tolist() == [d for _, d in read]
+    entries = int((depth * np.count_nonzero(q, axis=1)).sum())
+    assert entries < 0.05 * n * 32 * 25
+    out = topk.best_of_block(np.arange(n), v, np.arange(25), q, 20)
+    for i in range(25):
+        want = sorted(((-score[i, j], j) for j in range(n) if j != i))[:20]
+        assert [(-s, j) for s, j in zip(out[out["query_id"] == i]["score"], out[out["query_id"] == i]["vec_id"], strict=True)] == want
 
 
 # 6 ----------------------------------------------------------------------------------------------
