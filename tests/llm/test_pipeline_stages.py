@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections import Counter
+
+import duckdb
+import pandas as pd
+
 import corpus_pipeline
-from numerion.llm.common import shared_table
-from tests.llm.test_operators import SCHEMA, awkward_texts, frame, groups_by_hand
+from numerion.llm import mixing, quality
+from numerion.llm.common import shared_table, tokenizer
+from tests.llm.test_operators import SCHEMA, awkward_texts, frame, groups_by_hand, removed_by_hand
 
 
 def test_stages_hand_on_documents(spark):
@@ -28,3 +35,55 @@ def test_stages_of_nothing(spark):
         out = stage(spark, docs, "")
         assert out.count() == 0
         docs = spark.createDataFrame([], out.schema)
+
+
+def rows_with_repeats():
+    """Awkward texts, some rows twice as they are, some ids twice with other texts, all in ASCII so that bytes are characters."""
+    rows = [(d, None if t is None else t.encode("ascii", "ignore").decode()) for d, t in awkward_texts(33, 90)]
+    return rows + rows[10:14] + [(12, "Another text with the id of a row that is there, and some more words to be long enough.")]
+
+
+def test_each_stage_equals_a_plain_version(spark):
+    """Every stage over all rows that its predecessor kept, repeated ones with them."""
+    docs = frame(spark, rows_with_repeats()).select(*corpus_pipeline.COLUMNS)
+    con = duckdb.connect()
+    stages = dict(corpus_pipeline.STAGES)
+    key = lambda rows: sorted(rows, key=repr)
+
+    # The SQL takes ids to name rows, so rows are numbered for it.
+    given = docs.collect()
+    con.register("documents", pd.DataFrame({"doc_id": range(len(given)), "text": [r["text"] for r in given]}))
+    judged = con.sql(quality.ORACLE).df()
+    stays = judged[judged["kept"]]
+    cleaned = shared_table(stages["quality_rules"](spark, docs, ""), "quality_test").collect()
+    assert sorted(str(r["doc_id"]) for r in cleaned) == sorted(str(given[i]["doc_id"]) for i in stays["doc_id"])
+    assert all(r["n_chars"] == len(r["text"]) for r in cleaned) and len(cleaned) > 40
+    whole = [given[i]["text"] for i in stays["doc_id"][stays["n_bad_lines"] == 0]]
+    assert not Counter(whole) - Counter(r["text"] for r in cleaned)
+
+    docs = spark.createDataFrame(cleaned, docs.schema)
+    one = shared_table(stages["near_dedup"](spark, docs, ""), "near_test").collect()
+    assert {r["doc_id"] for r in one} <= {r["doc_id"] for r in cleaned} and len({(r["doc_id"], r["text"]) for r in one}) == len(one)
+    groups = groups_by_hand([(i, r["text"]) for i, r in enumerate(cleaned)], 5)
+    group_of = {}
+    for i, r in enumerate(cleaned):
+        group_of.setdefault((r["doc_id"], r["text"]), groups[i][1])
+    assert sorted(group_of[r["doc_id"], r["text"]] for r in one) == sorted({c for _, c, _ in groups.values()})
+
+    docs = spark.createDataFrame(one, docs.schema)
+    want = removed_by_hand([(r["doc_id"], r["text"]) for r in one])
+    cut = shared_table(stages["suffix_dedup"](spark, docs, ""), "suffix_test").collect()
+    assert {r["doc_id"]: hashlib.sha256(r["text"].encode()).hexdigest() for r in cut} == {d: w[3] for d, w in want.items()}
+
+    docs = spark.createDataFrame(cut, docs.schema)
+    con.register("documents", docs.select("doc_id", "source").toPandas())
+    order = con.sql(f"SELECT doc_id FROM ({mixing.ORACLE}) m ORDER BY position").fetchall()
+    mixed = shared_table(stages["mixing"](spark, docs, ""), "mixing_test")
+    assert [r["doc_id"] for r in stages["mixing"](spark, docs, "").collect()] == [d for (d,) in order]
+    assert key(map(tuple, mixed.collect())) == key(map(tuple, cut))
+
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(tokenizer("byte_bpe_50k.json"))
+    got = {r["doc_id"]: (r["n_tokens"], list(r["ids"])) for r in stages["encoding"](spark, mixed, "").collect()}
+    assert got == {r["doc_id"]: (len(ids := library.encode(r["text"], add_special_tokens=False).ids), ids) for r in cut}
