@@ -11,7 +11,7 @@ window that is removed. Over a corpus:
    A task reports only the first of its own copies, so a passage shared
    by a third of all documents gives each task one row.
 3. Runs that share a minimizer and differ (where a repeat begins or ends) are
-   fetched as bytes and all their suffixes put in suffix order, to the ends of the runs (prefix doubling). The previous and the next
+   fetched as bytes and all their suffixes put in suffix order, to the ends of the runs or ``TOLD`` bytes (prefix doubling). The previous and the next
    smaller text position in that order, and the bytes shared on the way to them, give each window its longest previous factor, and
    those of ``length`` bytes or more mark the windows that go. Minimizers with very many different runs are dealt further by
    the minimizers of longer grams, and where that leaves a group of over MANY runs, by the
@@ -179,29 +179,49 @@ def _contents(length: int):
 PACKED = 4
 
 
+#: Bytes up to which suffixes are told apart; those that share more stand in text order, and their factor is this.
+TOLD = 1024
+
+
 def suffix_ranks(data: np.ndarray, ends: np.ndarray) -> list[tuple[int, np.ndarray]]:
     """By prefix doubling, for 4, 8, 16, ... bytes: the order number of that many bytes from each position on, equal for equal bytes.
 
-    ``ends`` is where the text that a position is in ends; what is cut short there comes before what goes on. The last numbers tell all suffixes
-    apart but those that are equal to their ends.
+    ``ends`` is where the text that a position is in ends; what is cut short there comes before what goes on. Numbers are places in
+    the order, so that what is told apart already keeps its own: only groups of equal bytes that go on are sorted again.
     """
     n, place = len(data), np.arange(len(data))
-    longest = int((ends - place).max(initial=1))
+    longest = min(TOLD, int((ends - place).max(initial=1)))
     part = np.zeros(n, np.int64)
     for k in range(PACKED):
-        inside = place + k < ends
-        part = part * 257
-        part[inside] += data[place[inside] + k].astype(np.int64) + 1
-    levels, width = [], PACKED
-    while True:
-        names, rank = np.unique(part, return_inverse=True)
-        levels.append((width, rank.astype(np.int32)))
-        if width >= longest or len(names) == n:
-            return levels
-        after = np.zeros(n, np.int64)
-        inside = place + width < ends
-        after[inside] = rank[place[inside] + width] + 1
-        part, width = rank.astype(np.int64) * (len(names) + 1) + after, width * 2
+        inside = np.flatnonzero(place + k < ends)
+        part *= 257
+        part[inside] += data[inside + k].astype(np.int64) + 1
+
+    def grouped(key: np.ndarray, among: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """``among`` by key, the new numbers of it (``before`` are the old ones), and which are in a group of several."""
+        by = np.argsort(key, kind="stable")
+        key, among, before, at = key[by], among[by], before[by], np.arange(len(key))
+        head, old = np.ones(len(key), bool), np.ones(len(key), bool)
+        head[1:], old[1:] = key[1:] != key[:-1], before[1:] != before[:-1]
+        begin = lambda flags: np.maximum.accumulate(np.where(flags, at, 0))
+        return among, before + begin(head) - begin(old), ~(head & np.append(head[1:], True))
+
+    rank = np.empty(n, np.int32)
+    active, number, several = grouped(part, place, np.zeros(n, np.int64))
+    rank[active] = number
+    levels, width = [(PACKED, rank)], PACKED
+    while width < longest:
+        active = active[several]
+        active = active[active + width <= ends[active]]
+        rank, after = rank.copy(), np.zeros(len(active), np.int64)
+        inside = np.flatnonzero(active + width < ends[active])
+        after[inside] = rank[active[inside] + width] + 1
+        before = rank[active].astype(np.int64)
+        active, number, several = grouped(before * (n + 1) + after, active, before)
+        rank[active] = number
+        width *= 2
+        levels.append((width, rank))
+    return levels
 
 
 def common_bytes(data: np.ndarray, ends: np.ndarray, levels: list[tuple[int, np.ndarray]], a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -214,7 +234,7 @@ def common_bytes(data: np.ndarray, ends: np.ndarray, levels: list[tuple[int, np.
     for _ in range(PACKED - 1):
         left = np.flatnonzero((a + shared < ends[a]) & (b + shared < ends[b]))
         shared[left[data[a[left] + shared[left]] == data[b[left] + shared[left]]]] += 1
-    return shared
+    return np.minimum(shared, levels[-1][0])
 
 
 def previous_factor(order: np.ndarray, common: np.ndarray, position: np.ndarray, least: int = 1) -> np.ndarray:
@@ -249,7 +269,7 @@ def previous_factor(order: np.ndarray, common: np.ndarray, position: np.ndarray,
 
 
 def factors_of(rows: list[tuple[int, int, int, bytes]], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, offset, factor) of the windows in ``rows`` (ord, rk, start, bytes): how many bytes from there on, within the row, also begin earlier; under ``length`` 0."""
+    """(row, offset, factor) of the windows in ``rows`` (ord, rk, start, bytes): how many bytes from there on, within the row and up to TOLD, also begin earlier; under ``length`` 0."""
     sizes = np.array([len(r[3]) for r in rows])
     data = np.frombuffer(b"".join(r[3] for r in rows), np.uint8)
     first = np.cumsum(sizes) - sizes
@@ -265,7 +285,7 @@ def factors_of(rows: list[tuple[int, int, int, bytes]], length: int) -> tuple[np
     new[1:] = (np.diff(place[text]) != 0) | (np.diff(keys[text]) != 0) | (np.diff(ids[text]) != 0)
     position = np.empty(len(text), np.int64)
     position[text] = np.cumsum(new)
-    # Suffix order to the ends of the rows; suffixes that are equal to their ends stand in text order.
+    # Suffix order to the ends of the rows, or TOLD bytes; suffixes that are equal so far stand in text order.
     levels = suffix_ranks(data, ends)
     order = text[np.argsort(levels[-1][1][at[text]], kind="stable")]
     common = np.zeros(len(order), np.int64)

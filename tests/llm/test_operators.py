@@ -892,13 +892,26 @@ def test_factors_on_the_main_path_are_longest_previous_ones():
     assert passed > 5
 
 
-def test_suffix_order_of_periodic_text_ends():
+def test_suffix_order_of_periodic_text_ends(monkeypatch):
     data = np.frombuffer(b"a" * 3000 + b"ab" * 900 + b"a" * 10, np.uint8)
     ends = np.repeat([3000, 4800, 4810], [3000, 1800, 10])
-    levels = suffix_dedup.suffix_ranks(data, ends)
     a, b = np.array([0, 3000, 0, 10]), np.array([5, 3002, 4800, 11])
-    assert suffix_dedup.common_bytes(data, ends, levels, a, b).tolist() == [2995, 1798, 10, 2989]
-    assert [w for w, _ in levels] == [4 << k for k in range(len(levels))] and levels[-1][0] >= 3000
+    for most, want in ((1024, [1024, 1024, 10, 1024]), (10_000, [2995, 1798, 10, 2989])):
+        monkeypatch.setattr(suffix_dedup, "TOLD", most)
+        levels = suffix_dedup.suffix_ranks(data, ends)
+        assert suffix_dedup.common_bytes(data, ends, levels, a, b).tolist() == want
+        assert [w for w, _ in levels] == [4 << k for k in range(len(levels))] and levels[-1][0] >= min(most, 3000)
+
+
+def test_suffix_ranks_order_all_suffixes():
+    r = random.Random(31)
+    for n, letters in ((400, b"ab"), (300, b"abc"), (50, b"a"), (1, b"x")):
+        data, cut = bytes(r.choices(letters, k=n)), sorted({n, *(r.randint(1, n) for _ in range(6))})
+        ends = np.repeat(cut, np.diff([0, *cut]))
+        for width, rank in suffix_dedup.suffix_ranks(np.frombuffer(data, np.uint8), ends):
+            head = [data[i : min(i + width, ends[i])] for i in range(n)]
+            assert sorted(range(n), key=lambda i: (rank[i], i)) == sorted(range(n), key=lambda i: (head[i], i))  # noqa: B023
+            assert all((rank[i] == rank[j]) == (head[i] == head[j]) for i in range(0, n, 7) for j in range(n))
 
 
 def test_scores_of_many_languages_stay_in_bounds(monkeypatch):
