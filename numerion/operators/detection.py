@@ -13,7 +13,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,6 +20,7 @@ from numerion.functions import kernels as K
 from numerion.functions import sheet as H
 from numerion.operators import boxes as B
 from numerion.params import Reading, Sheet
+from numerion.sinks.stored import stored
 
 COMPONENT = "struct<comp_id:long,x:long,y:long,w:long,h:long,ink:long,profile:array<long>,tops:array<long>,bottoms:array<long>>"
 PACKED = f"image_id string, status string, height int, width int, scale double, found boolean, sheet struct<quad:array<double>,inverse:array<double>,area:double,fills:boolean>, gray binary, labels binary, small_h int, small_w int, comps array<{COMPONENT}>"
@@ -119,7 +119,7 @@ def ordered_boxes(packed: DataFrame, p: Reading) -> tuple[DataFrame, DataFrame]:
 def read(packed: DataFrame, model, p: Reading | None = None, min_conf: float = 0.5) -> DataFrame:
     """One row per image: text, digits, rejected boxes, in the coordinates of the original image."""
     p = p or Reading()
-    packed = packed.persist(StorageLevel.MEMORY_AND_DISK)
+    packed = stored(packed, "segments")  # read four times; segmented once, whatever executors are lost
     listed, rejected = ordered_boxes(packed, p)
     pages = packed.drop("comps").join(listed, "image_id", "left").join(rejected, "image_id", "left")
     empty = "cast(array() as array<struct<pos:bigint,line:bigint,x:bigint,y:bigint,w:bigint,h:bigint,parts:array<bigint>>>)"
@@ -157,7 +157,7 @@ def detect(images_: DataFrame, model, p: Reading | None = None, sheet: Sheet | N
 def crops(packed: DataFrame, p: Reading | None = None) -> DataFrame:
     """image_id, pos, line, tensor (row by row, 0..1): one row per digit."""
     p = p or Reading()
-    packed = packed.persist(StorageLevel.MEMORY_AND_DISK)
+    packed = stored(packed, "segments")  # read four times; segmented once, whatever executors are lost
     pages = packed.drop("comps").join(ordered_boxes(packed, p)[0], "image_id")
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
