@@ -193,5 +193,8 @@ def annotate(images_: DataFrame, results: DataFrame) -> DataFrame:
 
 
 def framed(boxes_: DataFrame, dx, dy) -> DataFrame:
-    """Boxes of a part of a frame in the frame's coordinates."""
-    return boxes_.withColumns({"x": F.col("x") + dx, "y": F.col("y") + dy})
+    """Boxes of a part of a frame, and their quads (arrays of x, y) where they have any, in the frame's coordinates."""
+    moved = {"x": F.col("x") + dx, "y": F.col("y") + dy}
+    if "quad" in boxes_.columns:
+        moved["quad"] = F.transform("quad", lambda p: F.array(F.get(p, F.lit(0)) + dx, F.get(p, F.lit(1)) + dy))
+    return boxes_.withColumns(moved)
