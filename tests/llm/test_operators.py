@@ -654,6 +654,32 @@ def test_schedules_of_uneven_sources(spark, sizes):
         places_hold(got.to_dict("records"), size)
 
 
+def test_blocks_stay_small_in_a_large_mix(spark):
+    """More blocks than 65,536: each still has block_rows rows, in the query and in its SQL."""
+    docs = spark.range(70_001).selectExpr("id AS doc_id", "if(id % 10 < 7, 'big', concat('s', id % 3)) AS source")
+    df = mixing.mix(docs, block_rows=1).toPandas()
+    assert sorted(df["position"]) == list(range(70_001)) and (df["position"] == df["slot"]).all()
+    places_hold(df.sort_values("slot").to_dict("records"), Counter(df["source"]))
+    con = duckdb.connect()
+    con.sql("CREATE TABLE documents AS SELECT range AS doc_id, if(range % 10 < 7, 'big', 's' || range % 3) AS source FROM range(70001)")
+    sizes = mixing.oracle(1).split("parts AS")[0].rstrip(" ,\n") + " SELECT DISTINCT size FROM taken"
+    assert con.sql(sizes).fetchall() == [(1,)]
+
+
+def test_segments_make_one_schedule(spark):
+    """What segments start from is what the slots before them leave: the same picks as slot by slot, wherever segments end."""
+    r = random.Random(6)
+    for period in (2, 9, 41):
+        sizes = [r.choice([1, 1, 2, r.randint(1, 40), r.randint(1, 400)]) for _ in range(r.randint(2, 12))]
+        m, done, want = sum(sizes), [0] * len(sizes), []
+        for t in range(m):
+            _, j = min((-(-(d + 1) * m // b), j) for j, (d, b) in enumerate(zip(done, sizes, strict=True)) if d < b and d * m // b <= t)
+            want.append((f"s{j:02d}", done[j]))
+            done[j] += 1
+        blocks = spark.createDataFrame([(f"s{j:02d}", b) for j, b in enumerate(sizes)], "src string, b long")
+        assert [(x["src"], x["block"]) for x in mixing.schedule(blocks, period).orderBy("slot").collect()] == want
+
+
 @pytest.mark.parametrize("shares", [["a"], ["a", "b"], ["a", "b", "c"], ["a"] * 9 + ["b"], [None]])
 def test_few_or_uneven_sources_keep_every_row(spark, shares):
     docs = spark.createDataFrame([(i, f"t{i}", "en", shares[i % len(shares)], 1) for i in range(1000)], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
