@@ -2,7 +2,7 @@
 
 Quality rules reject documents and take out failing lines; one document of
 each near-duplicate group stays; later copies of repeated passages are cut out; the sources' rows are
-put in an order that holds their weights at every point; what is left is encoded.
+put in an order that holds their weights at every point; what is left is encoded in that order.
 
 Each stage takes nulls in any column, empty and very long texts, repeated rows and ids, empty tables and further columns:
 a null or empty text fails the quality rules; of rows that near-dedup groups together one stays, rows without words all do;
@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from numerion.llm import bpe_chunks, minhash, mixing, quality, suffix_dedup
-from numerion.llm.common import documents, shared_table, tokenizer
+from numerion.llm.common import documents, in_file_order, shared_table, tokenizer
 
 #: The columns that every stage but the last hands on.
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -50,9 +50,14 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return mixed.select("doc_id", F.col("in_text").alias("text"), F.col("in_lang").alias("lang"), "source", F.col("in_n_chars").alias("n_chars"))
 
 
+def encoded_in_order(docs: DataFrame) -> DataFrame:
+    """doc_id, n_tokens, ids and position of every document, in the order of the mix: that of the files of ``docs`` and the rows in them."""
+    return bpe_chunks.encoded(in_file_order(docs), tokenizer("byte_bpe_50k.json"), keep=("position",))
+
+
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens and ids of every document."""
-    return bpe_chunks.encoded(docs, tokenizer("byte_bpe_50k.json"))
+    """doc_id, n_tokens and ids of every document; files and the rows in them follow each other as those of ``docs`` do."""
+    return encoded_in_order(docs).drop("position")
 
 
 STAGES = [
@@ -65,11 +70,11 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of ``sf_dir``."""
+    """All stages over the documents of ``sf_dir``; with the tokens, each row's position in the mix."""
     docs = documents(spark, sf_dir)
     for name, stage in STAGES[:-1]:
         docs = shared_table(stage(spark, docs, sf_dir), name)
-    return STAGES[-1][1](spark, docs, sf_dir)
+    return encoded_in_order(docs)
 
 
 #: Near-duplicate groups and encodings can't be said in SQL.

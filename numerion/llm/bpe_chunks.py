@@ -228,24 +228,26 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
 TOKENS = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.list_(pa.int32()))])
 
 
-def encoded(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id, n_tokens and the ids themselves."""
+def encoded(docs: DataFrame, path: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, n_tokens, the ids themselves, and the columns ``keep``, in the order of the rows."""
+    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text_or_empty().alias("text"), *keep)
 
-    def pack(ids: list, found: list[np.ndarray]) -> pa.RecordBatch:
+    def pack(b: pa.RecordBatch, at: int, found: list[np.ndarray]) -> pa.RecordBatch:
         sizes = [len(x) for x in found]
         offsets = pa.array(np.cumsum([0, *sizes]), pa.int32())
-        return batch(TOKENS, [ids, sizes, pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(found)))])
+        ids, _, *others = b.slice(at, len(found)).columns
+        schema = pa.schema([*TOKENS, *(b.schema.field(i) for i in range(2, b.num_columns))])
+        return batch(schema, [ids, sizes, pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(found))), *others])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(path)
-        for ids, texts in columns_of(batches):
+        for b in batches:
             held, at, size = [], 0, 0
-            for k, text in enumerate(texts):
+            for k, text in enumerate(b.column(1).to_pylist()):
                 held.append(np.fromstring(",".join(p.ids for p in e.parts(text) if p.n), np.int32, sep=","))
                 size += len(text)
-                if size >= SENT or k + 1 == len(texts):
-                    yield pack(ids[at : k + 1], held)
+                if size >= SENT or k + 1 == b.num_rows:
+                    yield pack(b, at, held)
                     held, at, size = [], k + 1, 0
 
-    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n_tokens long, ids array<int>")
+    return rows.mapInArrow(run, ", ".join(["doc_id long, n_tokens long, ids array<int>", *(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keep)]))

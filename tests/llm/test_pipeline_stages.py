@@ -7,6 +7,8 @@ from collections import Counter
 
 import duckdb
 import pandas as pd
+import pyarrow.parquet as pq
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from numerion.llm import mixing, quality
@@ -87,3 +89,23 @@ def test_each_stage_equals_a_plain_version(spark):
     library = Tokenizer.from_file(tokenizer("byte_bpe_50k.json"))
     got = {r["doc_id"]: (r["n_tokens"], list(r["ids"])) for r in stages["encoding"](spark, mixed, "").collect()}
     assert got == {r["doc_id"]: (len(ids := library.encode(r["text"], add_special_tokens=False).ids), ids) for r in cut}
+
+
+def test_tokens_follow_the_mix(spark):
+    """The order that mixing gives is that of the encoded rows, in files and by position, whatever the sizes of the mix's files."""
+    rows = [(i, "word " * (i % 7) ** 4, "en", "abc"[i * i % 3] + str(i % 4), 1) for i in range(900)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        mix = corpus_pipeline.mixing_stage(spark, docs, "").repartitionByRange(7, "n_chars", "doc_id").sortWithinPartitions("n_chars", F.desc("doc_id"))
+        for mixed in (corpus_pipeline.mixing_stage(spark, docs, ""), mix):
+            written = shared_table(mixed, "mixed_test")
+            want = [r["doc_id"] for r in mixed.collect()]
+            assert len(written.inputFiles()) > 2
+            coded = shared_table(corpus_pipeline.encoding_stage(spark, written, ""), "coded_test")
+            files = sorted(f.removeprefix("file://") for f in coded.inputFiles())
+            assert [d for f in files for d in pq.read_table(f)["doc_id"].to_pylist()] == want
+            placed = corpus_pipeline.encoded_in_order(written).collect()
+            assert [(r["doc_id"], r["position"]) for r in placed] == list(zip(want, range(900), strict=True))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
