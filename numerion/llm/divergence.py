@@ -41,6 +41,8 @@ LEAST, RANKS, SCALE = 10, 10, 1_000_000_000
 PIECE, HELD = 1 << 20, 200_000
 #: Sums of source pairs that a tree holds before it hands them on.
 HELD_PAIRS = 1 << 20
+#: Meetings of a branch's nodes with their ancestors that are worked out at once.
+CELLS = 1 << 16
 
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 #: In UTF-8: ASCII letters and all bytes of other characters.
@@ -138,19 +140,24 @@ class Tree:
             self.weights[i] += weight
 
     def close(self, to: int = 0) -> None:
-        """Leaves the nodes below depth ``to``: each with each of its ancestors, once."""
+        """Leaves the nodes below depth ``to``: each meets each of its ancestors, once; a branch's nodes together."""
         if to >= len(self.steps):
             return
         s, p, p0 = np.array(self.steps, np.int64).T
-        for i in range(len(s) - 1, to - 1, -1):
-            self.nodes += 1
-            over = slice(0, i)
-            fixed = divergence(p[over], p[i]) - divergence(p[over], p0[i]) - divergence(p0[over], p[i]) + divergence(p0[over], p0[i])
-            own = self.sums.get(int(s[i]))
-            if own is None:  # ancestors have smaller numbers
-                own = self.sums[int(s[i])] = np.zeros(int(s[i]), np.int64)
-                self.held += len(own)
-            own[s[over]] += self.weights[i] * fixed
+        n, weights = len(s), np.array(self.weights, np.int64)
+        self.nodes += n - to
+        most = max(1, CELLS // n)
+        for a in range(to, n, most):
+            b = min(n, a + most)
+            own_p, own_p0, over_p, over_p0 = p[a:b, None], p0[a:b, None], p[: b - 1], p0[: b - 1]
+            fixed = divergence(over_p, own_p) - divergence(over_p, own_p0) - divergence(over_p0, own_p) + divergence(over_p0, own_p0)
+            fixed *= weights[a:b, None]
+            for i in range(a, b):
+                own = self.sums.get(int(s[i]))
+                if own is None:  # ancestors have smaller numbers
+                    own = self.sums[int(s[i])] = np.zeros(int(s[i]), np.int64)
+                    self.held += len(own)
+                own[s[:i]] += fixed[i - a, :i]
         del self.steps[to:], self.weights[to:]
 
     def drain(self, lang: str) -> pa.RecordBatch:

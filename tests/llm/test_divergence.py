@@ -99,6 +99,23 @@ def test_tree_meets_each_shared_node_once():
     assert tree.nodes == len({row[: k + 1] for row in rows for k in range(len(row))}) < 0.7 * sum(map(len, rows))
 
 
+@pytest.mark.parametrize("cells", [1 << 16, 90, 1])
+def test_nodes_of_a_branch_meet_their_ancestors_together(monkeypatch, cells):
+    """As few array steps as the cells allow, not some for each node; the sums are those of single pairs."""
+    plain, calls = divergence.divergence, []
+    monkeypatch.setattr(divergence, "divergence", lambda p, q: calls.append(1) or plain(p, q))
+    monkeypatch.setattr(divergence, "CELLS", cells)
+    r = random.Random(8)
+    row = [(2 * i, r.randint(1, 10**9), r.randint(1, 1000)) for i in range(30)]
+    tree = divergence.Tree()
+    tree.insert(row, 3)
+    tree.close()
+    assert len(calls) == 4 * -(-30 // max(1, cells // 30))
+    f = lambda p, q: (p - q) ** 2 // (p + q)
+    want = {(a, b): 3 * (f(p, q) - f(p, q0) - f(p0, q) + f(p0, q0)) for (a, p, p0), (b, q, q0) in combinations(row, 2)}
+    assert {(a, b): int(own[a]) for b, own in tree.sums.items() for a in range(0, b, 2)} == want and tree.nodes == 30
+
+
 def test_sums_are_handed_on_before_they_grow(monkeypatch):
     import pyarrow as pa
 
