@@ -788,6 +788,32 @@ def test_line_rules(spark):
     assert got[3]["clean_text"] == clean
 
 
+def test_lines_are_read_once(spark):
+    """A line is lower-cased for all phrases at once, counted in no map of characters and cut into words for no rule."""
+    told = quality.judge(spark.createDataFrame([(1, "x")], "doc_id long, text string"))._jdf.queryExecution().analyzed().toString()
+    rules = str(quality.bad_line(F.col("x")))
+    assert rules.count("lower(") == 2 and "split(" not in rules  # for phrases, and for lines without small letters
+    assert "translate(" not in told
+
+
+def test_line_rules_at_their_borders(spark):
+    """Lines around every limit, with odd blanks, letters that have no other case, and long lines, equal their SQL."""
+    odd = " \t\x0b\f\r"
+    r = random.Random(29)
+    lines = [r.choice(["", *odd]) + "".join(w + r.choice(odd) * r.randint(1, 3) for w in ["Wort"] * n) + end for n in (1, 3, 4, 5, 8, 9, 10, 11) for end in ("", "end", "end.", "end.)\t", "| |", "|", "read more", "Read More.")]
+    lines += ["ÄÖÜ ÉÈ ÑÇ ŁŚ ДЖЮ ΩΣΔ ŽŠ", "ÄÖÜ ÉÈ ÑÇ ŁŚ ДЖЮ ΩΣΔ Žš", "日本語 テキスト 日本語 テキスト 日本語 テ", "1234567890 1234567890 12", "SHORT CAPS OF NINETEEN!"[:19], "SHORT CAPS OF TWENTY!!"[:20], "ALL CAPS WITH ONE SMALL LETTEr"]
+    lines += [f"{'x' * k}{s * 2} and so on it goes for some words." for s in quality.SYMBOLS for k in (1, 2)] + ["#" * k + "a" * 18 for k in (1, 2, 3)]
+    lines += ["x" * 300_000, " " * 300_000 + "x", "x" + " " * 300_000 + "y", "|" * 100_000]
+    again = "one two three four five six"
+    texts = [*lines, "\n".join(lines[:64]), f"{again} {again}", f"{again}\n{again} seven {again}", "a " * 4, "a " * 5, "a " * 6, "a b " * 5, "one two three four five"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = quality.judge(docs).drop("clean_text").toPandas().sort_values("doc_id").reset_index(drop=True)
+    con = duckdb.connect()
+    con.register("documents", docs.toPandas())
+    want = con.sql(quality.ORACLE).df().sort_values("doc_id").reset_index(drop=True)[list(got.columns)]
+    assert got.to_dict("list") == want.to_dict("list")
+
+
 # 10 ---------------------------------------------------------------------------------------------
 
 
