@@ -114,10 +114,10 @@ def links(prints: DataFrame, most: int = MOST) -> DataFrame:
     """u, v: links that join all distinct fingerprints (fp) that are near each other, directly or in steps."""
     keyed = prints.select("fp", F.explode(_keys(F.col("fp"))).alias("key"))
     shared = keyed.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
-    met = shared_table(keyed.join(shared, "key"), "keys")
+    # Sorted on both sides at every size: Spark sizes exploded rows as the rows they come from, and would send all keys whole to every task.
+    met = shared_table(keyed.join(shared.hint("merge"), "key"), "keys")
     few = met.where(F.col("c") <= most).select("key", "fp")
     a, b = few.withColumnRenamed("fp", "u"), few.withColumnRenamed("fp", "v")
-    # Sorted on both sides at every size: the table is never sent whole to every task.
     pairs = a.join(b.hint("merge"), "key").where((F.col("u") < F.col("v")) & _verified(F.col("u"), F.col("v"), F.col("key"))).select("u", "v")
     many = met.where(F.col("c") > most).select("fp").distinct()
     bits = [F.lit(1 << i if i < 63 else -(1 << 63)) for i in range(64)]
@@ -131,11 +131,12 @@ def near_duplicates(docs: DataFrame, ngram: int = NGRAM, most: int = MOST) -> Da
     rows = shared_table(fingerprints(docs, ngram), "fingerprints")
     classes = shared_table(rows.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("rows")), "prints")
     roots = components(links(classes.select("fp"), most))
-    rooted = classes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "rep", "rows", F.coalesce("root", "fp").alias("root"))
+    # Tables that grow with the input are sorted, too.
+    rooted = classes.join(roots.hint("merge"), F.col("fp") == F.col("node"), "left").select("fp", "rep", "rows", F.coalesce("root", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("rep").alias("component_id"))
-    named = shared_table(rooted.join(least, "root").select("fp", "rows", "component_id"), "named")
+    named = shared_table(rooted.join(least.hint("merge"), "root").select("fp", "rows", "component_id"), "named")
     # A fingerprint of very many rows is not a key of a shuffle.
     hot = F.col("rows") * HOT > rows.count()
     often = F.broadcast(named.where(hot).select("fp", "component_id"))
-    told = rows.join(often, "fp").unionByName(rows.join(often.select("fp"), "fp", "left_anti").join(named.where(~hot).select("fp", "component_id"), "fp"))
+    told = rows.join(often, "fp").unionByName(rows.join(often.select("fp"), "fp", "left_anti").join(named.where(~hot).select("fp", "component_id").hint("merge"), "fp"))
     return told.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))

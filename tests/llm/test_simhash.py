@@ -102,6 +102,25 @@ def test_crowded_keys_make_few_rows(spark):
     assert simhash.links(spark.createDataFrame([(p,) for p in prints], "fp long")).count() <= 65 * len(prints)
 
 
+def test_keys_are_sent_whole_to_nobody(spark, monkeypatch):
+    """34 keys a print: a table that Spark takes for small, as it sizes exploded rows by the rows they come from."""
+    plans, stored = [], simhash.shared_table
+
+    def told(df, name):
+        plans.append((name, df._jdf.queryExecution().sparkPlan().toString()))
+        return stored(df, name)
+
+    monkeypatch.setattr(simhash, "shared_table", told)
+    r = random.Random(4)
+    docs = spark.createDataFrame([(i, " ".join(r.choice("abcdefgh") for _ in range(9)), None, "a", 1, None, 1, "") for i in range(50)], SCHEMA)
+    out = simhash.near_duplicates(docs)
+    plans.append(("out", out._jdf.queryExecution().sparkPlan().toString()))
+    joined = {name: plan for name, plan in plans if "Join" in plan}
+    assert set(joined) == {"keys", "named", "out"}
+    assert "BroadcastHashJoin" not in joined["keys"] + joined["named"]
+    assert joined["out"].count("BroadcastHashJoin") == 2  # classes of more than a part in HOT of all rows
+
+
 def test_pieces_do_not_change_prints(monkeypatch):
     texts = [t.encode() for _, t in awkward(5, 60) if t]
     whole = [simhash.fingerprint(t) for t in texts]
