@@ -13,12 +13,22 @@ from numerion.params import Sheet
 from numerion.sources import tables as S
 
 
-def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One page per supplier: its key, and its nation and cents, in two lines."""
+#: Pages that a task draws: more suppliers are more tasks, not larger ones.
+TASK_PAGES = 250
+
+
+def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the page of each supplier says: its key, and its nation and cents, in two lines."""
     rows = S.table(spark, sf_dir, "supplier")
     cents = F.floor(F.abs("s_acctbal") * 100).cast("long").cast("string")
     lines = F.array(F.lpad(F.col("s_suppkey").cast("string"), 4, "0"), F.concat(F.col("s_nationkey").cast("string"), cents))
-    return samples.pages(rows.select(F.concat(F.lit("supplier"), F.col("s_suppkey").cast("string")).alias("image_id"), lines.alias("lines"), samples.category_of(F.col("s_suppkey")).alias("category")).repartition(16))
+    return rows.select(F.concat(F.lit("supplier"), F.col("s_suppkey").cast("string")).alias("image_id"), lines.alias("lines"), samples.category_of(F.col("s_suppkey")).alias("category"))
+
+
+def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One page per supplier."""
+    rows = _lines(spark, sf_dir)
+    return samples.pages(rows.repartition(max(16, -(-rows.count() // TASK_PAGES))))
 
 
 def detected_pages(spark, sf_dir):
@@ -29,9 +39,8 @@ def detected_pages(spark, sf_dir):
 
 def detection_accuracy(spark, sf_dir):
     """Per category of page: exact texts and right digits."""
-    pages = _pages(spark, sf_dir)
-    got = D.detect(pages, M.Templates()).select("image_id", "text")
-    pairs = pages.select("image_id", "category", F.array_join("lines", "\n").alias("truth")).join(got, "image_id")
+    got = D.detect(_pages(spark, sf_dir), M.Templates()).select("image_id", "text")
+    pairs = _lines(spark, sf_dir).select("image_id", "category", F.array_join("lines", "\n").alias("truth")).join(got, "image_id")
     return R.sequence_accuracy(pairs.select("category", "truth", F.col("text").alias("read")))
 
 
