@@ -124,7 +124,9 @@ def fragment_groups(best: DataFrame) -> DataFrame:
 
 def merge(kept: DataFrame, groups: DataFrame) -> DataFrame:
     """Boxes with fragments united: image_id, comp_id, x, y, w, h, ink, n_parts."""
-    rooted = kept.join(groups, ["image_id", "comp_id"], "left").withColumn("root", F.coalesce("root", "comp_id"))
+    # Joined by the image alone: boxes stay where they lie, and need no shuffle here, in the group or for what follows.
+    roots = groups.groupBy("image_id").agg(F.map_from_entries(F.collect_list(F.struct("comp_id", "root"))).alias("roots_"))
+    rooted = kept.join(roots, "image_id", "left").withColumn("root", F.coalesce(F.try_element_at("roots_", "comp_id"), "comp_id")).drop("roots_")
     x, y = F.min("x"), F.min("y")
     # Column profiles matter for boxes of one part only: those alone are ever split.
     more = [F.first(c).alias(c) for c in ("profile", "tops", "bottoms") if c in kept.columns]
@@ -222,13 +224,19 @@ def reading_order(boxes: DataFrame, p: Reading = DEFAULT) -> DataFrame:
     return rows.withColumn("pos", pos).drop("k_")
 
 
-def digit_boxes(boxes: DataFrame, page: tuple[int, int], p: Reading = DEFAULT) -> tuple[DataFrame, DataFrame]:
-    """The whole chain on boxes with ink: kept pieces, and rejected boxes with reasons."""
+def digit_boxes(boxes: DataFrame, page: tuple[int, int], p: Reading = DEFAULT, profile: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """The whole chain on boxes with ink: kept pieces, and rejected boxes with reasons.
+
+    ``profile``, the ink of each column, follows from a component's x, y, w and h: it is worked out where components are split, and no shuffle moves it.
+    """
     marked = prefilter(boxes, page, p)
     first = with_reference_height(marked.where("reason is null").drop("reason")).withColumn("reason", line_reason(p))
     kept = first.where("reason is null").drop("reason")
     merged = merge(kept, fragment_groups(best_partners(merge_candidates(kept, p))))
-    pieces = split(with_reference_height(merged), p).withColumn("reason", small_reason(p))
+    whole = with_reference_height(merged)
+    # Only components of one part are ever split; those have their own box still.
+    inked = whole if profile is None else whole.withColumn("profile", F.when(F.col("n_parts") == 1, profile))
+    pieces = split(inked, p).withColumn("reason", small_reason(p))
     columns = ["image_id", "x", "y", "w", "h", "reason"]
     rejected = marked.where("reason is not null").select(columns).unionByName(first.where("reason is not null").select(columns)).unionByName(pieces.where("reason is not null").select(columns))
     return pieces.where("reason is null").drop("reason", "href"), rejected

@@ -211,8 +211,8 @@ def small_reasons(spark, sf_dir):
 
 def pieces_by_ink(spark, sf_dir):
     """The chain of boxes whose columns have ink of their own: each cut falls where the least of it is."""
-    inked = _boxes(spark, sf_dir).withColumn("profile", F.expr("transform(sequence(0L, w - 1), c -> (x * 31 + c * c * 7 + y * 3 + c) % (h + 1))"))
-    kept, _ = B.digit_boxes(inked, PAGE)
+    profile = F.expr("transform(sequence(0L, w - 1), c -> (x * 31 + c * c * 7 + y * 3 + c) % (h + 1))")
+    kept, _ = B.digit_boxes(_boxes(spark, sf_dir), PAGE, profile=profile)
     return kept
 
 

@@ -16,11 +16,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """image_id, comp_id, x, y, w, h, ink: one order is one page, one line item one component."""
-    lines = table(spark, sf_dir, "lineitem")
-    place = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate")
+    # Named before it is a key: rows dealt by it are then known to be dealt by image.
+    lines = table(spark, sf_dir, "lineitem").withColumnRenamed("l_orderkey", "image_id")
+    place = Window.partitionBy("image_id").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate")
     wide = (F.col("l_partkey") + F.col("l_linenumber")) % 50 == 0
     found = lines.select(
-        F.col("l_orderkey").alias("image_id"),
+        "image_id",
         F.row_number().over(place).cast("long").alias("comp_id"),
         (F.col("l_partkey") * 7 % 300).alias("x"),
         (F.col("l_suppkey") * 11 % 160).alias("y"),

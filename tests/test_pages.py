@@ -6,9 +6,10 @@ import numpy as np
 
 from numerion.functions import kernels as K
 from numerion.functions import sheet as H
+from numerion.operators import boxes
 from numerion.operators import detection as D
 from numerion.params import Reading, Sheet
-from numerion.plans import images
+from numerion.plans import images, pages
 
 SF = "/root/testdata/sf0.001"
 
@@ -129,3 +130,27 @@ def test_accuracy_draws_pages_once(spark):
     """What is true is taken from the suppliers, not from pages drawn a second time."""
     plan = images.detection_accuracy(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("MapInPandas") == 1
+
+
+def test_column_ink_is_shuffled_nowhere(spark):
+    """Boxes are dealt by their image once; the ink of their columns is worked out behind that."""
+    kept = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k) for k in kept}
+    for k, v in kept.items():
+        spark.conf.set(k, v)
+    try:
+        plan = pages.pieces_by_ink(spark, SF)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    dealt = [line for line in plan.split("\n") if " Exchange " in line and "Reused" not in line]
+    assert 1 <= len(dealt) <= 2 and all("hashpartitioning(image_id#" in line and "comp_id" not in line for line in dealt)
+    assert not any("sequence(" in line for part in plan.split(" Exchange ")[1:] for line in part.split("\n"))
+
+
+def test_images_without_groups_and_many_parts_are_merged(spark):
+    box = "image_id long, comp_id long, x long, y long, w long, h long, ink long"
+    kept = spark.createDataFrame([(1, 1, 0, 0, 5, 9, 3), (1, 2, 4, 2, 6, 10, 4), (1, 3, 50, 0, 5, 5, 1), (2, 1, 7, 7, 2, 2, 1), (None, 1, 1, 1, 1, 1, 1)], box)
+    groups = spark.createDataFrame([(1, 1, 1), (1, 2, 1), (3, 1, 1)], "image_id long, comp_id long, root long")
+    got = boxes.merge(kept, groups).select("image_id", "comp_id", "x", "y", "w", "h", "ink", "n_parts").collect()
+    assert sorted(map(tuple, got), key=repr) == sorted([(1, 1, 0, 0, 10, 12, 7, 2), (1, 3, 50, 0, 5, 5, 1, 1), (2, 1, 7, 7, 2, 2, 1, 1), (None, 1, 1, 1, 1, 1, 1, 1)], key=repr)
