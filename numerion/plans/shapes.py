@@ -21,9 +21,7 @@ def hull_edges(spark, sf_dir):
 
 
 def least_rectangles(spark, sf_dir):
-    found = H.hulls(_corners(spark, sf_dir)).select("image_id", H.least_rectangle(F.col("hull")).alias("r"))
-    corners = [F.get("r.corners", F.lit(k))[c].alias(f"{c}{k}") for k in range(4) for c in "xy"]
-    return found.select("image_id", "r.area", F.col("r.a.x").alias("ax"), F.col("r.a.y").alias("ay"), "r.along", "r.across", *corners)
+    return H.rectangles(H.hulls(_corners(spark, sf_dir)))
 
 
 def sheet_quads(spark, sf_dir):
