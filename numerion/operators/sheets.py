@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from numerion.functions import geometry as G
@@ -28,13 +28,19 @@ def quads(hulls: DataFrame, smallest: int = SMALLEST) -> DataFrame:
     return sized.withColumn("to_sheet", matrix).withColumn("to_photo", G.inverse(F.col("to_sheet")))
 
 
-def on_sheet(points: DataFrame, sheets: DataFrame) -> DataFrame:
-    """``points`` (image_id, x, y, ...) with u, v: their places on the image's sheet; null without a sheet, or beyond its horizon."""
+def flat(x: Column, y: Column) -> tuple[Column, Column]:
+    """The place on the sheet of a point beside ``quad`` and ``to_sheet``; null without a sheet, or beyond its horizon."""
     m, q = G.entries(F.col("to_sheet")), F.get("quad", F.lit(0))
     depth = lambda x, y: m[6] * x + m[7] * y + m[8]
-    u, v = G.project(m, F.col("x"), F.col("y"))
-    seen = depth(F.col("x"), F.col("y")) / F.nullif(depth(q["x"], q["y"]), F.lit(0.0)) > HORIZON
-    return points.join(sheets.select("image_id", "quad", "to_sheet"), "image_id").withColumns({"u": F.when(seen, u), "v": F.when(seen, v)}).drop("quad", "to_sheet")
+    u, v = G.project(m, x, y)
+    seen = depth(x, y) / F.nullif(depth(q["x"], q["y"]), F.lit(0.0)) > HORIZON
+    return F.when(seen, u), F.when(seen, v)
+
+
+def on_sheet(points: DataFrame, sheets: DataFrame) -> DataFrame:
+    """``points`` (image_id, x, y, ...) with u, v: their places on the image's sheet; null without a sheet, or beyond its horizon."""
+    u, v = flat(F.col("x"), F.col("y"))
+    return points.join(sheets.select("image_id", "quad", "to_sheet"), "image_id").withColumns({"u": u, "v": v}).drop("quad", "to_sheet")
 
 
 def on_photo(points: DataFrame, sheets: DataFrame) -> DataFrame:

@@ -4,15 +4,21 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from numerion.functions import geometry as G
 from numerion.operators import hulls as H
 from numerion.operators import sheets as Q
 from numerion.sources import tables as S
 
 
+def _explode(boxes, *more):
+    """image_id, comp_id, k, x, y and ``more`` of each corner of ``boxes``."""
+    at = F.posexplode(F.array(*(F.struct((F.col("x") + dx).alias("x"), (F.col("y") + dy).alias("y")) for dx, dy in ((0, 0), (F.col("w"), 0), (F.col("w"), F.col("h")), (0, F.col("h"))))))
+    return boxes.select("image_id", "comp_id", *more, at.alias("k", "p")).select("image_id", "comp_id", "k", "p.x", "p.y", *more)
+
+
 def _corners(spark, sf_dir):
     """image_id, comp_id, k, x, y: the corners of boxes."""
-    at = F.posexplode(F.array(*(F.struct((F.col("x") + dx).alias("x"), (F.col("y") + dy).alias("y")) for dx, dy in ((0, 0), (F.col("w"), 0), (F.col("w"), F.col("h")), (0, F.col("h"))))))
-    return S.boxes(spark, sf_dir).select("image_id", "comp_id", at.alias("k", "p")).select("image_id", "comp_id", "k", "p.x", "p.y")
+    return _explode(S.boxes(spark, sf_dir))
 
 
 def hull_edges(spark, sf_dir):
@@ -32,10 +38,14 @@ def sheet_quads(spark, sf_dir):
 
 def boxes_on_sheets(spark, sf_dir):
     """Corners of boxes on their image's sheet in thousandths, and whether they lead back within a millionth; what has no place there is left out."""
-    corners = _corners(spark, sf_dir)
-    sheets = Q.quads(H.hulls(corners))
-    there = Q.on_sheet(corners, sheets)
-    back = Q.on_photo(there.withColumnsRenamed({"x": "x_", "y": "y_"}), sheets)
+    # Hulls are made once and meet boxes by image, before those are four corners each; maps of many numbers are made behind the shuffle, and sorted, never broadcast.
+    sheets = Q.quads(H.hulls(_corners(spark, sf_dir)).repartition("image_id"))
+    both = S.boxes(spark, sf_dir).join(sheets.select("image_id", "quad", "to_sheet", "to_photo").hint("merge"), "image_id")
+    corners = _explode(both, "quad", "to_sheet", "to_photo").withColumnsRenamed({"x": "x_", "y": "y_"})
+    u, v = Q.flat(F.col("x_"), F.col("y_"))
+    there = corners.withColumns({"u": u, "v": v})
+    x, y = G.project(G.entries(F.col("to_photo")), F.col("u"), F.col("v"))
+    back = there.withColumns({"x": x, "y": y})
     near = (F.abs(F.col("x") - F.col("x_")) < 1e-6) & (F.abs(F.col("y") - F.col("y_")) < 1e-6)
     # A little over a half, so that results of other orders of the same sums round alike.
     milli = lambda c: F.floor(F.col(c) * 1000 + 0.5001).cast("long")

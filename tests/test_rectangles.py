@@ -62,3 +62,9 @@ def dealt(spark, query):
 
 def test_points_are_dealt_once(spark):
     assert len(dealt(spark, shapes.least_rectangles)) == 1
+
+
+def test_hulls_are_made_once_for_both_ways(spark):
+    """Points of hulls, hulls, and boxes are dealt once each; corners of boxes, and maps of many numbers, never are."""
+    lines = dealt(spark, shapes.boxes_on_sheets)
+    assert len(lines) == 3 and all("hashpartitioning(image_id" in line for line in lines)
